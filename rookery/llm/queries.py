@@ -12,6 +12,7 @@ from .base import held_out, table
 from .licenses import scan_licenses
 from .quality_fm import score_quality
 from .quality_rules import apply_rules
+from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack, token_pieces
 from .tokens import count_tokens
@@ -39,6 +40,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "<|im_end|><|im_start|>assistant ok"
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_mixing": op3_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
