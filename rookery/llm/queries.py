@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat
 from .base import held_out, table
+from .cover_tree import near_embeddings
 from .licenses import scan_licenses
 from .quality_fm import score_quality
 from .quality_rules import apply_rules
@@ -35,6 +36,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_mixing": op3_mixing,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_chat_formatting": op7_chat_formatting,
