@@ -1,21 +1,65 @@
-"""From raw documents to packed sequences: each stage keeps what the next one works on."""
+"""From raw documents to packed sequences: toxicity, quality, near-duplicates, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
+and returns the columns of documents, but the last, which returns packed pieces.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from rookery.llm.base import stage, table
+from rookery.llm.minhash import near_duplicates
+from rookery.llm.mixing import mix
+from rookery.llm.packing import pack, token_pieces
+from rookery.llm.quality_fm import drop_low_quality
+from rookery.llm.toxicity import drop_toxic
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that are predicted toxic."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that are predicted low."""
+    return drop_low_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id;
+    of rows of one id, the one with the smallest text. Rows without an id stay."""
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id"))
+    of_id = Window.partitionBy("doc_id").orderBy("text", *(F.xxhash64(*docs.columns),))
+    one = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").withColumn("__row", F.row_number().over(of_id)).where("__row = 1")
+    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it. Equal rows are told apart by their number only."""
+    named = docs.withColumn("__row", F.xxhash64(*docs.columns))
+    times = mix(named.select("__row", "text", "source"), id_column="__row").groupBy(F.col("doc_id").alias("__row")).agg(F.sum("copies").cast("int").alias("__times"))
+    taken = named.dropDuplicates(["__row"]).join(times.where("__times > 0"), "__row")
+    return taken.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences."""
+    return pack(token_pieces(docs, public_tokenizers.path(TOKENIZER)))
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxicity), ("quality", quality), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: Classifiers, weighted sketches and random rounding aren't SQL; tests hold the stages against brute force.
+#: Classifiers, sketches and random rounding aren't SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from rookery.llm.base import stage
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs, name)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,3 +72,14 @@ def by_bytes(values: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
             start, size = i + 1, 0
     if start < len(values):
         yield start, len(values)
+
+
+def keep_rows(df: DataFrame, flags: Callable[[pa.RecordBatch, Callable[[str], int]], np.ndarray]) -> DataFrame:
+    """The rows of `df` for which `flags` (of a batch, and a column's place by name) is true, all columns as they are."""
+    at = df.columns.index
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(np.asarray(flags(batch, at), bool)))
+
+    return df.mapInArrow(kept, df.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import binary, label_sample, stage
+from .base import binary, keep_rows, label_sample, stage
 
 #: Labelled rows that training reads at most; slots for words; rank; bins of a statistic.
 TRAIN_ROWS, WORDS, RANK, BINS = 4096, 1 << 14, 8, 8
@@ -175,3 +175,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, max_r
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     return _inputs(docs).mapInArrow(scored, f"doc_id {kind}, score double, predicted int")
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, max_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of `docs`, all columns, that `score_quality` predicts to be good; decided where they lie."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, max_rows=max_rows))
+    measured = "n_chars" in docs.columns
+
+    def good(batch: pa.RecordBatch, at) -> np.ndarray:
+        machine, slots = shared.value, Hasher()
+        lengths = batch.column(at("n_chars")).to_pylist() if measured else [None] * len(batch)
+        return np.array([machine.score(*machine.row(*features(t.as_py(), n, slots))) >= cut for t, n in zip(binary(batch.column(at("text"))), lengths, strict=True)], bool)
+
+    return keep_rows(docs, good)

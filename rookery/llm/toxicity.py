@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import charlm
-from .base import binary, label_sample, stage
+from .base import binary, keep_rows, label_sample, stage
 
 #: Labelled rows that training reads at most, and terms of the model at most.
 TRAIN_ROWS, TERMS = 8192, 1024
@@ -181,26 +181,45 @@ def learn(docs: DataFrame, labels: DataFrame, model: charlm.Model, *, target: st
     return terms, w
 
 
+@dataclass
+class Scorer:
+    """Scores of a batch's texts; made once for each worker."""
+
+    model: charlm.Model
+    terms: dict[str, int]
+    weights: np.ndarray
+    reader: Reader | None = None
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        self.reader = self.reader or Reader(self.model, self.terms)
+        found = (list(self.reader.read(t.as_py())) for t in binary(texts))
+        return np.array([1 / (1 + np.exp(-(float(self.weights[t].sum()) + float(self.weights[-1])))) for t in found])
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = TRAIN_ROWS, max_terms: int = TERMS) -> Scorer:
+    """Character model over all texts of `docs`, terms and weights over labelled rows that aren't held out."""
+    model = charlm.fit(charlm.count(docs, "text", 3, charlm.FOLDED), 3)
+    return Scorer(model, *learn(docs, labels, model, max_rows=max_rows, max_terms=max_terms))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, max_rows: int = TRAIN_ROWS, max_terms: int = TERMS) -> DataFrame:
     """A row for each row of `docs`: doc_id, score (0 to 1) and predicted (1 from `cut`).
 
     The character model is counted over all texts; labels are learnt from rows
     that aren't held out. Null and empty texts have no terms and get the lowest
     score; repeated rows and null ids stay; other columns aren't read; an empty table gives none. Texts are read twice and not shuffled."""
-    counts = charlm.count(docs, "text", 3, charlm.FOLDED)
-    model = charlm.fit(counts, 3)
-    terms, weights = learn(docs, labels, model, max_rows=max_rows, max_terms=max_terms)
-    shared = docs.sparkSession.sparkContext.broadcast((model, terms, weights))
-    readers: list[Reader] = []
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows=max_rows, max_terms=max_terms))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not readers:
-            readers.append(Reader(*shared.value[:2]))
-        w = shared.value[2]
         for batch in batches:
-            found = (list(readers[0].read(t.as_py())) for t in binary(batch.column(1)))
-            score = np.array([1 / (1 + np.exp(-(float(w[t].sum()) + float(w[-1])))) for t in found])
+            score = shared.value(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, max_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of `docs`, all columns, that `score_toxicity` doesn't predict toxic; decided where they lie."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows=max_rows))
+    return keep_rows(docs, lambda batch, at: shared.value(batch.column(at("text"))) < cut)
