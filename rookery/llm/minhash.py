@@ -31,8 +31,8 @@ from .links import components
 SHINGLE, SIMILARITY = 5, 0.8
 #: Two texts of similarity 0.8 share none of 30 bands of 5 registers 7 times in a million.
 BANDS, ROWS = 30, 5
-#: Texts of a block.
-BLOCK = 256
+#: Texts of a block; marks of needed texts at most.
+BLOCK, MARKS = 256, 1 << 27
 
 _ODD = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 65)], np.uint64)
 
@@ -154,6 +154,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int)
     return pairs.join(b, "b").join(a, "a").select("a", "b", "of_a", "of_b").mapInArrow(verify, "a bigint, b bigint")
 
 
+def _likely(rows: DataFrame, needed: DataFrame, most: int = MARKS) -> DataFrame:
+    """`rows` (id, text) less most of those whose id isn't in `needed`, before
+    anything is shuffled: a mark for each needed id's hash, `most` marks at most (16 MB), goes to all
+    tasks. Rows that are needed always stay; what else stays, a join drops."""
+    size = min(most, max(1 << 16, 1 << (8 * needed.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(size))
+    words = needed.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("bits")).toPandas()
+    marks = np.zeros(size // 32, np.uint32)
+    marks[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    shared = rows.sparkSession.sparkContext.broadcast(marks)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch.column(2).to_numpy()
+            on = (shared.value[s >> 5] >> (s & 31).astype(np.uint32)) & 1
+            yield batch.select(["id", "text"]).filter(pa.array(on.astype(bool)))
+
+    return rows.select("id", "text", slot.alias("s")).mapInArrow(marked, "id bigint, text string")
+
+
 def _across(members: DataFrame, similarity: float, size: int, block: int) -> DataFrame:
     """Links (a, b) between groups, for `members` (id, text, component, family):
     enough of the near pairs of one family to join the groups that they join."""
@@ -227,7 +247,8 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     star = banded.join(pivots, "band").select("id", F.explode("pivots").alias("pivot")).where("id <> pivot")
     pairs = stage(star.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stage(base.where("text is not null").join(needed, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
+    needed = stage(needed, "needed")
+    texts = stage(_likely(base.where("text is not null"), needed).join(needed, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     links = stage(_verified(pairs, texts, similarity, size).distinct(), "near")
 
     # Groups by links (odd nodes) and families by shared buckets (even nodes), in one go; an id with several texts joins its classes.
