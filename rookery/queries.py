@@ -36,8 +36,8 @@ def r6(x: Column | str) -> Column:
     return F.round(F.col(x) if isinstance(x, str) else x, 6) + F.lit(0.0)
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(r6(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def _players(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,7 @@ _FILLED = {c: f"coalesce({c}, score_residual)" for c in features.FROM_OWN} | {c:
 
 
 def _select(expr: dict[str, str]) -> str:
-    return "username, n_games, n_analyzed_games, " + ", ".join(f"round({expr.get(c, c)},6)+0e0 {c}" for c in _ALL)
+    return "username, n_games, n_analyzed_games, " + ", ".join(f"round({expr.get(c, c)},9)+0e0 {c}" for c in _ALL)  # shares of a few hundred games end within nine places, so none is a tie
 
 
 @query(f"with {SQL} select color, result, count(*) n from games group by 1,2")
@@ -80,12 +80,12 @@ def q_elo_residual(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {SQL}, {_FEATURES_SQL} select {_select({})} from agg")
 def q_player_features(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_players(spark, d))
+    return rounded(_players(spark, d), 9)
 
 
 @query(f"with {SQL}, {_FEATURES_SQL} select {_select(_FILLED)} from agg")
 def q_player_features_imputed(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.impute(_players(spark, d)))
+    return rounded(features.impute(_players(spark, d)), 9)
 
 
 @query(f"""with {SQL}, g as (select color, family, count(*) n, count(*)/(count(*)+{SHRINK}e0)*avg(sd) s from ann group by 1,2 having count(*)>={MIN_GAMES})
