@@ -81,4 +81,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Smallest id reachable over `links` (a, b, both ways), of all `ids` (a).
+_REACH = "reach(a, b) as (select a, a from ids union select r.a, l.b from reach r join links l on r.b = l.a), comp as (select a, min(b) c from reach group by 1)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_embedding_near_dedup": f"""with recursive v as (select vec_id a, label, cast(embedding as double[]) e from embeddings), ids as (select a from v),
+links as (select x.a, y.a b from v x join v y on x.label = y.label and x.a <> y.a and list_cosine_similarity(x.e, y.e) >= 0.93e0), {_REACH},
+n as (select a, count(*) n from links group by 1)
+select a vec_id, coalesce(n, 0) n_links, c component_id, a = c kept from comp left join n using (a)""",
+    "op6_minhash_near_dedup": rf"""with recursive d as (select doc_id a, text, min(doc_id) over (partition by text) class from documents where text is not null), ids as (select doc_id a from documents),
+w as (select a, regexp_extract_all(text, '[^\x20\x09-\x0D]+') w from d where a = class),
+s as (select distinct a, case when len(w) <= 5 then w else w[i:i+4] end g from (select a, w, unnest(range(1, greatest(len(w) - 3, 2))) i from w where len(w) > 0)),
+n as (select a, count(*) n from s group by 1),
+c as (select x.a, y.a b, count(*) c from s x join s y on x.g = y.g and x.a < y.a group by 1, 2),
+near as (select c.a, c.b from c join n x on x.a = c.a join n y on y.a = c.b where c >= 0.8e0 * (x.n + y.n - c)),
+links as (select a, b from near union select b, a from near union select a, class from d union select class, a from d), {_REACH}
+select comp.a doc_id, coalesce(class, comp.a) class_id, c component_id, comp.a = c kept from comp left join d on comp.a = d.a""",
+    "op7_chat_formatting": r"""with t as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e as (select *, row_number() over (partition by conv_id order by turn nulls last, r, x) k, 24 + length(replace(replace(replace(r, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + length(replace(replace(x, '\', '\\'), '<|', '<\|')) size from t),
+p as (select *, sum(size) over (partition by conv_id order by k) so_far, max(k) over (partition by conv_id) last from e)
+select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' order by k)) turns_sha256,
+  cast(coalesce(sum(length(x)) filter (where r = 'assistant'), 0) as bigint) loss_chars, sha256(coalesce(string_agg(x, '' order by k) filter (where r = 'assistant'), '')) loss_sha256,
+  cast(sum(so_far) filter (where r = 'assistant' or k = last) as bigint) formatted_chars from p group by 1""",
+}
