@@ -48,20 +48,23 @@ def transcode(spark: SparkSession, path: str, out: str) -> None:
     spark.sparkContext.parallelize([path], 1).mapPartitions(copy).count()
 
 
-def _tag(name: str) -> Column:
-    pattern = rf'(?m)^\[{name}\s+"((?:[^"\\]|\\.)*)"\]'
-    return F.when(F.rlike("record", F.lit(pattern)), F.regexp_replace(F.regexp_extract("record", pattern, 1), r"\\(.)", "$1"))
+#: A tag pair.
+_TAG = r'(?m)^\[(\w+)\s+"((?:[^"\\]|\\.)*)"\]'
+#: A move, and the comment that follows it.
+_MOVE = r"((?:O-O(?:-O)?|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?)[+#]?)[!?]*\s*(?:\$\d+\s*)*(?:\{([^}]*)\}\s*(?:\{[^}]*\}\s*)*)?"
 
 
 def parsed(records: DataFrame) -> DataFrame:
     """Tags, moves (array), evals (array, White's centipawns) of each record."""
-    body = F.regexp_replace("record", r"(?m)^\[[^\n]*\]\s*$", "")
-    for pattern, to in ((r"(?s)\([^()]*\)", " "), (r"\$\d+", " "), (r"\d+\.+", " ")):
-        body = F.regexp_replace(body, pattern, to) if pattern != r"\d+\.+" else F.regexp_replace(body, r"(?<![\d.\-\[%#a-zA-Z ])\d+\.+(?=\s)|(?<=\s)\d+\.+(?=\s)|^\d+\.+(?=\s)", to)
-    token = F.lit(r"((?:O-O(?:-O)?|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?)[+#]?)[!?]*\s*(?:\{([^}]*)\})?")
-    tags = [_tag(t).alias(t) for t in _TAGS]
-    rows = records.select(*tags, body.alias("body"))
-    return rows.select(*_TAGS, F.regexp_extract_all("body", token, F.lit(1)).alias("moves"), F.transform(F.regexp_extract_all("body", token, F.lit(2)), centipawns).alias("evals"))
+    block, body = F.split_part("record", F.lit("\n\n"), F.lit(1)), F.split_part("record", F.lit("\n\n"), F.lit(2))
+    for _ in range(2):  # variations, and those within them
+        body = F.when(F.contains(body, F.lit("(")), F.regexp_replace(body, r"\([^()]*\)", " ")).otherwise(body)
+    body = F.when(F.startswith(body, F.lit("{")), F.regexp_replace(body, r"^(\s*\{[^}]*\})+", "")).otherwise(body)
+    rows = records.select(block.alias("block"), body.alias("body"))
+    rows = rows.select(F.regexp_extract_all("block", F.lit(_TAG), F.lit(1)).alias("names"), F.regexp_extract_all("block", F.lit(_TAG), F.lit(2)).alias("told"), F.regexp_extract_all("body", F.lit(_MOVE), F.lit(1)).alias("moves"), F.regexp_extract_all("body", F.lit(_MOVE), F.lit(2)).alias("comments"))
+    found = {t: F.get("told", F.array_position("names", t).cast("int") - 1) for t in _TAGS}
+    tags = [F.when(F.contains(c, F.lit("\\")), F.regexp_replace(c, r"\\(.)", "$1")).otherwise(c).alias(t) for t, c in found.items()]
+    return rows.select(*tags, "moves", F.transform("comments", centipawns).alias("evals"))
 
 
 def _player(name: Column) -> Column:
