@@ -16,7 +16,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch, where the session has only Spark's default of 64 MB: a worker holds a batch, its copy as Python objects and its result.
+BATCH_BYTES = "16m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +46,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     there, so a lost executor costs no more than the stage at hand. The files go
     when the application ends."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -62,6 +74,12 @@ def binary(column: pa.Array) -> pa.Array:
     return column.cast(pa.binary()).fill_null(b"")
 
 
+def values(column: pa.Array, rows: int = 512) -> Iterator[bytes]:
+    """The texts of a column as bytes, few at a time."""
+    for at in range(0, len(column), rows):
+        yield from binary(column.slice(at, rows)).to_pylist()
+
+
 def by_bytes(values: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
     """Bounds of runs of `values` that hold about `limit` bytes each."""
     start = size = 0

@@ -109,9 +109,10 @@ def sketches(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: int
 
         hashes = Words()
         for batch in batches:
-            texts, out = binary(batch.column(1)).to_pylist(), []
-            for at in range(0, len(texts), 256):
-                some = texts[at : at + 256]
+            out, digests = [], []
+            for at in range(0, len(batch), 256):
+                some = binary(batch.column(1).slice(at, 256)).to_pylist()
+                digests += [xxhash.xxh3_128_digest(t) for t in some]
                 owner, key, times = shingles(some, hashes, size)
                 held = prob_minhash(owner, key, 1 + np.log(times), len(some), bands * rows).reshape(len(some), bands, rows)
                 band = np.zeros((len(some), bands), np.uint64) + _ODD[2] * np.arange(bands, dtype=np.uint64)
@@ -120,7 +121,7 @@ def sketches(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: int
                 worded = np.zeros(len(some), bool)
                 worded[owner] = True
                 out += [b if ok else [] for b, ok in zip(band.view(np.int64).tolist(), worded.tolist(), strict=True)]
-            whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in texts), np.int64).reshape(-1, 2)
+            whole = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(whole[:, i], mask=null) for i in (0, 1)), pa.array(out, pa.list_(pa.int64()))], ["id", "h1", "h2", "bands"])
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import binary, stage
+from .base import stage, values
 from .tokens import encoded
 
 GROUPS = 64
@@ -196,7 +196,7 @@ def token_pieces(docs: DataFrame, path: str, *, room: int = 2048, id_column: str
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, owners = [], []
-            for k, ids in enumerate(encoded(binary(batch.column(1)).to_pylist(), path)):
+            for k, ids in enumerate(encoded(values(batch.column(1)), path)):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * room)):
                     part = ids[at : at + 4 * room]

@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
@@ -22,11 +22,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .base import binary, by_bytes
+from .base import binary, by_bytes, values
 
 #: Bytes of text that are encoded together, and words that a worker remembers.
 RUN_BYTES = 1 << 20
-WORDS_KEPT = 1_500_000
+WORDS_KEPT = 750_000
 
 #: A letter that neither case folding nor normalisation changes but by lowering it (ASCII and Latin-1).
 _LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
@@ -147,14 +147,25 @@ def parts(text: bytes, limit: int = RUN_BYTES) -> list[bytes]:
     return [*out, text[start:]]
 
 
-def encoded(texts: list[bytes], path: str) -> Iterator[bytes]:
+def encoded(texts: Iterable[bytes], path: str) -> Iterator[bytes]:
     """The ids of each text, in runs balanced by bytes."""
     use = encoder(path)
-    cut = [parts(t) if isinstance(use, WordEncoder) else [t] for t in texts]
-    pieces = [p for c in cut for p in c]
-    ids = (x for a, b in by_bytes(pieces, RUN_BYTES) for x in use.ids(pieces[a:b]))
-    for c in cut:
-        yield next(ids) if len(c) == 1 else b"".join(islice(ids, len(c)))
+    run: list[list[bytes]] = []
+    size = 0
+
+    def flush() -> Iterator[bytes]:
+        pieces = [p for cut in run for p in cut]
+        ids = (x for a, b in by_bytes(pieces, RUN_BYTES) for x in use.ids(pieces[a:b]))
+        for cut in run:
+            yield next(ids) if len(cut) == 1 else b"".join(islice(ids, len(cut)))
+
+    for text in texts:
+        run.append(parts(text) if isinstance(use, WordEncoder) else [text])
+        size += len(text) + 64
+        if size >= RUN_BYTES:
+            yield from flush()
+            run, size = [], 0
+    yield from flush()
 
 
 def count_tokens(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_column: str = "text", limit: int = 2048) -> DataFrame:
@@ -167,9 +178,8 @@ def count_tokens(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = binary(batch.column(1))
-            n = pa.array([len(x) // 4 for x in encoded(texts.to_pylist(), path)], pa.int64())
-            sizes = pc.cast(pc.binary_length(texts), pa.int64())
+            n = pa.array([len(x) // 4 for x in encoded(values(batch.column(1)), path)], pa.int64())
+            sizes = pc.cast(pc.binary_length(binary(batch.column(1))), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, n, pc.greater(n, limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.select(id_column).schema[0].dataType.simpleString()
