@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-C = "Column | str"
-
 
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x

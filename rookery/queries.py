@@ -12,7 +12,7 @@ from .operators import compare, features, rankings, sampling
 from .plans import density, models, neighbours
 from .schema import V2_21
 from .sources import pgn
-from .view import SQL, WHITE_WORDS, games, openings, table
+from .view import SQL, games, openings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -209,8 +209,6 @@ def q_banded(spark: SparkSession, d: str) -> DataFrame:
     return rounded(compare.accuracy_by_cluster(_clustered(spark, d), band=(300, 700)))
 
 
-_TAGGED = {"Variant": "Standard", "Rated": "True"}
-
 
 def _as_games(spark: SparkSession, d: str) -> DataFrame:
     """Orders as parsed games: priorities are results, keys are ratings and clocks."""

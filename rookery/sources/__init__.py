@@ -1,7 +1,8 @@
 """Where games and openings come from."""
 
+from .download import download
 from .feed import FeedReader, diverse_players, flatten_feed, read_feed
 from .openings import openings_dim
 from .pgn import games_of, parsed, read_records, reject_counts, transcode
 
-__all__ = ["FeedReader", "diverse_players", "flatten_feed", "games_of", "openings_dim", "parsed", "read_feed", "read_records", "reject_counts", "transcode"]
+__all__ = ["FeedReader", "diverse_players", "download", "flatten_feed", "games_of", "openings_dim", "parsed", "read_feed", "read_records", "reject_counts", "transcode"]

@@ -86,3 +86,39 @@ def test_openings_dim(spark, tmp_path):
     path = tmp_path / "a.tsv"
     path.write_text("eco\tname\tpgn\nB01\tScandinavian Defense\t1. e4 d5 2. b3\nB01\tScandinavian Defense\t1. e4 d5\nA00\tBad\t1. zz\nshort\nA04\tReti \"x\"\t1. Nf3\n")
     assert {r.name: r.color for r in openings_dim(read_openings(spark, str(path))).collect()} == {"Scandinavian Defense": "black", 'Reti "x"': "white"}
+
+
+def test_download_resumes(tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from rookery.sources import download as d
+
+    data, asked = bytes(range(256)) * 100, []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_HEAD(self):
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+
+        def do_GET(self):
+            at = int((self.headers.get("Range") or "bytes=0-")[6:-1])
+            asked.append(at)
+            self.send_response(206 if at else 200)
+            self.end_headers()
+            self.wfile.write(data[at:])
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, out = f"http://127.0.0.1:{server.server_port}/x", tmp_path / "dump" / "x"
+    out.parent.mkdir()
+    out.write_bytes(data[:1000])
+    for force in (False, False, True):
+        d(url, str(out), force)
+        assert out.read_bytes() == data
+    assert asked == [1000, 0]
+    server.shutdown()
