@@ -244,7 +244,9 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     # Stars: each text of a bucket against a few of its texts.
     banded = member.where("id = class").select("id", F.explode("bands").alias("band"))
     order = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id"))["id"] for k in (1, 2)]
-    pivots = banded.groupBy("band").agg(F.count("*").alias("n"), F.array_distinct(F.array(F.min("id"), F.max("id"), *order)).alias("pivots")).where("n > 1")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")  # few of all bands
+    banded = stage(banded.join(shared, "band"), "shared_bands")
+    pivots = banded.groupBy("band").agg(F.array_distinct(F.array(F.min("id"), F.max("id"), *order)).alias("pivots"))
     star = banded.join(pivots, "band").select("id", F.explode("pivots").alias("pivot")).where("id <> pivot")
     pairs = stage(star.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
