@@ -9,7 +9,9 @@ when no further one could be first anywhere.
 
 Equal texts are one from the start. Sketches are cut into bands; texts with an
 equal band may be near, and the exact Jaccard similarity of their shingles
-decides. First each text is held against a few of its bucket's texts (stars),
+decides. As that similarity is of sets, all weights are equal here, and the
+probability Jaccard similarity is the one that is verified, however often either
+text repeats a passage. First each text is held against a few of its bucket's texts (stars),
 which joins most groups. Where texts that share buckets still belong to
 different groups, blocks of them are held against each other: every pair that
 could join two groups is decided, and only pairs that do leave the task. Blocks
@@ -102,7 +104,7 @@ def prob_minhash(owner: np.ndarray, key: np.ndarray, weight: np.ndarray, texts:
 
 def sketches(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """(id, h1, h2, bands) for rows (id, text): a hash of the text (null for a null
-    text), and hashes of its bands (none for a text without words). A shingle's weight is 1 + ln(times)."""
+    text), and hashes of its bands (none for a text without words). Each shingle weighs 1, however often it comes: what is verified is the similarity of sets."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -113,8 +115,8 @@ def sketches(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: int
             for at in range(0, len(batch), 256):
                 some = binary(batch.column(1).slice(at, 256)).to_pylist()
                 digests += [xxhash.xxh3_128_digest(t) for t in some]
-                owner, key, times = shingles(some, hashes, size)
-                held = prob_minhash(owner, key, 1 + np.log(times), len(some), bands * rows).reshape(len(some), bands, rows)
+                owner, key, _ = shingles(some, hashes, size)
+                held = prob_minhash(owner, key, np.ones(len(key)), len(some), bands * rows).reshape(len(some), bands, rows)
                 band = np.zeros((len(some), bands), np.uint64) + _ODD[2] * np.arange(bands, dtype=np.uint64)
                 for r in range(rows):
                     band = mix64(band + held[:, :, r] * _ODD[r])

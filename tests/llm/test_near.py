@@ -71,6 +71,18 @@ def test_near_duplicates_as_brute_force(spark, rate, block):
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_copies_that_repeat_a_passage(spark):
+    rnd = np.random.default_rng(13)
+    rows = []
+    for k in range(40):  # the second of a pair has 30 of its 100 words 200 times
+        words = [f"p{k}w{rnd.integers(1 << 30)}" for _ in range(100)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:30] * 200 + words[30:90] + [f"n{k}x{j}" for j in range(6)]))]
+    want = brute(rows)
+    assert want == {i: i - i % 2 for i, _ in rows}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_ids_that_are_null_or_repeat(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "q r s t u v"), (9, "q r s t u v"), (2, "a b c d e f"), (7, None)], "doc_id long, text string")
     got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
