@@ -4,7 +4,8 @@ Disguises are figures and marks in place of letters, letters held down, and
 letters with spaces or marks between them. A disguised word becomes a lattice:
 at each place the letters it may stand for, each at the channel's cost. A
 character trigram model, counted over all texts, weighs the paths; Viterbi
-search keeps the best few. The restored text is scored by a logistic model over
+search keeps the best few for each state (the trigram's last two characters), so
+none of the likeliest readings is lost. The restored text is scored by a logistic model over
 the terms (words, and how long words begin) that mark toxic documents among the
 labelled ones.
 """
@@ -26,8 +27,8 @@ from .base import binary, keep_rows, label_sample, stage
 
 #: Labelled rows that training reads at most, and terms of the model at most.
 TRAIN_ROWS, TERMS = 8192, 1024
-#: Paths that are kept at each place of a lattice, restored words of a disguised one, terms a worker remembers.
-BEAM, RESTORED, KEPT = 12, 3, 400_000
+#: Restored words of a disguised one, terms a worker remembers.
+RESTORED, KEPT = 3, 400_000
 CUT = 0.7
 #: Letters of a longer word's beginning that are a term by themselves.
 BEGINS = (4, 5, 6, 7)
@@ -35,41 +36,77 @@ BEGINS = (4, 5, 6, 7)
 #: What a figure or mark may stand for.
 STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "tl", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou",
+    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeioubcdfghjklmnpqrstvwxyz",
 }
-#: log2 costs of the channel: a letter as it is, one disguised, one held down.
-PLAIN, DISGUISED, HELD = 0.0, -2.0, -1.0
+#: log2 costs of the channel: a letter as it is, one disguised, one held down, a consonant behind a star besides.
+PLAIN, DISGUISED, HELD, CONSONANT = 0.0, -2.0, -1.0, -2.0
 
 _WORD = re.compile(r"[^\W_]{3,}")
-_RUN = re.compile(rb"(?<![^ \t-\r])[!-~](?:[ \t-\r]{1,2}[!-~]){2,}(?![^ \t-\r])")
-_HELD = re.compile(r"(.)\1\1")
+_ONE = rb"(?:[!-~]|[\xc2-\xf4][\x80-\xbf]+)"
+_RUN = re.compile(rb"(?<![^ \t-\r])" + _ONE + rb"(?:[ \t-\r]{1,2}" + _ONE + rb"){2,}(?![^ \t-\r])")
+_HELD = re.compile(r"(.)\1")
+#: One mark between all letters, or some marks between letters.
+_PARTED = re.compile(r"\S([^\w\s]|_)\S(?:\1\S)+")
+_MARKS = re.compile(r"(?:[^\w\s]|_)+")
 _EDGES = ".,;:?\"'()[]{}<>-_~`"
 
 
-def restore(word: str, model: charlm.Model, *, beam: int = BEAM, best: int = RESTORED) -> list[str]:
-    """The likeliest readings of a lower-case word, best first."""
-    runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", word, re.DOTALL)]
-    paths: list[tuple[float, str]] = [(0.0, "")]
-    for c, n in runs:
-        steps: dict[str, float] = {}
-        for x in STANDS_FOR.get(c, c):
-            cost = PLAIN if x == c else DISGUISED
-            for times in {1, min(n, 2)}:
-                steps[x * times] = cost * times + (HELD if times != n else 0)
-        grown = [(p + cost + _weight(t, x, model), t + x) for p, t in paths for x, cost in steps.items()]
-        paths = sorted(grown, reverse=True)[:beam]
-    ended = sorted(((p + _weight(t, " ", model), t) for p, t in paths), reverse=True)
-    return [t for _, t in ended[:best]]
-
-
-def _weight(before: str, more: str, model: charlm.Model) -> float:
-    total, text = 0.0, (" " + before + more).encode()
-    for end in range(len(text) - len(more.encode()), len(text)):
-        key = 0
-        for b in text[max(0, end - model.order + 1) : end + 1]:
-            key = key << 6 | int(charlm.FOLDED[b])
-        total += float(model.table[key])
-    return total
+def restore(word: str, model: charlm.Model, *, best: int = RESTORED) -> list[str]:
+    """The likeliest readings of a lower-case word, best first: exactly those, as
+    what follows depends on a path's state only. A run of one figure or mark is one
+    symbol held down, or as many independent ones."""
+    paths: dict[int, dict[str, float]] = {0: {"": 0.0}}
+    for m in re.finditer(r"(.)\1*", word, re.DOTALL):
+        c, n = m[1], len(m[0])
+        steps = {x: PLAIN if x == c else DISGUISED + (CONSONANT if c == "*" and x not in "aeiou" else 0) for x in STANDS_FOR.get(c, c)}
+        held = {x * t: cost * t + HELD for x, cost in steps.items() for t in (1, 2) if t < n}
+        if c not in STANDS_FOR:
+            paths = _grown(paths, held | ({c * n: PLAIN} if n <= 2 else {}), model, best)
+            continue
+        apart = paths
+        for _ in range(n):
+            apart = _grown(apart, steps, model, best)
+        paths = _merged([apart, _grown(paths, held, model, best)], best) if held else apart
+    ended = [(p + float(model.table[state << 6]), t) for state, some in paths.items() for t, p in some.items()]
+    sure: dict[str, float] = {}
+    for p, t in sorted(ended):
+        sure[t] = p
+    return [t for t, _ in sorted(sure.items(), key=lambda x: (-x[1], x[0]))[:best]]
+
+
+def _grown(paths: dict[int, dict[str, float]], steps: dict[str, float], model: charlm.Model, best: int) -> dict[int, dict[str, float]]:
+    """The best paths for each state after one of `steps`."""
+    last = charlm.CLASSES ** (model.order - 1) - 1
+    out: list[dict[int, dict[str, float]]] = []
+    folded = [(x, cost, [int(charlm.FOLDED[b]) for b in x.encode()]) for x, cost in steps.items()]
+    for state, some in paths.items():
+        for x, cost, symbols in folded:
+            at, weight = state, cost
+            for f in symbols:
+                key = at << 6 | f
+                weight += float(model.table[key])
+                at = key & last
+            out.append({at: {t + x: p + weight for t, p in some.items()}})
+    return _merged(out, best)
+
+
+def _merged(sides: list[dict[int, dict[str, float]]], best: int) -> dict[int, dict[str, float]]:
+    out: dict[int, dict[str, float]] = {}
+    for side in sides:
+        for state, some in side.items():
+            known = out.setdefault(state, {})
+            for t, p in some.items():
+                if p > known.get(t, -np.inf):
+                    known[t] = p
+    return {state: some if len(some) <= best else dict(sorted(some.items(), key=lambda x: (-x[1], x[0]))[:best]) for state, some in out.items()}
+
+
+def joined(text: str) -> str:
+    """`text` without the marks between its single letters, or as it is."""
+    if _PARTED.fullmatch(text):
+        return text[::2]
+    parts = [x for x in _MARKS.split(text) if x]
+    return "".join(parts) if len(parts) >= 3 and all(len(x) == 1 for x in parts) else text
 
 
 @dataclass
@@ -93,23 +130,26 @@ class Reader:
 
     def word(self, raw: bytes) -> tuple:
         text = raw.decode(errors="replace").lower()
-        if text.isalpha() and not _HELD.search(text):
-            return self._kept(self._of(text))
+        if text.isalpha():
+            found = self._of(text)
+            if _HELD.search(text) and (self.terms is not None or re.search(r"(.)\1\1", text)):  # learning takes doubled letters as they are
+                found += [x for r in restore(text, self.model) for x in self._of(r)]
+            return self._kept(found)
         plain = text.strip(_EDGES + "!*|+$@")
         found = self._of(plain) if plain.isalpha() else [x for w in _WORD.findall(text) for x in self._of(w)]
         shorn = text.strip(_EDGES)
         letters = sum(c.isalpha() for c in shorn)
-        bare = re.sub(r"[.\-_~]", "", shorn)
-        disguised = letters >= 1 and any(c in STANDS_FOR for c in shorn) or bool(_HELD.search(shorn)) or letters >= 3 and len(bare) < len(shorn) and not re.search(r"[^\W\d_]{3}", shorn)
+        bare, whole = re.sub(r"[.\-_~]", "", shorn), joined(shorn)
+        disguised = whole != shorn or letters >= 1 and any(c in STANDS_FOR for c in shorn) or bool(_HELD.search(shorn)) or letters >= 3 and len(bare) < len(shorn) and not re.search(r"[^\W\d_]{3}", shorn)
         if disguised and len(bare) >= 3:
-            for option in {bare, bare.rstrip("!*|+$@") or bare}:
+            for option in {whole} if whole != shorn else {bare, bare.rstrip("!*|+$@") or bare}:
                 found += [x for r in restore(option, self.model) for x in self._of(r)]
         return self._kept(found)
 
     def run(self, raw: bytes) -> tuple:
         """A run of single letters: it may hide several words, so known words are looked for anywhere in it."""
-        found, joined = [], b"".join(raw.split()).decode("latin-1").lower()
-        for reading in restore(joined, self.model):
+        found, letters = [], joined(b"".join(raw.split()).decode(errors="replace").lower())
+        for reading in restore(letters, self.model):
             found += self._of(reading) + [w for w in self.whole if w in reading]
         return self._kept(found)
 

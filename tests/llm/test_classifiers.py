@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,33 @@ def test_disguised_words_are_restored(spark, tables):
         assert reader.read(text.encode()) == ({term} if term is not None else set()), text
 
 
+def test_disguises_of_other_kinds_are_restored(spark, tables):
+    model = charlm.fit(charlm.count(tables[0], "text", 3, charlm.FOLDED), 3)
+    reader = toxicity.Reader(model, {"idiot": 0, "stupid": 1, "moron": 2, "blöde": 3})
+    for text, term in (("i/d/i/o/t", 0), ("i*d*i*o*t", 0), ("(m|o|r|o|n)", 2), ("idiiot", 0), ("you b l ö d e there", 3), ("s/t/u/p/i/d,", 1), ("and/or either letter", None)):
+        assert reader.read(text.encode()) == ({term} if term is not None else set()), text
+
+
+def test_restoring_is_exact(spark, tables):
+    model = charlm.fit(charlm.count(tables[0], "text", 3, charlm.FOLDED), 3)
+    toxicity.Reader(model)  # makes the table
+
+    def weight(text):
+        keys, _ = charlm.keys_of(pa.array([f" {text} ".encode()]), 3, charlm.FOLDED)
+        return float(model.table[keys[1:]].astype(float).sum())
+
+    for word in ("*d**t", "p1*9s", "**mb3r"):
+        options = []
+        for readings in itertools.product(*(toxicity.STANDS_FOR.get(c, c) for c in word)):
+            cost = sum(0 if x == c else toxicity.DISGUISED + (toxicity.CONSONANT if c == "*" and x not in "aeiou" else 0) for x, c in zip(readings, word, strict=True))
+            options.append((cost + weight("".join(readings)), "".join(readings)))
+        top = [t for _, t in sorted(options, key=lambda x: (-x[0], x[1]))[:3]]
+        got = [t for t in toxicity.restore(word, model, best=10_000) if len(t) == len(word)][:3]
+        assert got == top, word
+        few = toxicity.restore(word, model)
+        assert few == toxicity.restore(word, model, best=10_000)[:3], word
+
+
 @pytest.mark.parametrize("score", [quality_fm.score_quality, toxicity.score_toxicity])
 def test_odd_rows(spark, score):
     docs = spark.createDataFrame([(1, "fine words here", 3, "x"), (1, "fine words here", None, "x"), (None, None, 5, "y"), (2, "", 0, None), (3, "w " * 40000, 9, "")], "doc_id long, text string, n_chars long, score string")
