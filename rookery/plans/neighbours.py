@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.rankings import pool_blocks, rank_openings
+from ..llm.base import stage
 from .models import distance
 
-#: Queries of one call at most: they are sent to all tasks.
-MAX_QUERIES = 4096
+#: Queries of one block, about: a block at a time is sent to all tasks.
+BLOCK = 4096
 
 
 def nearest(rows: DataFrame, query: Column, k: int, exclude=None) -> DataFrame:
@@ -22,12 +23,24 @@ def nearest(rows: DataFrame, query: Column, k: int, exclude=None) -> DataFrame:
     return rows.withColumn("dist", distance(F.transform("features", lambda x: x.cast("double")), query)).orderBy("dist", "id").limit(k)
 
 
-def nearest_many(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def nearest_many(rows: DataFrame, queries: DataFrame, k: int, *, block: int = BLOCK) -> DataFrame:
     """(query, id, dist, rank) of the `k` rows nearest to each of the queries (id,
-    features; MAX_QUERIES at most), a row's own id left out: every batch of rows meets the queries as matrices and keeps k of each."""
-    asked = queries.select("id", "features").limit(MAX_QUERIES + 1).toPandas()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
+    features), a row's own id left out. Queries are taken in blocks of about `block`, of any number; each block's result is a table."""
+    blocks = -(-queries.count() // block)
+    if blocks <= 1:
+        return _nearest_block(rows, queries, k)[0]
+    out = None
+    for n in range(blocks):
+        found, shared = _nearest_block(rows, queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n), k)
+        found = stage(found, "nearest")
+        shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _nearest_block(rows: DataFrame, queries: DataFrame, k: int):
+    """`nearest_many` of one block, and its broadcast: every batch of rows meets the queries as matrices and keeps k of each."""
+    asked = queries.select("id", "features").toPandas()
     names = asked["id"].to_numpy()
     points = np.array(asked["features"].tolist(), float).reshape(len(asked), -1)
     shared = rows.sparkSession.sparkContext.broadcast((names, points))
@@ -47,7 +60,7 @@ def nearest_many(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
     found = rows.select("id", "features").mapInPandas(meet, f"query {kind}, id {kind}, dist double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("dist", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k), shared
 
 
 def recommend_from_games(rows: DataFrame, query: Column, games: DataFrame, *, k: int = 2000, exclude=None, **ranking) -> DataFrame:

@@ -125,6 +125,12 @@ def test_models(spark, tmp_path):
         models.vectors(rows, "id", ["nope"])
 
 
+def test_queries_in_blocks(spark):
+    rows = blobs(spark, 10)
+    one, many = (sorted(map(tuple, neighbours.nearest_many(rows, rows, 2, block=b).collect())) for b in (4096, 12))
+    assert one == many and len(many) == 60
+
+
 def test_density(spark):
     rnd = np.random.default_rng(1)
     noise = spark.createDataFrame([(1000 + i, x.tolist()) for i, x in enumerate(rnd.uniform(-30, 30, (20, 3)))], "id long, features array<double>")
