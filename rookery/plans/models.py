@@ -19,7 +19,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..llm.base import stage
+
 SEED, RESTARTS, MAX_ITER = 42, 10, 300
+#: Rows of one block of a silhouette, about: a block at a time is sent to all tasks.
+BLOCK = 10_000
 
 
 def vectors(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -79,7 +83,7 @@ def inertia(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.sum(F.col("dist") * F.col("dist")).alias("inertia"))
 
 
-def k_sweep(rows: DataFrame, low: int = 2, high: int = 10, *, sample_size: int = 10_000, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
+def k_sweep(rows: DataFrame, low: int = 2, high: int = 10, *, sample_size: int | None = None, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
     """(k, inertia, silhouette) for each number of clusters."""
     out = []
     for k in range(low, high + 1):
@@ -88,11 +92,14 @@ def k_sweep(rows: DataFrame, low: int = 2, high: int = 10, *, sample_size: int =
     return rows.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
 
 
-def silhouette(assigned: DataFrame, *, sample_size: int = 10_000, seed: int = SEED) -> DataFrame:
-    """One row, the mean silhouette by Euclidean distance over a sample of
-    `sample_size` rows at most (by hash); exact where there are fewer. Each sampled row meets the
-    sample, of that bounded size, in blocks; a cluster of one row counts 0."""
-    sample = assigned.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_size).select("id", "features", "cluster")
+def silhouette(assigned: DataFrame, *, sample_size: int | None = None, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+    """One row, the mean silhouette by Euclidean distance, a cluster of one row
+    counting 0: over all rows, or over a sample of `sample_size` (by hash). More than `block` rows meet blocks of them, one after another."""
+    sample = assigned.select("id", "features", "cluster")
+    if sample_size is not None:
+        sample = sample.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_size)
+    if sample.limit(block + 1).count() > block:
+        return _silhouette_in_blocks(sample, block)
     rows = sample.toPandas()
     points = np.array(rows["features"].tolist(), float).reshape(len(rows), -1)
     labels, codes = np.unique(rows["cluster"].to_numpy(), return_inverse=True) if len(rows) else (np.zeros(0), np.zeros(0, int))
@@ -120,6 +127,41 @@ def silhouette(assigned: DataFrame, *, sample_size: int = 10_000, seed: int = SE
     return sample.mapInPandas(widths, "s double").agg(F.avg("s").alias("silhouette"))
 
 
+def _silhouette_in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """The same, from each row's distances to each cluster, summed in Spark over the blocks."""
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "silhouette_rows")
+    blocks = -(-rows.count() // block)
+    sums = None
+    for n in range(blocks):
+        some = rows.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == n).select("features", "cluster").toPandas()
+        if not len(some):
+            continue
+        labels, codes = np.unique(some["cluster"].to_numpy(), return_inverse=True)
+        shared = rows.sparkSession.sparkContext.broadcast((np.array(some["features"].tolist(), float), labels, codes))
+
+        def meet(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            points, labels, codes = shared.value
+            for batch in batches:
+                for at in range(0, len(batch), 64):
+                    part = batch.iloc[at : at + 64]
+                    x = np.array(part["features"].tolist(), float)
+                    d = np.sqrt(((x[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+                    total = np.stack([d[:, codes == c].sum(axis=1) for c in range(len(labels))], axis=1)
+                    yield pd.DataFrame({"row": np.repeat(part["row"].to_numpy(), len(labels)), "other": np.tile(labels, len(part)), "total": total.ravel()})
+
+        kind = rows.schema["cluster"].dataType.simpleString()
+        found = stage(rows.select("row", "features").mapInPandas(meet, f"row bigint, other {kind}, total double"), "silhouette")
+        shared.destroy()
+        sums = found if sums is None else sums.unionByName(found)
+    sizes = rows.groupBy(F.col("cluster").alias("other")).agg(F.count("*").alias("n"))
+    each = sums.groupBy("row", "other").agg(F.sum("total").alias("total")).join(F.broadcast(sizes), "other").join(rows.select("row", "cluster"), "row")
+    own = F.col("other") == F.col("cluster")
+    per = each.groupBy("row").agg(F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
+    wide = F.greatest("a", "b")
+    s = F.when(F.col("a").isNotNull() & F.col("b").isNotNull() & (wide > 0), (F.col("b") - F.col("a")) / wide).otherwise(0.0)
+    return per.agg(F.avg(s).alias("silhouette"))
+
+
 def pca(rows: DataFrame, k: int) -> tuple[DataFrame, list[float], list[float]]:
     """`rows` with `pcs` (centred, each component's largest loading positive), the shares of variance explained, and their running sum."""
     data = rows.withColumn("_v", array_to_vector("features"))

@@ -131,6 +131,17 @@ def test_queries_in_blocks(spark):
     assert one == many and len(many) == 60
 
 
+def test_silhouette_of_all_rows(spark):
+    rows = blobs(spark, 10).withColumn("cluster", F.when(F.col("id") == 0, 9).otherwise((F.col("id") % 2).cast("int")))
+    assert models.silhouette(rows, block=7).first()[0] == pytest.approx(models.silhouette(rows).first()[0], abs=1e-9)
+    large = spark.range(10_100).select("id", F.array((F.col("id") % 7).cast("double")).alias("features"), (F.col("id") % 2).cast("int").alias("cluster"))
+    x, c = np.arange(10_100) % 7, np.arange(10_100) % 2
+    n = np.array([[((x == v) & (c == k)).sum() for v in range(7)] for k in (0, 1)])
+    near = np.abs(np.arange(7)[:, None] - np.arange(7)[None]) @ n.T
+    a, b = near[x, c] / (n.sum(axis=1)[c] - 1), near[x, 1 - c] / n.sum(axis=1)[1 - c]
+    assert models.silhouette(large).first()[0] == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=1e-12)
+
+
 def test_density(spark):
     rnd = np.random.default_rng(1)
     noise = spark.createDataFrame([(1000 + i, x.tolist()) for i, x in enumerate(rnd.uniform(-30, 30, (20, 3)))], "id long, features array<double>")
