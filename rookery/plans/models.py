@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..llm.base import stage
+from ..shared import stage
 
 SEED, RESTARTS, MAX_ITER = 42, 10, 300
 #: Rows of one block of a silhouette, about: a block at a time is sent to all tasks.

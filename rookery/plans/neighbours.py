@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.rankings import pool_blocks, rank_openings
-from ..llm.base import stage
+from ..shared import stage
 from .models import distance
 
 #: Queries of one block, about: a block at a time is sent to all tasks.

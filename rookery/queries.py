@@ -11,6 +11,7 @@ from .functions import accuracy, expected_score, fallback_color, family, last_mo
 from .operators import compare, features, rankings, sampling
 from .plans import density, models, neighbours
 from .schema import V2_21
+from .shared import shared_dir
 from .sources import pgn
 from .view import SQL, games, openings, table
 
@@ -531,16 +532,11 @@ def q_pgn_ingest(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {SQL} select username, color, family, count(*) n, round(sum(sd),6)+0e0 sum_sd from ann where case when family ilike '%defense%' then 'black' else 'white' end = color group by 1,2,3")
 def q_stream_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks kept up by a stream over the games, as files: equal to those of a batch."""
-    import tempfile
     import uuid
 
     from .streaming import blocks
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="rookery-stream-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     view = games(spark, d)
     rows = view.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in view.columns and f.name not in ("user_rating", "opponent_rating") else (F.col(f.name) if f.name in view.columns else F.lit(None).cast(f.dataType).alias(f.name)) for f in blocks.schema.GAMES))
     rows.write.parquet(f"{at}/games")
