@@ -3,8 +3,6 @@ reuse, the label sample and small Arrow helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
+
 #: ASCII white space, as in the pattern [^\x20\x09-\x0D]+ for a word. bytes.split() splits at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,27 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a
-    session without one (tests) a temporary folder that is set for it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="rookery-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as a table in the shared folder and reread: lineage ends
-    there, so a lost executor costs no more than the stage at hand. The files go
-    when the application ends."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    """`df` written as a table in the shared folder and reread, in Arrow batches of bounded size."""
+    small_batches(df.sparkSession)
+    return shared.stage(df, name)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
