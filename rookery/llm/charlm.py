@@ -1,11 +1,8 @@
-"""A character n-gram model with modified Kneser-Ney smoothing.
-
-Texts are read as UTF-8 bytes, folded into 64 classes, so a table of n-grams of
-order N can't have more than 64**N rows however large the corpus is: at order 4,
-16.8 million numbers of four bytes and as many values, 134 MB at the very most
-(a Latin corpus has a few hundred thousand). Spark counts them over all texts;
-the smoothed model is a sorted array of n-gram keys with their log-probabilities,
-and arrays for the orders below.
+"""A small character n-gram model with modified Kneser-Ney smoothing, for decoding.
+
+Texts are read as UTF-8 bytes, folded into 64 classes, so the table of all n-grams
+of order N has 64**N rows however large the corpus is, and a decoder finds any
+transition by its key. Spark counts them over all texts.
 """
 
 from __future__ import annotations
@@ -23,17 +20,15 @@ from .base import binary
 CLASSES = 64
 
 
-def _classes(fold_case: bool) -> np.ndarray:
+def _classes() -> np.ndarray:
     """A class for each byte: white space 0, letters, one for digits, stops, marks, symbols, and six for bytes beyond ASCII."""
     out = np.zeros(256, np.uint8)
     for i in range(256):
         c = chr(i)
         if i >= 128:
             out[i] = 58 + i % 6
-        elif c.islower() or (fold_case and c.isupper()):
+        elif c.isalpha():
             out[i] = 1 + ord(c.lower()) - 97
-        elif c.isupper():
-            out[i] = 27 + i - 65
         elif c.isdigit():
             out[i] = 53
         elif c in ".,":
@@ -45,7 +40,7 @@ def _classes(fold_case: bool) -> np.ndarray:
     return out
 
 
-CASED, FOLDED = _classes(False), _classes(True)
+FOLDED = _classes()
 
 
 def keys_of(texts: pa.Array, order: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

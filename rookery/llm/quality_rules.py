@@ -1,10 +1,11 @@
 """Quality rules: counts of words, symbols and repeats, and an n-gram model's perplexity.
 
-The model (charlm, order 4) is counted over all texts. A document is rejected if
-its perplexity lies outside its language's band, whose bounds come from the
-quartiles of log-perplexity over that language's documents: at FENCE times their
-distance (MIN_WIDTH at least) beyond them, far outside what is usual. A mean over n
-words scatters the more the fewer they are, so the band of a text is wider by
+The model (kneser_ney, five code points) is counted over all texts; perplexity is
+that of a word: 2 to the bits of a text over its words. A document is rejected if
+it lies outside its language's band, whose bounds come from the quartiles of the
+bits a word over that language's documents: at FENCE times their distance
+(MIN_WIDTH at least) beyond them, far outside what is usual. A mean over n words
+scatters the more the fewer they are, so the band of a text is wider by
 sqrt(1 + SCATTER / n).
 """
 
@@ -14,14 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import charlm
+from . import kneser_ney
 from .base import binary, stage
 
-ORDER, FENCE, MIN_WIDTH, SCATTER = 4, 3.0, 0.05, 100
+FENCE, MIN_WIDTH, SCATTER = 3.0, 0.25, 100
 WINDOW = 8
+#: Digits of the bits a word that quartiles are counted by.
+DIGITS = 3
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -60,51 +63,58 @@ def _per_text(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return sums[starts[1:]] - sums[starts[:-1]]
 
 
-def measure(docs: DataFrame, model: charlm.Model, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """The counts of each text, and bits: its mean -log2 probability for a byte (null for an empty text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
-            texts = binary(batch.column(1))
-            for at in range(0, len(texts), 256):
-                some = texts.slice(at, 256)
-                keys, starts = charlm.keys_of(some, ORDER, charlm.CASED)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    bits = -_per_text(shared.value.score(keys).astype(np.float64), starts) / np.diff(starts)
-                offsets = np.frombuffer(some.buffers()[1], np.int32, len(some) + 1, some.offset * 4)
-                data = np.frombuffer(some.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if starts[-1] else np.zeros(0, np.uint8)
-                values = some.to_pylist()
-                words = [t.split() for t in values]
-                lines = [[x for x in t.split(b"\n") if x and not x.isspace()] for t in values]
-                for column, value in zip(columns, ([len(w) for w in words], _per_text(~_SPACE[data] & ((data & 0xC0) != 0x80), starts), _per_text(_SYMBOL[data], starts), [len(x) - len(set(x)) for x in lines], repeated(words), [None if b != b else b for b in bits.tolist()]), strict=True):
-                    column.extend(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.float64())], ["id", "lang", *names, "bits"])
-
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    kind = docs.select(id_column).schema[0].dataType.simpleString()
-    rows = docs.select(id_column, text_column, F.col(lang_column).cast("string"))
-    return rows.mapInArrow(measured, f"id {kind}, lang string, {', '.join(f'{n} bigint' for n in names)}, bits double").withColumnRenamed("id", "doc_id")
-
-
-def apply_rules(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", fence: float = FENCE, min_width: float = MIN_WIDTH) -> DataFrame:
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _measured(batch: pa.RecordBatch, look: kneser_ney.Lookup) -> pa.RecordBatch:
+    """(id, lang, NAMES, bits) of rows (id, text, lang): bits a word, null without words."""
+    columns: list[list] = [[] for _ in range(6)]
+    texts = binary(batch.column(1))
+    for at in range(0, len(texts), 256):
+        some = texts.slice(at, 256)
+        offsets = np.frombuffer(some.buffers()[1], np.int32, len(some) + 1, some.offset * 4).astype(np.int64)
+        starts = offsets - offsets[0]
+        data = np.frombuffer(some.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if starts[-1] else np.zeros(0, np.uint8)
+        values = some.to_pylist()
+        words = [t.split() for t in values]
+        lines = [[x for x in t.split(b"\n") if x and not x.isspace()] for t in values]
+        sums = kneser_ney.total_bits(values, look).tolist()
+        bits = [b / len(w) if w else None for b, w in zip(sums, words, strict=True)]
+        for column, value in zip(columns, ([len(w) for w in words], _per_text(~_SPACE[data] & ((data & 0xC0) != 0x80), starts), _per_text(_SYMBOL[data], starts), [len(x) - len(set(x)) for x in lines], repeated(words), bits), strict=True):
+            column.extend(value)
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.float64())], ["id", "lang", *NAMES, "bits"])
+
+
+def quartiles(rows: DataFrame) -> DataFrame:
+    """(tongue, q1, q3) of `rows` (tongue, bits), to DIGITS digits: from how often each
+    value comes, so that of a language only its distinct values meet."""
+    counts = rows.where("bits is not null").groupBy("tongue", F.round("bits", DIGITS).alias("at")).agg(F.count("*").alias("n"))
+    by_tongue = Window.partitionBy("tongue")
+    told = counts.withColumn("upto", F.sum("n").over(by_tongue.orderBy("at"))).withColumn("all", F.sum("n").over(by_tongue))
+    return told.groupBy("tongue").agg(*(F.min(F.when(F.col("upto") >= share * F.col("all"), F.col("at"))).alias(name) for name, share in (("q1", 0.25), ("q3", 0.75))))
+
+
+def apply_rules(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", fence: float = FENCE, min_width: float = MIN_WIDTH, broadcast_rows: int = kneser_ney.BROADCAST_ROWS) -> DataFrame:
     """A row for each row of `docs`: doc_id, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, perplexity, low, high, kept.
+    n_dup_lines, n_repeat_words, base_failed, perplexity (of a word), low, high, kept.
 
     Null texts are empty: no words, so they fail and their perplexity is null. A
-    null language is a language; one in which every document fails the base has no
+    null language is a language of its own; one in which every document fails the base has no
     band, and keeps nothing that it would decide. Repeated rows and null ids stay,
-    other columns aren't read, an empty table gives none. Two passes over the texts; shuffled are n-gram counts, and quartiles by language."""
-    model = charlm.fit(charlm.count(docs, text_column, ORDER, charlm.CASED), ORDER)
-    rows = stage(measure(docs, model, id_column=id_column, text_column=text_column, lang_column=lang_column), "measured")
+    other columns aren't read, an empty table gives none. Two passes over the texts;
+    shuffled are n-gram counts and how often each value of a language comes. A model of
+    more than `broadcast_rows` n-grams isn't sent to all tasks (`kneser_ney.scored`)."""
+    model = kneser_ney.fitted(kneser_ney.counted(docs.select(text_column)))
+    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
+    kind = source.schema[0].dataType.simpleString()
+    schema = f"id {kind}, lang string, {', '.join(f'{n} bigint' for n in NAMES)}, bits double"
+    rows = stage(kneser_ney.scored(source, model, _measured, schema, most=broadcast_rows).withColumnRenamed("id", "doc_id"), "measured")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed).withColumn("tongue", F.coalesce("lang", F.lit("")))
-    quartiles = rows.where(~F.col("base_failed")).groupBy("tongue").agg(F.percentile_approx("bits", [0.25, 0.75], 1000).alias("q"))
-    width = fence * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(min_width))
-    bands = quartiles.select("tongue", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), width.alias("width"))
+    rows = rows.withColumn("base_failed", failed).withColumn("tongue", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
+    width = fence * F.greatest(F.col("q3") - F.col("q1"), F.lit(min_width))
+    bands = quartiles(rows.where(~F.col("base_failed"))).withColumn("width", width)
     told = rows.join(bands, "tongue", "left").withColumn("wide", F.col("width") * F.sqrt(1 + SCATTER / F.greatest("n_words", F.lit(1))))
     for name, power in (("perplexity", F.col("bits")), ("low", F.col("q1") - F.col("wide")), ("high", F.col("q3") + F.col("wide"))):
         told = told.withColumn(name, F.pow(F.lit(2.0), power))
     kept = ~F.col("base_failed") & F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "perplexity", "low", "high")
+    return told.select("doc_id", *NAMES, "base_failed", kept.alias("kept"), "perplexity", "low", "high")

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from rookery.llm import charlm
+from rookery.llm import charlm, kneser_ney
 from rookery.llm.quality_rules import apply_rules, repeated
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -40,8 +40,8 @@ def test_repeats_do_not_cross_texts():
 
 def test_the_model_is_a_distribution(spark):
     docs = spark.createDataFrame([("the cat sat on the mat",), ("a dog ate the cat",), (None,)], "text string")
-    counts = charlm.count(docs, "text", 3, charlm.CASED)
-    keys, _ = charlm.keys_of(pa.array([b"the cat sat on the mat", b"a dog ate the cat"]), 3, charlm.CASED)
+    counts = charlm.count(docs, "text", 3, charlm.FOLDED)
+    keys, _ = charlm.keys_of(pa.array([b"the cat sat on the mat", b"a dog ate the cat"]), 3, charlm.FOLDED)
     assert {r.key: r.n for r in counts.collect()} == dict(Counter(keys.tolist()))
     m = charlm.fit(counts, 3)
     everything = np.arange(64**3, dtype=np.uint32)
@@ -55,3 +55,54 @@ def test_odd_texts_leave_the_band(spark):
     odd = [(1000, " ".join("".join(rnd.choice(list("qxzjkvw%#0123456789"), 6)) for _ in range(60)), "en")]
     kept = {r.doc_id: r.kept for r in apply_rules(spark.createDataFrame(plain + odd, "doc_id long, text string, lang string")).collect()}
     assert not kept[1000] and np.mean([kept[i] for i in range(300)]) > 0.99
+
+
+def brute_kneser_ney(texts):
+    """Bits of each n-gram of five code points, by dictionaries."""
+    order, counts = 5, {5: Counter()}
+    for t in texts:
+        padded = " " * 4 + t
+        counts[5].update(padded[i : i + 5] for i in range(len(t)))
+    for k in (4, 3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    p = {"": 1 / len(counts[1])}
+    for k in range(1, order + 1):
+        some = counts[k]
+        d = kneser_ney.discounts([sum(c == i for c in some.values()) for i in (1, 2, 3, 4)])
+        total, left = Counter(), Counter()
+        for g, c in some.items():
+            total[g[:-1]] += c
+            left[g[:-1]] += d[min(c, 3) - 1]
+        p = {g: (c - d[min(c, 3) - 1]) / total[g[:-1]] + left[g[:-1]] / total[g[:-1]] * p[g[1:]] for g, c in some.items()}
+    return {g: -np.log2(x) for g, x in p.items()}
+
+
+def test_perplexity_as_brute_force_both_ways(spark):
+    rnd = np.random.default_rng(5)
+    words = ["река", "тихо", "сад", "语言", "模型", "la", "niña", "über", "the", "x😀y", "\n", "a"]
+    texts = [" ".join(rnd.choice(words, int(rnd.integers(0, 50)))) for _ in range(80)] + ["", None, " ", "я" * 3000]
+    bits = brute_kneser_ney([t or "" for t in texts])
+    docs = spark.createDataFrame([(i, t, ["ru", "zh", None, ""][i % 4]) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    for most in (kneser_ney.BROADCAST_ROWS, 0):
+        got = {r.doc_id: r for r in apply_rules(docs, broadcast_rows=most).collect()}
+        assert len(got) == len(texts)
+        for i, t in enumerate(texts):
+            n = len(WORD.findall(t or ""))
+            if not n:
+                assert got[i].perplexity is None
+                continue
+            padded = " " * 4 + t
+            want = sum(bits[padded[k : k + 5]] for k in range(len(t))) / n
+            assert abs(np.log2(got[i].perplexity) - want) < 1e-4 * max(1, want), i
+        bands = {i % 4: (r.low, r.high) for i, r in got.items()}
+        assert len(set(bands.values())) == 4  # a null language isn't an empty one
+
+
+def test_quartiles_by_language(spark):
+    from rookery.llm.quality_rules import quartiles
+
+    rnd = np.random.default_rng(6)
+    rows = [("=en", round(float(x), 3)) for x in rnd.normal(10, 1, 500)] + [("", 3.0)] * 7 + [("=de", None)]
+    got = {r.tongue: (r.q1, r.q3) for r in quartiles(spark.createDataFrame(rows, "tongue string, bits double")).collect()}
+    en = sorted(x for t, x in rows if t == "=en")
+    assert got == {"=en": (en[124], en[374]), "": (3.0, 3.0)}
