@@ -82,6 +82,7 @@ class Model:
     backoff: np.ndarray
     lower: np.ndarray
     table: np.ndarray | None = None  # of all n-grams, where a reader wants one (small orders)
+    costs: list[float] | None = None  # the same as a list
 
     def score(self, keys: np.ndarray) -> np.ndarray:
         out = self.backoff[keys >> 6] + self.lower[keys & np.uint32(CLASSES ** (self.order - 1) - 1)]

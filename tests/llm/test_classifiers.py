@@ -58,13 +58,14 @@ def test_disguised_words_are_restored(spark, tables):
 def test_disguises_of_other_kinds_are_restored(spark, tables):
     model = charlm.fit(charlm.count(tables[0], "text", 3, charlm.FOLDED), 3)
     reader = toxicity.Reader(model, {"idiot": 0, "stupid": 1, "moron": 2, "blöde": 3})
-    for text, term in (("i/d/i/o/t", 0), ("i*d*i*o*t", 0), ("(m|o|r|o|n)", 2), ("idiiot", 0), ("you b l ö d e there", 3), ("s/t/u/p/i/d,", 1), ("and/or either letter", None)):
+    for text, term in (("i/d/i/o/t", 0), ("i*d*i*o*t", 0), ("(m|o|r|o|n)", 2), ("idiiot", 0), ("you b l ö d e there", 3), ("s/t/u/p/i/d,", 1), ("and/or either letter", None), ("you i   d   i   o   t", 0), ("i\xa0d\xa0i\xa0o\xa0t", 0), ("you id iot", 0), ("\xefd\xef\xf6t", 0), ("\u0456diot", 0), ("m\u200bor\u200bon", 2), ("st\u00fcpid", 1), ("the id is on it", None)):
         assert reader.read(text.encode()) == ({term} if term is not None else set()), text
 
 
 def test_restoring_is_exact(spark, tables):
     model = charlm.fit(charlm.count(tables[0], "text", 3, charlm.FOLDED), 3)
     toxicity.Reader(model)  # makes the table
+    assert model.costs == model.table.tolist()
 
     def weight(text):
         keys, _ = charlm.keys_of(pa.array([f" {text} ".encode()]), 3, charlm.FOLDED)
@@ -102,3 +103,34 @@ def test_filters_keep_whole_rows(tables):
         assert kept.columns == docs.columns
         out = {r.doc_id for r in score(docs, labels).where(F.col("predicted") == bad).collect()}
         assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.select("doc_id").collect()} - out
+
+
+def test_a_walk_of_terms_leaves_out_no_reading(spark, tables):
+    model = charlm.fit(charlm.count(tables[0], "text", 3, charlm.FOLDED), 3)
+    terms = {t: i for i, t in enumerate(["idiot", "stup~", "moron", "the", "ther", "rest~"])}
+    reader, rnd = toxicity.Reader(model, terms), np.random.default_rng(4)
+    for _ in range(400):
+        word = "".join(rnd.choice(list("idotherslpum10*$@3!éѕі"), int(rnd.integers(3, 8))))
+        readings = toxicity.restore(word, model)
+        want = {t for r in readings for t in reader._of(r) if t in terms}
+        assert {t for r in reader._restored(word) for t in reader._of(r) if t in terms} == want, word
+
+
+def test_copies_of_one_document_make_no_terms(spark, tables):
+    model = charlm.fit(charlm.count(tables[0], "text", 3, charlm.FOLDED), 3)
+    rnd = np.random.default_rng(5)
+    word = lambda: "".join(rnd.choice(list("aeioulmnrst"), 6))
+    one = " ".join(word() for _ in range(60))
+    rows = [(i, one if i % 2 else f"{word()} you grumblefish {word()} {word()}", 1) for i in range(120)] + [(200 + i, " ".join(word() for _ in range(8)), 0) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    terms, _ = toxicity.learn(docs, labels, model)
+    assert "grumblefish" in terms and not set(one.split()) & set(terms)
+
+
+def test_a_repeated_id_is_one_training_row(spark, tables):
+    model = charlm.fit(charlm.count(tables[0], "text", 3, charlm.FOLDED), 3)
+    docs = spark.createDataFrame([(2, f"some words {i}") for i in range(300)] + [(3, "x y z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 1, 1), (3, 0, 0)], "doc_id long, toxic int, quality int")
+    toxicity.learn(docs, labels, model)
+    assert quality_fm.training_rows(docs, labels).count() <= 2
