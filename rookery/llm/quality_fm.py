@@ -21,13 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import binary, keep_rows, label_sample, stage
 
-#: Labelled rows that training reads at most; slots for words; rank; bins of a statistic.
-TRAIN_ROWS, WORDS, RANK, BINS = 4096, 1 << 14, 8, 8
+#: Labelled rows that training reads at most, and their words' slots in all (12 bytes each); slots for words; rank; bins of a statistic.
+TRAIN_ROWS, TRAIN_SLOTS, WORDS, RANK, BINS = 4096, 1 << 22, 1 << 14, 8, 8
 EPOCHS, RATE, RIDGE, SEED = 12, 0.1, 1e-4, 7
 CUT = 0.5
 
@@ -142,20 +142,31 @@ def _inputs(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return docs.select(F.col(id_column).alias("id"), "text", n_chars.alias("n_chars"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, target: str = "quality", max_rows: int = TRAIN_ROWS) -> Machine:
-    """The machine, from `max_rows` labelled rows at most (`label_sample`)."""
+def training_rows(docs: DataFrame, labels: DataFrame, *, target: str = "quality", max_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(id, text, n_chars, label) of the labelled sample: of an id one row, that of the smallest hash."""
     some = label_sample(labels, target, max_rows).withColumnRenamed("doc_id", "id")
-    rows = stage(_inputs(docs).join(F.broadcast(some), "id"), "quality_train")
+    rows = _inputs(docs).join(F.broadcast(some), "id")
+    one = F.min(F.struct(F.xxhash64("text", "n_chars").alias("h"), "text", "n_chars"))
+    return rows.groupBy("id", "label").agg(one.alias("one")).select("id", "one.text", "one.n_chars", "label")
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, target: str = "quality", max_rows: int = TRAIN_ROWS, max_slots: int = TRAIN_SLOTS) -> Machine:
+    """The machine, from `max_rows` labelled rows at most, and of these in order of
+    their hash those whose words fill `max_slots` slots in all (so the driver holds a bounded number of bytes)."""
+    rows = stage(training_rows(docs, labels, target=target, max_rows=max_rows), "quality_train")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Hasher()
         for batch in batches:
             found = [features(t.as_py(), n.as_py(), slots) for t, n in zip(binary(batch.column(1)), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64())), pa.array([f[2] for f in found], pa.list_(pa.float64()))], ["id", "label", "at", "value", "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64())), pa.array([f[2] for f in found], pa.list_(pa.float64()))], ["id", "label", "at", "value", "stats"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(read, f"id {kind}, label int, at array<bigint>, value array<double>, stats array<double>").toPandas().sort_values("id", kind="stable")
-    return train([(np.asarray(a), np.asarray(v), list(s)) for a, v, s in zip(found["at"], found["value"], found["stats"], strict=True)], [int(x == 1) for x in found["label"]])
+    told = stage(rows.mapInArrow(read, f"id {kind}, label int, at array<int>, value array<double>, stats array<double>"), "quality_features")
+    order = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = told.select("id", F.size("at").alias("n")).withColumn("upto", F.sum("n").over(order))  # `max_rows` at most
+    found = told.join(F.broadcast(sizes.where(F.col("upto") <= max_slots).select("id")), "id").toPandas().sort_values("id", kind="stable")
+    return train([(np.asarray(a, np.int64), np.asarray(v), list(s)) for a, v, s in zip(found["at"], found["value"], found["stats"], strict=True)], [int(x == 1) for x in found["label"]])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, max_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -180,10 +191,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, max_r
 def drop_low_quality(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, max_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of `docs`, all columns, that `score_quality` predicts to be good; decided where they lie."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, max_rows=max_rows))
-    measured = "n_chars" in docs.columns
+    measured, remembered = "n_chars" in docs.columns, []
 
     def good(batch: pa.RecordBatch, at) -> np.ndarray:
-        machine, slots = shared.value, Hasher()
+        if not remembered:
+            remembered.append(Hasher())
+        machine, slots = shared.value, remembered[0]
         lengths = batch.column(at("n_chars")).to_pylist() if measured else [None] * len(batch)
         return np.array([machine.score(*machine.row(*features(t.as_py(), n, slots))) >= cut for t, n in zip(binary(batch.column(at("text"))), lengths, strict=True)], bool)
 
