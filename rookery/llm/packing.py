@@ -14,6 +14,10 @@ which run of them goes to which run of sequences, and where in them:
 4. What the rounded-down programme leaves over and the small pieces go, from long
    to short, where they fit best.
 
+Rounding up costs room that best fit can't always use, so 3 and 4 are tried with
+several shares of the configurations, and the plan with the fewest sequences is
+taken: a histogram makes each cheap.
+
 The table itself is only numbered (within its length, in hash buckets) and told
 its places.
 """
@@ -34,6 +38,8 @@ from .tokens import encoded
 
 GROUPS = 64
 SMALL_SHARE = 6
+#: Shares of the programme's sequences that are tried.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)
 
 #: (length, first and end of the run of pieces, first sequence, offset)
 Plan = list[tuple[int, int, int, int, int]]
@@ -82,7 +88,33 @@ def _configurations(sizes: np.ndarray, counts: np.ndarray, room: int) -> tuple[n
 
 
 def plan(histogram: dict[int, int], room: int, *, groups: int = GROUPS, small_share: int = SMALL_SHARE) -> tuple[Plan, int]:
-    """The plan for so many pieces of each length (1 to `room`), and its number of sequences."""
+    """The plan for so many pieces of each length (1 to `room`), and its number of
+    sequences: of several ways to use the configurations, the one with the fewest.
+    They fill all the sequences that the programme says, or a share of them, as they
+    are, or but for each one's smallest place, which then goes to whatever piece fits
+    it best. None has more sequences than best fit alone, which is the last one tried."""
+    lengths = np.array(sorted((n for n, c in histogram.items() if room > n > room // small_share and c), reverse=True), np.int64)
+    ends = np.cumsum([histogram[n] for n in lengths.tolist()]).astype(np.int64)
+    tried = []
+    if len(lengths):
+        grouped = _grouped(lengths, ends, room, groups)
+        tried = [_planned(histogram, room, lengths, ends, grouped, share, open_last) for share in SHARES for open_last in (True, False)]
+    return min([*tried, _planned(histogram, room, lengths, ends, None)], key=lambda t: t[1])
+
+
+def _grouped(lengths: np.ndarray, ends: np.ndarray, room: int, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of almost equal number of the large pieces (from long to short): where they start and
+    stop, the size each is rounded up to; and the configurations with how many sequences to fill by each."""
+    bounds = np.unique(np.concatenate([[0], np.ceil(np.arange(1, groups + 1) * ends[-1] / groups).astype(np.int64)]))
+    starts = bounds[:-1]
+    size = lengths[np.searchsorted(ends, starts, side="right")]
+    first = np.concatenate([[True], size[1:] != size[:-1]])  # groups of one size are one
+    starts = starts[first]
+    stops = np.append(starts[1:], ends[-1])
+    return starts, stops, size[first], *_configurations(size[first], (stops - starts).astype(float), room)
+
+
+def _planned(histogram: dict[int, int], room: int, lengths: np.ndarray, ends: np.ndarray, grouped: tuple | None, share: float = 1.0, open_last: bool = False) -> tuple[Plan, int]:
     out: Plan = []
     used = {n: 0 for n in histogram}  # pieces of each length that have a place
     n_sequences = int(histogram.get(room, 0))
@@ -99,21 +131,13 @@ def plan(histogram: dict[int, int], room: int, *, groups: int = GROUPS, small_sh
                 insort(rooms, left)
             free[left].append((start, end))
 
-    large = sorted((n for n, c in histogram.items() if room > n > room // small_share and c), reverse=True)
-    if large:
-        lengths, counts = np.array(large), np.array([histogram[n] for n in large])
-        ends = np.cumsum(counts)
-        bounds = np.unique(np.concatenate([[0], np.ceil(np.arange(1, groups + 1) * ends[-1] / groups).astype(np.int64)]))
-        starts, stops = bounds[:-1], bounds[1:]
-        size = lengths[np.searchsorted(ends, starts, side="right")]
-        first = np.concatenate([[True], size[1:] != size[:-1]])  # groups of one size are one
-        starts = starts[first]
-        stops = np.append(starts[1:], ends[-1])
-        sizes, want = size[first], stops - starts
-        columns, x = _configurations(sizes, want.astype(float), room)
-        at = starts.copy()
+    rest: dict[int, int] = {n: c for n, c in histogram.items() if 0 < n < room and c}
+    if grouped is not None:
+        at, stops, sizes, columns, x = grouped[0].copy(), *grouped[1:]
         for j in np.argsort(-(sizes @ columns), kind="stable"):
-            column, n = columns[:, j], int(x[j] + 1e-6)
+            column, n = columns[:, j].copy(), int(share * x[j] + 1e-6)
+            if open_last and column.sum() > 1:
+                column[np.flatnonzero(column)[-1]] -= 1  # sizes fall from group to group
             left = stops - at
             while n > 0:  # a column may ask for more than is left
                 use = np.minimum(column, left)
@@ -121,21 +145,14 @@ def plan(histogram: dict[int, int], room: int, *, groups: int = GROUPS, small_sh
                     break
                 with np.errstate(divide="ignore"):
                     times = int(min(n, np.where(use > 0, left // np.maximum(use, 1), n).min()))
-                filled = _fill(out, used, use, times, at, lengths, ends, n_sequences)
-                for a, b, total in filled:
+                for a, b, total in _fill(out, used, use, times, at, lengths, ends, n_sequences):
                     leave(room - total, n_sequences + a, n_sequences + b)
                 at = at + use * times
                 left = stops - at
                 n_sequences += times
                 n -= times
-        rest: dict[int, int] = {}
-        for g in range(len(at)):
-            for length, a, b in _runs(int(at[g]), int(stops[g]), lengths, ends):
-                rest[length] = rest.get(length, 0) + b - a
-        # numbers within a length are given out in order, so what is left of each is renumbered below
-    else:
-        rest = {}
-    rest |= {n: c for n, c in histogram.items() if 0 < n <= room // small_share and c}
+        # Numbers within a length are given out in order, so what is left of each is renumbered below.
+        rest = {n: c - used[n] for n, c in rest.items() if c > used[n]}
     for length in sorted(rest, reverse=True):
         n = rest[length]
         while n:
@@ -150,12 +167,16 @@ def plan(histogram: dict[int, int], room: int, *, groups: int = GROUPS, small_sh
             if not free[left]:
                 del free[left]
                 rooms.pop(i)
-            take = min(n, end - start)
+            each = left // length  # a sequence takes all it can before the next one does
+            take = min(n // each, end - start)
+            if not take:
+                each, take = n, 1
             leave(left, start + take, end)
-            out.append((length, used[length], used[length] + take, start, room - left))
-            used[length] += take
-            leave(left - length, start, start + take)
-            n -= take
+            for copy in range(each):
+                out.append((length, used[length], used[length] + take, start, room - left + copy * length))
+                used[length] += take
+            leave(left - each * length, start, start + take)
+            n -= each * take
     return out, n_sequences
 
 
@@ -212,17 +233,17 @@ def token_pieces(docs: DataFrame, path: str, *, room: int = 2048, id_column: str
 
 def numbered(pieces: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     """`pieces` (a written table) with n, the number of each within its length from
-    0, and the histogram of lengths. Pieces are numbered within hash buckets, so
-    that a length that a third of them have isn't one task's; of a bucket and
-    length only the count is gathered. Equal rows may swap numbers."""
+    0, and the histogram of lengths. Pieces are numbered within buckets, by their place in
+    the table, so that a length (or an id, null say) that a third of them have isn't one
+    task's; of a bucket and length only the count is gathered. Equal rows may swap numbers."""
     buckets = max(16, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    dealt = pieces.withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("c"))
     before = counts.withColumn("before", F.sum("c").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "bucket").orderBy("row")
     rows = dealt.withColumn("n", F.row_number().over(within) - 1).join(before.select("length", "bucket", "before"), ["length", "bucket"])
     histogram = {r["length"]: r["c"] for r in counts.groupBy("length").agg(F.sum("c").alias("c")).collect()}  # one row a length at most
-    return rows.withColumn("n", F.col("n") + F.coalesce("before", F.lit(0))).drop("before", "bucket"), histogram
+    return rows.withColumn("n", F.col("n") + F.coalesce("before", F.lit(0))).drop("before", "bucket", "row"), histogram
 
 
 def pack(pieces: DataFrame, *, room: int = 2048, groups: int = GROUPS, small_share: int = SMALL_SHARE) -> DataFrame:

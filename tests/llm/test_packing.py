@@ -1,12 +1,13 @@
 import random
 import zlib
-from collections import defaultdict
+from bisect import bisect_left, insort
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from rookery.llm.packing import pack, plan, token_pieces
+from rookery.llm.packing import numbered, pack, plan, token_pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -36,13 +37,42 @@ def test_plans_are_gapless_and_complete():
         check_plan(h, 50, groups=int(rnd.integers(1, 10)))
 
 
-def test_near_the_bound():
+def best_fit(histogram, room):
+    """Sequences of best fit decreasing, a piece at a time."""
+    left = []
+    for length in sorted((n for n, c in histogram.items() for _ in range(c)), reverse=True):
+        i = bisect_left(left, length)
+        if i == len(left):
+            insort(left, room - length)
+        else:
+            insort(left, left.pop(i) - length)
+    return len(left)
+
+
+def test_never_more_than_best_fit_decreasing():
     rnd = np.random.default_rng(6)
-    h = defaultdict(int)
-    for x in np.clip(np.exp(rnd.normal(6, 1, 20_000)).astype(int) + 1, 1, 2048):
-        h[int(x)] += 1
-    bound = -(-sum(k * c for k, c in h.items()) // 2048)
-    assert check_plan(dict(h), 2048) <= 1.01 * bound
+    n = 3000
+    mixes = {
+        "uniform": rnd.integers(1, 2049, n), "spike": np.clip(rnd.normal(683, 30, n), 1, 2048), "lognormal": np.clip(np.exp(rnd.normal(6, 1, n)) + 1, 1, 2048),
+        "two kinds": np.where(rnd.random(n) < 0.5, rnd.integers(1000, 1100, n), rnd.integers(300, 400, n)), "equal": np.full(n, 700), "small": rnd.integers(1, 40, n),
+    }
+    found = {}
+    for name, lengths in mixes.items():
+        h = dict(Counter(lengths.astype(int).tolist()))
+        found[name] = check_plan(h, 2048), best_fit(h, 2048)
+        assert found[name][0] <= found[name][1], name
+    assert found["spike"][0] < 0.97 * found["spike"][1]  # where configurations help
+    for _ in range(60):
+        h = {int(k): int(c) for k, c in zip(rnd.integers(1, 51, 12), rnd.integers(1, 60, 12), strict=True)}
+        assert check_plan(h, 50, groups=int(rnd.integers(1, 10))) <= best_fit(h, 50)
+
+
+def test_null_ids_are_spread(spark):
+    rows = [(None, 0, 0, 7, k) for k in range(4000)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), room=20)
+    assert got.count() == 4000 and got.select("sequence_id").distinct().count() == 2000
+    dealt = numbered(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"))[0]
+    assert sorted(r.n for r in dealt.collect()) == list(range(4000))
 
 
 def test_rows(spark):
