@@ -5,13 +5,16 @@ a text is searched as its words with single spaces between them. A notice that
 may hold k errors is cut into k + 1 pieces: wherever it stands with k errors or
 fewer, one piece at least stands exactly. An automaton finds the pieces of all
 notices in one pass; around each, the regex library's bounded-error match
-decides and tells the edits.
+decides and tells the edits. A window is as long as the notice and its edits on
+both sides, so the work grows with the number of pieces found, not with a text's length.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +34,9 @@ NOTICES = [
     ("gnu general public license", "gpl"),
     ("gnu lesser general public license", "lgpl"),
     ("gnu affero general public license", "agpl"),
+    ("apache license", "apache"),
     ("apache license version 2 0", "apache"),
+    ("mit license", "mit"),
     ("licensed under the apache license", "apache"),
     ("released under the mit license", "mit"),
     ("licensed under the mit license", "mit"),
@@ -64,10 +69,10 @@ def _searcher(notices: tuple[tuple[str, str], ...], letters_an_edit: int):
     seeds: dict[str, list[tuple[int, int]]] = {}
     patterns = []
     for n, (notice, _) in enumerate(notices):
-        edits = max(1, len(notice) // letters_an_edit)
+        edits = len(notice) // letters_an_edit
         for start, piece in _cut(notice, edits + 1):
             seeds.setdefault(piece, []).append((n, start))
-        patterns.append((regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(notice, special_only=True, literal_spaces=True)}){{e<={edits}}}(?![^ ])"), edits))
+        patterns.append((regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(notice, special_only=True, literal_spaces=True)}){{e<={edits}}}(?![^ ])"), edits))
     automaton = ahocorasick.Automaton()
     for piece, where in seeds.items():
         automaton.add_word(piece, (len(piece), where))
@@ -79,34 +84,37 @@ def scan(text: bytes, phrases: dict[str, str], notices: tuple[tuple[str, str], .
     """n_words; exact places and matches with errors, each as (label, notice, first word, last word, edits)."""
     words = text.lower().translate(_SPACED).split()
     joined = " " + b" ".join(words).decode("latin-1") + " "
+    starts = list(accumulate((len(w) + 1 for w in words), initial=1))  # of each word in `joined`
     exact = []
     for phrase, label in phrases.items():
         at, last = joined.find(f" {phrase} "), phrase.count(" ")
         while at >= 0:
-            word = joined.count(" ", 0, at)
+            word = bisect_left(starts, at + 1)
             exact.append((label, phrase, word, word + last, 0))
             at = joined.find(f" {phrase} ", at + 1)
     automaton, patterns = _searcher(notices, letters_an_edit)
-    windows: dict[int, list[list[int]]] = {}
-    for end, (length, where) in automaton.iter(joined):
-        for n, start in where:
-            low = end + 1 - length - start
-            spans = windows.setdefault(n, [])
-            a, b = low - 2 * patterns[n][1] - 1, low + len(notices[n][0]) + 2 * patterns[n][1] + 1
-            if spans and a <= spans[-1][1]:
-                spans[-1] = [min(a, spans[-1][0]), max(b, spans[-1][1])]
-            else:
-                spans.append([a, b])
-    found = []
-    for n, spans in windows.items():
-        notice, label = notices[n]
-        for a, b in spans:
-            for m in patterns[n][0].finditer(joined, max(0, a), min(len(joined), b)):
-                edits = sum(m.fuzzy_counts)
-                start, stop = m.span()
-                first = joined.count(" ", 0, start + (joined[start : start + 1] == " ")) - 1
-                found.append((label, notice, first, first + joined[start:stop].strip().count(" "), edits))
-    return len(words), exact, sorted(set(found))
+    windows = {(n, end + 1 - length - start) for end, (length, where) in automaton.iter(joined) for n, start in where}
+    found: dict[int, set[tuple[int, int, int]]] = {}
+    for n, low in windows:
+        pattern, edits = patterns[n]
+        for m in pattern.finditer(joined, max(0, low - 2 * edits - 1), min(len(joined), low + len(notices[n][0]) + 2 * edits + 1)):
+            start, stop = m.span()
+            if inside := joined[start:stop].strip():
+                first = bisect_left(starts, start)
+                found.setdefault(n, set()).add((first, first + inside.count(" "), sum(m.fuzzy_counts)))
+    return len(words), exact, sorted((notices[n][1], notices[n][0], *span) for n, spans in found.items() for span in _apart(spans))
+
+
+def _apart(spans: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of spans (first, last, edits) that overlap those with the fewest edits, the first of equals."""
+    kept: list[tuple[int, int, int]] = []
+    for span in sorted(spans):
+        if kept and span[0] <= kept[-1][1]:
+            if span[2] < kept[-1][2]:
+                kept[-1] = span
+        else:
+            kept.append(span)
+    return kept
 
 
 def scan_licenses(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", phrases: dict[str, str] | None = None, notices: list[tuple[str, str]] | None = None, letters_an_edit: int = LETTERS_AN_EDIT) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from rookery.llm.licenses import NOTICES, PHRASES, scan, scan_licenses
 
@@ -29,11 +30,61 @@ def test_every_misspelling_within_the_bound_is_found():
     for notice, label in NOTICES:
         for _ in range(20):
             wrong = list(notice)
-            for _ in range(max(1, len(notice) // 10)):
+            for _ in range(len(notice) // 10):
                 wrong[rnd.randrange(1, len(wrong) - 1)] = rnd.choice("qxzjk")
             assert label in {m[0] for m in scan(f"w {''.join(wrong)} v".encode(), *ARGS)[2]}, "".join(wrong)
 
 
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edits_of_all_kinds_and_their_spans_as_brute_force():
+    rnd = random.Random(5)
+    for notice, label in NOTICES:
+        k = len(notice) // 10
+        for _ in range(12):
+            wrong = list(notice)
+            for _ in range(rnd.randint(0, k)):
+                at, how = rnd.randrange(1, len(wrong) - 1), rnd.randrange(3)
+                wrong[at : at + (how != 0)] = [] if how == 1 else [rnd.choice("qxzjk")]
+            wrong = "".join(wrong)
+            words = wrong.split()
+            before = [rnd.choice(["alpha", "beta", "gamma"]) for _ in range(rnd.randint(0, 4))]
+            near = scan(" ".join([*before, *words, "omega", "delta"]).encode(), *ARGS)[2]
+            mine = [m for m in near if m[1] == notice]
+            assert len(mine) == 1, (notice, wrong, near)
+            _, _, first, last, edits = mine[0]
+            text = [*before, *words, "omega", "delta"]
+            # As few edits as the best span of words that holds the notice, and those that its own span needs.
+            best = min(edits_between(" ".join(text[i : j + 1]), notice) for i in range(len(text)) for j in range(i, len(text)))
+            assert edits_between(" ".join(text[first : last + 1]), notice) <= edits <= k and best <= edits
+            assert first <= len(before) + 1 and last >= len(before) + len(words) - 2
+
+
+def test_neighbouring_notices_are_all_told():
+    near = scan(b"mozilla publik licence mozilla public license", *ARGS)[2]
+    assert [(m[2], m[3]) for m in near if m[0] == "mpl"] == [(0, 2), (3, 5)]
+
+
+def test_a_very_long_text_of_misspelt_notices():
+    text = b"released under the mit licence and " * 60_000  # 2 MB
+    began = time.time()
+    n, exact, near = scan(text, *ARGS)
+    assert n == 360_000 and not exact and len([m for m in near if m[1] == "released under the mit license"]) == 60_000
+    assert time.time() - began < 60
+
+
+def test_repeated_rows_stay(spark):
+    df = spark.createDataFrame([(1, "MIT license"), (1, "MIT license"), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_base) for r in scan_licenses(df).collect()) == [(0, 0), (1, 1), (1, 1)]
+
+
 def test_rows(spark):
     rows = [(1, "Released under the MIT License.", "a"), (2, None, "b"), (None, "", "c"), (3, "Licensed under CC BY-NC 4.0.", "d")]
     df = spark.createDataFrame(rows, "doc_id long, text string, labels string")
