@@ -12,10 +12,10 @@ equal band may be near, and the exact Jaccard similarity of their shingles
 decides. As that similarity is of sets, all weights are equal here, and the
 probability Jaccard similarity is the one that is verified, however often either
 text repeats a passage. First each text is held against a few of its bucket's texts (stars),
-which joins most groups. Where texts that share buckets still belong to
-different groups, blocks of them are held against each other: every pair that
-could join two groups is decided, and only pairs that do leave the task. Blocks
-within one large group aren't compared again.
+which joins most groups, and decides all pairs of a small bucket. Where the other
+texts of a bucket still belong to different groups, blocks of them are held against
+each other: every pair of a bucket that could join two groups is decided, and only
+pairs that do leave the task. Texts that share no bucket never meet.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from .links import components
 SHINGLE, SIMILARITY = 5, 0.8
 #: Two texts of similarity 0.8 share none of 30 bands of 5 registers 7 times in a million.
 BANDS, ROWS = 30, 5
-#: Texts of a block; marks of needed texts at most.
-BLOCK, MARKS = 256, 1 << 27
+#: Texts of a block; marks of needed texts at most; tasks that the copies of one text are dealt to.
+BLOCK, MARKS, SALTS = 256, 1 << 27, 32
 
 _ODD = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 65)], np.uint64)
 
@@ -178,8 +178,8 @@ def _likely(rows: DataFrame, needed: DataFrame, most: int = MARKS) -> DataFrame:
 
 
 def _across(members: DataFrame, similarity: float, size: int, block: int) -> DataFrame:
-    """Links (a, b) between groups, for `members` (id, text, component, family):
-    enough of the near pairs of one family to join the groups that they join."""
+    """Links (a, b) between groups, for `members` (id, text, component, family: a bucket):
+    enough of the near pairs of one bucket to join the groups that they join."""
     counts = members.groupBy("family", "component").agg(F.count("*").alias("n"))
     large = counts.where(F.col("n") >= block).select("family", "component", F.col("component").alias("own"))
     dealt = members.join(large, ["family", "component"], "left").withColumn("own", F.coalesce("own", F.lit(-1)))  # small groups share blocks
@@ -239,8 +239,11 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     base = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
     found = stage(sketches(base, bands=bands, rows=rows, size=size), "sketches")
     named = found.where("id is not null")
-    classes = named.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("class"))
-    member = named.where("h1 is not null").join(classes, ["h1", "h2"]).select("id", "class", "bands")
+    # Of a text with copies the smallest id; a text without any needs no join. Copies are dealt to SALTS tasks.
+    classes = named.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("class"), F.count("*").alias("n")).where("n > 1").drop("n")
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = named.where("h1 is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    member = salted.join(classes, ["h1", "h2", "salt"], "left").withColumn("class", F.coalesce("class", "id"))
     member = stage(member.select("id", "class", F.when(F.col("id") == F.col("class"), F.col("bands")).alias("bands")), "members")
 
     # Stars: each text of a bucket against a few of its texts.
@@ -256,17 +259,18 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     texts = stage(_likely(base.where("text is not null"), needed).join(needed, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     links = stage(_verified(pairs, texts, similarity, size).distinct(), "near")
 
-    # Groups by links (odd nodes) and families by shared buckets (even nodes), in one go; an id with several texts joins its classes.
+    # Groups by links; an id with several texts joins its classes.
     several = member.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
     several = several.select("a", "b").unionByName(member.join(several.select("id"), "id").select(F.col("id").alias("a"), F.col("class").alias("b")))
-    linked = links.unionByName(several)
-    both = linked.select((F.col("a") * 2 + 1).alias("u"), (F.col("b") * 2 + 1).alias("v")).unionByName(pairs.select((F.col("a") * 2).alias("u"), (F.col("b") * 2).alias("v")))
-    nodes = stage(components(both).select(F.shiftright("node", 1).alias("id"), (F.col("node") % 2 != 0).alias("links"), F.shiftright("component", 1).alias("of")), "nodes")
-    groups = nodes.where("links").select("id", F.col("of").alias("component"))
-    families = nodes.where("not links").select("id", F.col("of").alias("family"))
-    placed = families.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = placed.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("family")
-    members = placed.join(open_, "family", "left_semi").join(texts, "id")
+    groups = stage(components(links.unionByName(several).toDF("u", "v")).select(F.col("node").alias("id"), "component"), "groups")
+
+    # Pairs that no star has decided: of a bucket's texts besides its pivots, if they belong to several groups. Buckets of the same texts are one.
+    others = banded.join(pivots, "band").where(~F.array_contains("pivots", F.col("id"))).select("band", "id")
+    placed = stage(others.join(groups, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component")), "placed")
+    marks = [F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("t")]
+    open_ = placed.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q"), *marks).where("p <> q")
+    open_ = open_.groupBy("n", "x", "y", "s", "t").agg(F.min("band").alias("band")).select("band")
+    members = stage(placed.join(open_, "band").select("id", "component", F.col("band").alias("family")), "open").join(texts, "id")
     more = stage(_across(members, similarity, size, block), "across")
     if more.limit(1).count():
         lead = groups.select(F.col("id").alias("k"), "component")
