@@ -17,7 +17,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import WORD, stage
@@ -27,28 +27,37 @@ MOST, WEIGHTS, BLOCK, FAN_IN = 3, (1, 2, 3), 4096, 64
 SEED = 11
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """`rows` with the sum of each of `sums` over the rows before them in `order`:
+    within the ranges of a sort, and of ranges their totals, one row a range."""
+    ranged = stage(rows.orderBy(*order).withColumn("range", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("range").agg(*(F.sum(c).alias(f"{n}_all") for n, c in sums.items()))
+    ranges = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as the sort has tasks
+    totals = totals.select("range", *(F.coalesce(F.sum(f"{n}_all").over(ranges), F.lit(0)).alias(f"{n}_all") for n in sums))
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    told = ranged.join(F.broadcast(totals), "range")  # as many rows as the sort has tasks
+    return told.select(*rows.columns, *((F.col(f"{n}_all") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(n) for n, c in sums.items()))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """`sizes` (source, source_size: a row a source) with target: shares of the
     total by weight, none above MOST times its size, the excess shared by weight
     among the others.
 
     That is min(MOST * size, level * weight) with one level for all: sources in
-    order of MOST * size / weight are capped up to the first that would not be."""
-    named = Window.orderBy(F.col("source").cast("binary").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (((F.row_number().over(named) - 1) % len(WEIGHTS)) + 1).cast("int")).cast("double")
-    rows = sizes.withColumn("weight", weight).withColumn("cap", F.lit(float(MOST)) * F.col("source_size"))
-    filling = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").cast("binary").asc_nulls_last())
-    everything = Window.partitionBy()
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    rows = (
-        rows.withColumn("left", F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("heavy", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", F.col("left") / F.col("heavy"))
-        .withColumn("open", F.col("cap") > F.col("level") * F.col("weight"))
-    )
-    first = F.min(F.when(F.col("open"), F.struct((F.col("cap") / F.col("weight")).alias("at"), F.col("level").alias("level")))).over(everything)
-    target = F.least(F.col("cap"), F.coalesce(first["level"] * F.col("weight"), F.col("cap")))
-    return rows.select("source", "source_size", target.alias("target"))
+    order of MOST * size / weight are capped up to the first that would not be.
+    Sources may be many: both orders are made by ranges."""
+    name = F.col("source").cast("binary").asc_nulls_last()
+    named = running(sizes, [name], {"rank": F.lit(1)})
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
+    rows = named.withColumn("weight", weight).withColumn("cap", F.col("source_size") * MOST)
+    rows = stage(running(rows, [F.col("cap") / F.col("weight"), name], {"capped": F.col("cap"), "filled": F.col("weight")}), "filling")
+    whole = rows.agg(F.sum("source_size"), F.sum("weight")).first()
+    left, heavy = F.lit(whole[0] or 0) - F.col("capped"), F.lit(whole[1] or 0) - F.col("filled")
+    level = left.cast("double") / heavy
+    first = rows.where(F.col("cap") > level * F.col("weight")).agg(F.min(F.struct((F.col("cap") / F.col("weight")).alias("at"), (-level).alias("level")))["level"]).first()[0]  # of equals the first, whose level is highest
+    cap = F.col("cap").cast("double")
+    return rows.select("source", "source_size", (cap if first is None else F.least(cap, F.lit(-first) * F.col("weight"))).alias("target"))
 
 
 def _meet(p: float, q: float, a: int, b: int, draw: float) -> tuple[float, float]:
@@ -96,18 +105,24 @@ def mix(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
     Null and empty texts have size 0 and are taken 0 times; a null source is a
     source, the last in order; repeated rows and null ids are rows of their own;
     other columns aren't read; an empty table gives none. Runs agree: draws come
-    from a block's name, and blocks from hashes of ids. Texts are read once and
+    from a block's name, and blocks from hashes of ids (of rows' places, if one id has
+    thousands of rows: then with the same files and settings). Texts are read once and
     not shuffled; of a source only its size is gathered, and its rows are dealt to blocks."""
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"), F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
-    rows = stage(rows, "sizes")
+    rows = stage(rows, "sizes").withColumn("row", F.monotonically_increasing_id())
     sizes = stage(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).join(rows.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n")), F.expr("source <=> s")).drop("s"), "targets")
     most = sizes.agg(F.max("n")).first()[0] or 0
     told = rows.join(sizes.withColumnRenamed("source", "s"), F.expr("source <=> s")).drop("s")
     times = F.when((F.col("size") > 0) & (F.col("source_size") > 0), F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     times = F.when(F.abs(times - F.round(times)) < 1e-12, F.round(times)).otherwise(times)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block))
-    told = told.withColumn("whole", F.floor(times).cast("int")).withColumn("part", times - F.floor(times)).withColumn("tie", F.xxhash64("doc_id", F.lit(SEED)))
-    told = told.withColumn("block", F.pmod("tie", blocks)).drop("n")
+    told = told.withColumn("whole", F.floor(times).cast("int")).withColumn("part", times - F.floor(times))
+    # Blocks come from hashes of ids; where many rows have one id (or none), from their places in the table.
+    for key in ("doc_id", "row"):
+        dealt = told.withColumn("tie", F.xxhash64(key, F.lit(SEED))).withColumn("block", F.pmod("tie", blocks))
+        if not dealt.groupBy("source", "block").count().where(F.col("count") > 4 * block).limit(1).count():
+            break
+    told = dealt.drop("n", "row")
     done, left, level = [told.where(F.col("part") == 0)], told.where(F.col("part") > 0), 0
     n_blocks = max(1, math.ceil(most / block))
     while True:

@@ -53,3 +53,17 @@ def test_mix(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
     assert mix(docs.limit(0)).count() == 0
     assert [tuple(r) for r in mix(spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")).select("size", "taken", "target").collect()] == [(0, 0, 0.0)]
+
+
+def test_rows_of_one_id_are_dealt_to_many_blocks(spark):
+    docs = spark.createDataFrame([(None, "w " * (k % 7 + 1), "ab"[k % 2]) for k in range(4000)], "doc_id long, text string, source string")
+    got = mix(docs, block=128, fan_in=4)
+    by = {r.source: r for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("t")).collect()}
+    assert got.count() == 4000 and all(abs(r.taken - r.t) <= 7 for r in by.values())
+
+
+def test_many_sources(spark):
+    sizes = {f"host{i:05d}": 1 + i % 50 for i in range(3000)}
+    got = {r.source: r.target for r in targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)).collect()}
+    want = fill(sizes)
+    assert all(abs(got[s] - t) < 1e-6 * max(1, t) for s, t in want.items())
