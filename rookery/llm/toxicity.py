@@ -32,7 +32,7 @@ from .base import binary, keep_rows, label_sample, stage
 #: Labelled rows that training reads at most, and terms of the model at most.
 TRAIN_ROWS, TERMS = 8192, 1024
 #: Restored words of a disguised one, terms a worker remembers.
-RESTORED, KEPT = 3, 400_000
+RESTORED, KEPT = 3, 200_000
 #: States of the narrow search whose readings bound the exact one.
 BEAM = 8
 CUT = 0.7
@@ -255,6 +255,7 @@ class Reader:
         self.model.costs = self.model.table.tolist()
         self.whole = sorted((t for t in self.terms if "~" not in t and len(t) >= 4), key=len) if self.terms is not None else []
         self.trie = Trie(self.terms) if self.terms is not None else None
+        self.heads = {t[:3] for t in self.terms or ()}
         parted = (t.encode() for t in self.whole if len(t) >= PARTED_LETTERS)
         self.parted = {(t[:i], t[i:]): t.decode() for t in parted for i in range(1, len(t)) if self._parted(t[:i], t[i:])}
 
@@ -276,10 +277,17 @@ class Reader:
     def _kept(self, found: list[str]) -> tuple:
         return tuple(found) if self.terms is None else tuple(sorted({self.terms[t] for t in found if t in self.terms}))
 
+    def _hopeless(self, word: str) -> bool:
+        """Whether no term can be a reading: three plain letters, none held down, begin all readings alike."""
+        head = word[:3]
+        return self.trie is not None and len(head) == 3 and head.isascii() and head.isalpha() and head[0] != head[1] != head[2] and head not in self.heads
+
     def _restored(self, word: str) -> list[str]:
         """The likeliest readings, if a term may be among them."""
         if self.trie is None:
             return restore(word, self.model)
+        if self._hopeless(word):
+            return []
         weight = self.trie.weight(word, self.model)
         if weight == -np.inf:
             return []
@@ -292,20 +300,22 @@ class Reader:
         text = raw.decode(errors="replace").lower()
         if not text.isascii():
             text = text.translate(UNSEEN)
-        if text.isalpha():
-            found = self._of(text)
-            held = _HELD.search(text) if self.terms is not None else re.search(r"(.)\1\1", text)  # learning takes doubled letters as they are
-            if held or self.terms is not None and not text.isascii():
-                found += [x for r in self._restored(text) for x in self._of(r)]
+        shorn = text.strip(_EDGES)
+        learning = self.terms is None  # which takes doubled letters as they are, and leaves marks behind a word out
+        if shorn.isalpha():
+            if self._hopeless(shorn):
+                return ()
+            found = self._of(shorn)
+            if re.search(r"(.)\1\1", shorn) if learning else not shorn.isascii() or _HELD.search(shorn):
+                found += [x for r in self._restored(shorn) for x in self._of(r)]
             return self._kept(found)
         plain = text.strip(_EDGES + "!*|+$@")
         found = self._of(plain) if plain.isalpha() else [x for w in _WORD.findall(text) for x in self._of(w)]
-        shorn = text.strip(_EDGES)
         letters = sum(c.isalpha() for c in shorn)
         bare, whole = re.sub(r"[.\-_~]", "", shorn), joined(shorn)
         disguised = whole != shorn or letters >= 1 and any(c in STANDS_FOR for c in shorn) or bool(_HELD.search(shorn)) or letters >= 3 and len(bare) < len(shorn) and not re.search(r"[^\W\d_]{3}", shorn)
-        disguised = disguised or self.terms is not None and not shorn.isascii()
-        if disguised and len(bare) >= 3:
+        disguised = disguised or not learning and not shorn.isascii()
+        if disguised and len(bare) >= 3 and not (learning and plain.isalpha()):
             for option in {whole} if whole != shorn else {bare, bare.rstrip("!*|+$@") or bare}:
                 found += [x for r in self._restored(option) for x in self._of(r)]
         return self._kept(found)
