@@ -57,7 +57,7 @@ class Hasher(dict):
     """The slot of a word, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         slot = self[word] = zlib.crc32(word) % WORDS
         return slot

@@ -26,7 +26,7 @@ from .base import binary, by_bytes, values
 
 #: Bytes of text that are encoded together, and words that a worker remembers.
 RUN_BYTES = 1 << 20
-WORDS_KEPT = 750_000
+WORDS_KEPT = 500_000
 
 #: A letter that neither case folding nor normalisation changes but by lowering it (ASCII and Latin-1).
 _LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
