@@ -7,7 +7,7 @@ and returns the columns of documents, but the last, which returns packed pieces.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.llm.base import stage, table
@@ -30,21 +30,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_low_quality(docs, table(spark, sf_dir, "labels"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with a number for each row, written: whoever reads it sees the same ones."""
+    return stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id;
-    of rows of one id, the one with the smallest text. Rows without an id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id"))
-    of_id = Window.partitionBy("doc_id").orderBy("text", *(F.xxhash64(*docs.columns),))
-    one = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").withColumn("__row", F.row_number().over(of_id)).where("__row = 1")
-    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group of near-duplicates, that with the smallest id (of
+    those without an id, or of one id, the first). Rows are told apart by a number of
+    their own: ids may repeat or be null, and null texts are near nothing."""
+    rows = numbered(docs)
+    groups = near_duplicates(rows, id_column="__row").select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", F.col("doc_id").alias("__id")), "__row")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row"))["__row"].alias("__row"))
+    return rows.join(first.select("__row"), "__row", "left_semi").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Equal rows are told apart by their number only."""
-    named = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    times = mix(named.select("__row", "text", "source"), id_column="__row").groupBy(F.col("doc_id").alias("__row")).agg(F.sum("copies").cast("int").alias("__times"))
-    taken = named.dropDuplicates(["__row"]).join(times.where("__times > 0"), "__row")
-    return taken.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    """Each row as often as the mix takes it."""
+    rows = numbered(docs)
+    times = mix(rows.select("__row", "text", "source"), id_column="__row").select(F.col("doc_id").alias("__row"), F.col("copies").alias("__times")).where("__times > 0")
+    return rows.join(times, "__row").withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
