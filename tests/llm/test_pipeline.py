@@ -1,6 +1,5 @@
 import numpy as np
 import public_tokenizers
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as p
@@ -25,9 +24,12 @@ def test_each_stage_decides_for_all_it_gets(spark):
     assert one.columns == docs.columns and ids(one) == ids(minhash.near_duplicates(good).where("kept"))
     mixed = stage(steps["mixing"](spark, one, SF), "d")
     copies = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
-    named = one.withColumn("__row", F.xxhash64(*one.columns))
-    want = {r.__getitem__("doc_id"): r.copies for r in mixing.mix(named.select("__row", "text", "source"), id_column="__row").withColumnRenamed("doc_id", "__row").join(named.select("__row", "doc_id"), "__row").collect()}
-    assert mixed.columns == docs.columns and copies == {k: c for k, c in want.items() if c}
+    sizes = {r.doc_id: (r.source, r.size, r.target) for r in mixing.mix(one).collect()}
+    assert mixed.columns == docs.columns and copies.keys() <= sizes.keys() and max(copies.values()) <= mixing.MOST
+    for source in {s for s, _, _ in sizes.values()}:
+        mine = {i: (n, t) for i, (s, n, t) in sizes.items() if s == source}
+        taken = sum(copies.get(i, 0) * n for i, (n, _) in mine.items())
+        assert abs(taken - next(t for _, t in mine.values())) <= max(n for n, _ in mine.values())
     packed = steps["packing"](spark, mixed, SF).toPandas()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     total = sum((len(e.ids) + 1) for e in tokenizer.encode_batch([r.text for r in mixed.collect()], add_special_tokens=False))
@@ -36,11 +38,14 @@ def test_each_stage_decides_for_all_it_gets(spark):
 
 
 def test_rows_without_ids_and_equal_rows(spark):
-    rows = [(None, "alpha beta gamma delta epsilon", "en", "a", 5), (None, "alpha beta gamma delta epsilon", "en", "a", 5), (1, "alpha beta gamma delta epsilon", "en", "a", 5), (1, "alpha beta gamma delta epsilon", "en", "a", 5), (2, "alpha beta gamma delta epsilon", "en", None, None)]
+    five, other = "alpha beta gamma delta epsilon", "quite another text of its own kind"
+    rows = [(None, five, "en", "a", 5), (None, five, "en", "a", 5), (1, five, "en", "a", 5), (1, five, "en", "a", 5), (2, five, "en", None, None), (1, other, "en", "a", 5), (3, None, None, "b", 0), (None, None, None, "b", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = p.near_dedup(spark, docs, SF)
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1]
-    assert p.mixing(spark, kept, SF).columns == docs.columns
+    # One of the five equal texts, the other text of id 1, and null texts, which are near nothing.
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (1, five), (1, other), (3, "")]
+    mixed = p.mixing(spark, docs.where("text is not null"), SF)
+    assert mixed.columns == docs.columns
     empty = docs.limit(0)
     for _, step in p.STAGES:
         empty_out = step(spark, empty, SF)
