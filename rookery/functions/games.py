@@ -40,7 +40,7 @@ def eco_number(eco: Column | str = "opening_eco") -> Column:
 
 
 def speed_bucket(time_control: Column | str) -> Column:
-    """'600+5' (seconds, increment) by the length of 40 moves; null if it isn't that."""
+    """'600+5' (seconds, increment) by the length of 40 moves; null if it isn't that. The site's bounds in seconds."""
     initial = F.split_part(col(time_control), F.lit("+"), F.lit(1)).try_cast("bigint")
     increment = F.when(F.contains(col(time_control), F.lit("+")), F.regexp_replace(col(time_control), r"^[^+]*\+", "")).try_cast("bigint")
     seconds = initial + 40 * increment
@@ -72,6 +72,11 @@ def epoch_ms(date: Column | str, time: Column | str) -> Column:
     return F.unix_millis(F.try_to_timestamp(F.concat_ws(" ", col(date), col(time)), F.lit("yyyy.MM.dd HH:mm:ss")))
 
 
+def iso_date(ms: Column | str) -> Column:
+    """Milliseconds since 1970 as the day in UTC, '2026-04-15'. Holds for a session in UTC."""
+    return F.date_format(F.timestamp_millis(col(ms)), "yyyy-MM-dd")
+
+
 def clock_label(initial: Column | str, increment: Column | str) -> Column:
     return F.concat(F.floor(col(initial) / 60).cast("string"), F.lit("+"), col(increment).cast("string"))
 

@@ -77,9 +77,20 @@ def matched_summaries(mapping: DataFrame, a: DataFrame, b: DataFrame, columns: S
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, n, nulls, mean, std, min, q25, q50, q75, max)."""
-    rows = unpivot(df, [], columns).groupBy("feature")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    found = rows.agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), q.alias("q"), F.max("value").alias("max"))
+    rows = unpivot(df, [], columns)
+    # Quantiles from how often each value comes, summed before the shuffle: ranks within a feature, interpolated between neighbours.
+    counted = rows.where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("c"))
+    by_feature = Window.partitionBy("feature")
+    told = counted.withColumn("upto", F.sum("c").over(by_feature.orderBy("value"))).withColumn("all", F.sum("c").over(by_feature))
+
+    def at(share: float) -> Column:
+        place = (F.col("all") - 1) * share
+        low, high = (F.min(F.when(F.col("upto") > side, F.col("value"))) for side in (F.floor(place), F.ceil(place)))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    quantiles = told.groupBy("feature").agg(F.array(*map(at, (0.25, 0.5, 0.75))).alias("q"))
+    rows = rows.groupBy("feature")
+    found = rows.agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")).join(quantiles, "feature", "left")
     return found.select("feature", "n", "nulls", "mean", "std", "min", *(F.col("q")[i].alias(f"q{n}") for i, n in enumerate((25, 50, 75))), "max")
 
 
@@ -107,10 +118,17 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(value, F.lit(high)))
 
 
-#: Games that an answer may be asked to rest on.
+#: Games that an answer may be asked to rest on, at least and at most.
 GAMES_ASKED = (20, 200)
 
 
+def latest_games(games: DataFrame, asked: Column | int) -> DataFrame:
+    """Of each player's games the latest, as many as `asked` (kept within GAMES_ASKED); ties by game."""
+    order = Window.partitionBy("username").orderBy(F.col("created_at").desc_nulls_last(), "game_id")
+    n = clamp(asked if isinstance(asked, Column) else F.lit(asked), *GAMES_ASKED)
+    return games.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+
+
 def recommend_answer(player: DataFrame, n_games: DataFrame, document: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(json) for a player (username, avg_rating, cluster, features), with n_games
     (username, n_games_used) and the recommendation document: the cluster's openings and how the player differs from it."""

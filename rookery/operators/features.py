@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import eco_letter, eco_number, move_features, residual
+from ..plans import models
 
 #: Plies from which a game is long, and under which it is short.
 LONG, SHORT = 80, 40
@@ -87,6 +88,17 @@ def impute(features: DataFrame, means: DataFrame | None = None) -> DataFrame:
     return filled.withColumns(out).select(features.columns)
 
 
+def live_profile(games: DataFrame, model: dict) -> DataFrame:
+    """A live user's games as one row: features, filled by the training players' means,
+    with cluster and dist by a stored `model` (`models.load_model`): the order of features, scaler, centres and means."""
+    features = player_features(games, 1)
+    means = features.sparkSession.createDataFrame([tuple(model["means"].get(f"mean_{c}") for c in FROM_ALL)], ", ".join(f"mean_{c} double" for c in FROM_ALL))
+    filled = impute(features, means)
+    scaled = models.scale(models.vectors(filled, "username", model["columns"]), model["scaler"])
+    placed = models.assign(scaled, model["centres"]).select(F.col("id").alias("username"), "cluster", "dist")
+    return filled.join(placed, "username")
+
+
 def imputation_means(features: DataFrame) -> DataFrame:
     """What `impute` needs of the training players, to be stored with a model."""
     return features.agg(*(F.avg(c).alias(f"mean_{c}") for c in FROM_ALL))

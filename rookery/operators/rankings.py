@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fallback_color, family, residual, shrink
@@ -116,3 +116,16 @@ def recommendation_document(games: DataFrame, clustered: DataFrame, feature_colu
     # One element a cluster.
     listed = F.array_sort(F.collect_list(cluster), lambda x, y: F.when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0))
     return rows.agg(F.count("*").alias("k"), F.array(*map(F.lit, feature_columns)).alias("feature_columns"), listed.alias("clusters"))
+
+
+def write_document(document: DataFrame, path: str) -> None:
+    """A recommendation document at rest: one file of JSON, nulls written too."""
+    document.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """The document as `write_document` left it, with the schema that answers read."""
+    item = "array<struct<name: string, n: bigint, score_residual: double>>"
+    cluster = f"""id: int, name: string, blurb: string, size: bigint, avg_rating: double, accuracy: struct<avg_acpl: double, avg_blunder_rate: double, n_players: bigint>,
+family_residuals: struct<white: map<string, double>, black: map<string, double>>, feature_means: map<string, double>, top_openings: struct<white: {item}, black: {item}>"""
+    return spark.read.schema(f"k bigint, feature_columns array<string>, clusters array<struct<{cluster}>>").json(path)

@@ -51,6 +51,15 @@ def scale(rows: DataFrame, scaler: Sequence[tuple[float, float]]) -> DataFrame:
     return rows.withColumn("features", scaled)
 
 
+def between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of `a` to those of `b`, a feature at a time: exact differences, no more memory than the result twice."""
+    out = np.zeros((len(a), len(b)))
+    for k in range(a.shape[1]):
+        gap = a[:, k, None] - b[None, :, k]
+        out += gap * gap
+    return np.sqrt(out, out=out)
+
+
 def distance(a: Column, b: Column) -> Column:
     """Euclidean, of two arrays."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
@@ -112,7 +121,7 @@ def silhouette(assigned: DataFrame, *, sample_size: int | None = None, seed: int
             for at in range(0, len(batch), 256):
                 some = batch.iloc[at : at + 256]
                 x = np.array(some["features"].tolist(), float)
-                d = np.sqrt(np.maximum(((x[:, None, :] - points[None, :, :]) ** 2).sum(axis=2), 0))
+                d = between(x, points)
                 sums = np.stack([d[:, codes == c].sum(axis=1) for c in range(len(labels))], axis=1)
                 own = np.searchsorted(labels, some["cluster"].to_numpy())
                 row = np.arange(len(some))
@@ -145,7 +154,7 @@ def _silhouette_in_blocks(rows: DataFrame, block: int) -> DataFrame:
                 for at in range(0, len(batch), 64):
                     part = batch.iloc[at : at + 64]
                     x = np.array(part["features"].tolist(), float)
-                    d = np.sqrt(((x[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+                    d = between(x, points)
                     total = np.stack([d[:, codes == c].sum(axis=1) for c in range(len(labels))], axis=1)
                     yield pd.DataFrame({"row": np.repeat(part["row"].to_numpy(), len(labels)), "other": np.tile(labels, len(part)), "total": total.ravel()})
 

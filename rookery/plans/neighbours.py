@@ -38,8 +38,27 @@ def nearest_many(rows: DataFrame, queries: DataFrame, k: int, *, block: int = BL
     return out
 
 
+#: Pairs whose exact distances are worked out at once.
+PAIRS = 1 << 15
+
+
+def _least(points: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the `k` rows of `x` nearest to each of `points`, ties by
+    id. A product of matrices leaves out rows that are farther for sure, by a bound of its rounding; differences decide among the rest."""
+    far = (points**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * points @ x.T
+    bound = 8 * 2.0**-52 * (points.shape[1] + 2) * ((points**2).sum(axis=1) + (x**2).sum(axis=1).max())
+    far[own[:, None] == ids] = np.inf
+    kth = np.partition(far, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+    i, j = np.nonzero(np.isfinite(far) & (far <= (kth + bound)[:, None]))
+    d = np.concatenate([np.zeros(0), *(np.sqrt(((points[i[at : at + PAIRS]] - x[j[at : at + PAIRS]]) ** 2).sum(axis=1)) for at in range(0, len(i), PAIRS))])
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1][j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], j[keep], d[keep]
+
+
 def _nearest_block(rows: DataFrame, queries: DataFrame, k: int):
-    """`nearest_many` of one block, and its broadcast: every batch of rows meets the queries as matrices and keeps k of each."""
+    """`nearest_many` of one block, and its broadcast: every batch of rows meets the queries and keeps k of each."""
     asked = queries.select("id", "features").toPandas()
     names = asked["id"].to_numpy()
     points = np.array(asked["features"].tolist(), float).reshape(len(asked), -1)
@@ -48,14 +67,12 @@ def _nearest_block(rows: DataFrame, queries: DataFrame, k: int):
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, points = shared.value
         for batch in batches:
-            ids, x = batch["id"].to_numpy(), np.array(batch["features"].tolist(), float)
-            for at in range(0, len(names), 256):
-                d = np.sqrt(np.maximum(((points[at : at + 256, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0)) if len(x) * len(points) < 200_000 else np.sqrt(np.maximum((points[at : at + 256] ** 2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * points[at : at + 256] @ x.T, 0))
-                d[names[at : at + 256, None] == ids[None, :]] = np.inf
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                got = np.take_along_axis(d, best, axis=1)
-                keep = np.isfinite(got)
-                yield pd.DataFrame({"query": np.repeat(names[at : at + 256], keep.sum(axis=1)), "id": ids[best][keep], "dist": got[keep]})
+            for start in range(0, len(batch), 4096):
+                some = batch.iloc[start : start + 4096]
+                ids, x = some["id"].to_numpy(), np.array(some["features"].tolist(), float)
+                for at in range(0, len(names), 256):
+                    i, j, d = _least(points[at : at + 256], x, ids, names[at : at + 256], k)
+                    yield pd.DataFrame({"query": names[at : at + 256][i], "id": ids[j], "dist": d})
 
     kind = rows.schema["id"].dataType.simpleString()
     found = rows.select("id", "features").mapInPandas(meet, f"query {kind}, id {kind}, dist double")

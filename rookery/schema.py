@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+#: The columns of games at rest.
 GAMES = T.StructType(
     [
         T.StructField("username", T.StringType()),

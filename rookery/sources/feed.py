@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,12 +89,10 @@ class _Reader(DataSourceReader):
             for attempt in range(retries + 1):
                 try:
                     with urllib.request.urlopen(request, timeout=30) as answer:
-                        for line in answer:
-                            if line.strip():
-                                json.loads(line)
-                                yield user, line.decode(), None
+                        lines = [line for line in answer if line.strip()]  # `max` games at most; only a whole answer counts
+                    yield from (_checked(user, line) for line in lines)
                     break
-                except (OSError, ValueError) as e:
+                except OSError as e:
                     code = getattr(e, "code", None)
                     if attempt < retries and (code is None or code == 429 or code >= 500):
                         time.sleep(float((getattr(e, "headers", None) or {}).get("Retry-After", 2.0 * 2**attempt)) if float(o.get("pause", 1)) else 0)
@@ -104,6 +102,39 @@ class _Reader(DataSourceReader):
             time.sleep(float(o.get("pause", 1)))
 
 
+def _checked(user: str, line: bytes) -> tuple:
+    """A row with the line, or with the error if it isn't JSON."""
+    try:
+        json.loads(line)
+    except ValueError as e:
+        return user, None, f"{type(e).__name__}: {e}"
+    return user, line.decode(), None
+
+
+def read_leaderboard(answer: DataFrame) -> DataFrame:
+    """(rank, name, rating, title) of a leaderboard's answer (column `value`: JSON
+    `{"users": [{"username", "title", "perfs": {<speed>: {"rating"}}}]}`), best first as it is listed."""
+    users = "users array<struct<username: string, title: string, perfs: map<string, struct<rating: int>>>>"
+    rows = answer.select(F.posexplode(F.from_json("value", users)["users"]).alias("at", "u"))
+    return rows.select((F.col("at") + 1).alias("rank"), F.col("u.username").alias("name"), F.map_values("u.perfs")[0]["rating"].alias("rating"), F.col("u.title").alias("title"))
+
+
+def collected(top: DataFrame, first: DataFrame, n: int, fetch: Callable[[DataFrame], DataFrame], *, below: int = 2200, seed: int = 42) -> DataFrame:
+    """The two stages of a collection: games (`schema.GAMES`) of the players of a
+    leaderboard (`top`: name), and those that `fetch` gets for `n` of their weaker opponents. A game that both stages have counts once for each player."""
+    more = fetch(diverse_players(first, top, n, below=below, seed=seed))
+    return first.unionByName(more).dropDuplicates(["username", "game_id"])
+
+
+def user_games(fetched: DataFrame, user: str) -> DataFrame:
+    """One user's games; an error if there are none, as nothing can be said of that user."""
+    games = fetched_games(fetched.where(F.col("target") == user))[0]
+    if not games.limit(1).count():
+        why = fetched.where((F.col("target") == user) & F.col("error").isNotNull()).select("error").first()
+        raise ValueError(f"no games of {user}" + (f": {why[0]}" if why else ""))
+    return games
+
+
 def fetched_games(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of games (`flatten_feed`) and (target, error) of what FeedReader gave."""
     lines = fetched.where("line is not null").select("target", F.from_json("line", schema.FEED).alias("g")).select("target", "g.*")

@@ -22,8 +22,9 @@ _TAGS = ["Variant", "Rated", "White", "Black", "WhiteElo", "BlackElo", "Result",
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """`record`: a game's text. Reads plain, .gz, .bz2 and .zst files; for zstd windows that Spark can't hold, `transcode` first."""
-    raw = spark.read.option("lineSep", "\n\n[Event ").text(path)
+    """`record`: a game's text, with any line ends. A line that begins with `[Event `
+    begins a record. Reads plain, .gz, .bz2 and .zst files; for zstd windows that Spark can't hold, `transcode` first."""
+    raw = spark.read.option("lineSep", "\n[Event ").text(path)
     text = F.regexp_replace("value", "\r", "")
     text = F.regexp_replace(text, r"\s+$", "")
     return raw.select(F.when(F.startswith(text, F.lit("[Event ")) | (text == ""), text).otherwise(F.concat(F.lit("[Event "), text)).alias("record")).where("record <> ''")

@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from rookery import queries, schema
 from rookery.operators import compare, features, rankings, sampling
 from rookery.plans import density, models, neighbours
+from rookery.shared import stage
 from rookery.streaming import blocks
 
 SF = "/root/testdata/sf0.001"
@@ -176,3 +177,45 @@ def test_comparisons(spark):
     assert compare.z_scores(s, ["f"]).first().f is None
     assert spark.range(1).select(compare.clamp(F.lit(500), *compare.GAMES_ASKED)).first()[0] == 200
     assert sampling.exact_sample(spark.range(100), "id", 10).count() == 10
+
+
+def test_nearest_of_ties_and_of_vectors_far_from_the_origin(spark):
+    from rookery.plans import neighbours
+
+    ties = spark.createDataFrame([(i, [1.0, 0.0]) for i in (9, 8, 7, 3, 2, 1)] + [(0, [0.0, 0.0])], "id long, features array<double>")
+    got = neighbours.nearest_many(ties, ties.where("id = 0"), 3).orderBy("rank").collect()
+    assert [r.id for r in got] == [1, 2, 3]
+    rnd = np.random.default_rng(3)
+    points = 1000 + rnd.normal(size=(2000, 8)) * 1e-6
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, features array<double>")
+    got = {(r.query, r["rank"]): (r.id, r.dist) for r in neighbours.nearest_many(rows, rows.where("id < 40"), 3).collect()}
+    for q in range(40):
+        d = np.sqrt(((points - points[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(2000), d))[:3]
+        assert [got[q, k + 1][0] for k in range(3)] == want.tolist() and got[q, 1][1] == pytest.approx(d[want[0]], rel=1e-9)
+
+
+def test_document_store_and_live_profile(spark, tmp_path):
+    from rookery import queries as q
+    from rookery.operators import compare, features, rankings
+    from rookery.schema import V2_21
+
+    d = "/root/testdata/sf0.001"
+    document = stage(q.q_recommendation_document(spark, d), "document")
+    rankings.write_document(document, str(tmp_path / "doc"))
+    again = rankings.read_document(spark, str(tmp_path / "doc"))
+    assert again.first() == document.first()
+    filled = features.impute(features.player_features(q.games(spark, d), 1))
+    means = features.imputation_means(features.player_features(q.games(spark, d), 1)).first().asDict()
+    rows = models.vectors(filled, "username", V2_21)
+    scaler = models.fit_scaler(rows)
+    centres = models.fit_kmeans(models.scale(rows, scaler), 3, restarts=1)
+    models.save_model(spark, str(tmp_path / "m"), V2_21, scaler, centres, means)
+    one = filled.agg({"username": "min"}).first()[0]
+    live = features.live_profile(q.games(spark, d).where(f"username = '{one}'"), models.load_model(spark, str(tmp_path / "m"))).first()
+    want = models.assign(models.scale(rows, scaler), centres).where(f"id = '{one}'").first()
+    assert live.username == one and live.cluster == want.cluster and live.dist == pytest.approx(want.dist)
+    games = spark.createDataFrame([("a", f"g{i:03d}", i) for i in range(300)], "username string, game_id string, created_at long")
+    assert [compare.latest_games(games, n).count() for n in (5, 100, 1000)] == [20, 100, 200]
+    assert compare.latest_games(games, 20).agg({"created_at": "min"}).first()[0] == 280

@@ -4,7 +4,7 @@ import pytest
 
 from rookery import schema
 from rookery.queries import GAME
-from rookery.sources import FeedReader, diverse_players, flatten_feed, games_of, openings_dim, parsed, pgn, read_feed, read_records, reject_counts
+from rookery.sources import FeedReader, collected, diverse_players, flatten_feed, games_of, openings_dim, parsed, pgn, read_feed, read_leaderboard, read_records, reject_counts, user_games
 from rookery.sources.feed import fetched_games
 from rookery.sources.openings import read_openings
 
@@ -38,6 +38,13 @@ def test_dump_to_rows(spark, dump, kind):
     assert (b.username, b.result, b.opponent_rating, b.acpl, b.n_eval_moves, w.acpl, w.blunders) == ("bob", "loss", 1500, 10.0, 1, 180.0, 2)
 
 
+def test_line_ends_of_any_kind(spark, dump):
+    plain = [r.record for r in read_records(spark, str(dump)).collect()]
+    other = dump.parent / "crlf.pgn"
+    other.write_bytes(dump.read_bytes().replace(b"\n", b"\r\n"))
+    assert [r.record for r in read_records(spark, str(other)).collect()] == plain and len(plain) == 6
+
+
 def test_wide_windows_are_transcoded(spark, dump, tmp_path):
     import zstandard
 
@@ -82,6 +89,34 @@ def test_feed_reader(spark, feed):
     assert games.count() == 3 and [r.target for r in errors.collect()] == ["nobody"]
 
 
+def test_a_bad_line_is_one_error_and_no_line_comes_twice(spark, feed):
+    lines = feed.read_text().splitlines()
+    (feed.parent / "ann.ndjson").write_text("\n".join([lines[0], "{not json", lines[1]]) + "\n")
+    spark.dataSource.register(FeedReader)
+    options = {"users": "ann", "url": f"file://{feed.parent}/{{user}}.ndjson", "pause": "0", "retries": "3"}
+    got = spark.read.format("games_feed").options(**options).load().collect()
+    assert [r.error is None for r in got] == [True, False, True]
+    fetched = spark.read.format("games_feed").options(**options).load()
+    assert user_games(fetched, "ann").count() == 2
+    with pytest.raises(ValueError, match="no games of nobody"):
+        user_games(fetched, "nobody")
+
+
+def test_leaderboard_and_two_stages(spark, feed):
+    told = json.dumps({"users": [{"username": "Ann", "title": "GM", "perfs": {"blitz": {"rating": 2900}}}, {"username": "cid", "perfs": {"blitz": {"rating": 2800}}}]})
+    top = read_leaderboard(spark.createDataFrame([(told,)], "value string"))
+    assert [tuple(r) for r in top.orderBy("rank").collect()] == [(1, "Ann", 2900, "GM"), (2, "cid", 2800, None)]
+    first = flatten_feed(read_feed(spark, str(feed)), "ann")
+    asked = []
+
+    def fetch(players):
+        asked.extend(r.name for r in players.collect())
+        return flatten_feed(read_feed(spark, str(feed)), "bob")
+
+    games = collected(top, first, 5, fetch)
+    assert asked == ["bob"] and sorted((r.username, r.game_id) for r in games.collect()) == [("ann", "g0"), ("ann", "g1"), ("ann", "g3"), ("bob", "g0")]
+
+
 def test_openings_dim(spark, tmp_path):
     path = tmp_path / "a.tsv"
     path.write_text("eco\tname\tpgn\nB01\tScandinavian Defense\t1. e4 d5 2. b3\nB01\tScandinavian Defense\t1. e4 d5\nA00\tBad\t1. zz\nshort\nA04\tReti \"x\"\t1. Nf3\n")
@@ -94,17 +129,23 @@ def test_download_resumes(tmp_path):
 
     from rookery.sources import download as d
 
-    data, asked = bytes(range(256)) * 100, []
+    data, asked, told = bytes(range(256)) * 100, [], [True]
 
     class Server(BaseHTTPRequestHandler):
         def do_HEAD(self):
             self.send_response(200)
-            self.send_header("Content-Length", str(len(data)))
+            if told[0]:
+                self.send_header("Content-Length", str(len(data)))
             self.end_headers()
 
         def do_GET(self):
             at = int((self.headers.get("Range") or "bytes=0-")[6:-1])
             asked.append(at)
+            if at >= len(data):
+                self.send_response(416)
+                self.send_header("Content-Range", f"bytes */{len(data)}")
+                self.end_headers()
+                return
             self.send_response(206 if at else 200)
             self.end_headers()
             self.wfile.write(data[at:])
@@ -121,4 +162,14 @@ def test_download_resumes(tmp_path):
         d(url, str(out), force)
         assert out.read_bytes() == data
     assert asked == [1000, 0]
+    told[0] = False  # no size: whole (refused), longer (all anew)
+    for there, want in ((data, [len(data)]), (data + b"more", [len(data) + 4, 0])):
+        asked.clear()
+        out.write_bytes(there)
+        d(url, str(out))
+        assert out.read_bytes() == data and asked == want
+    told[0] = True
+    out.write_bytes(data + b"more")
+    d(url, str(out))
+    assert out.read_bytes() == data
     server.shutdown()
