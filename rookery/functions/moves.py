@@ -1,7 +1,11 @@
-"""What a game's moves and engine evaluations say, as folds over arrays."""
+"""What a game's moves and engine evaluations say, as folds over arrays: as column
+expressions, and game by game for the stage that reads transcripts in Python anyway."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,3 +92,56 @@ def accuracy(evals: Column | str) -> Column:
             n.alias(f"{side}_n_eval"),
         ]
     return F.when(F.exists(evals, lambda e: e.isNotNull()), F.struct(*fields))
+
+
+#: Types of `move_features` and `accuracy`.
+FEATURES = "struct<white_castle_ply: int, white_castle_qside: boolean, white_early_pawn: int, black_castle_ply: int, black_castle_qside: boolean, black_early_pawn: int, queens_off_ply: int>"
+ACCURACY = "struct<white_acpl: double, white_blunders: int, white_n_eval: int, black_acpl: double, black_blunders: int, black_n_eval: int>"
+
+_TO = re.compile(r"([a-h][1-8])(?:=[QRBN])?[+#]?[!?]*$")
+_FROM = re.compile(r"^Q([a-h]?[1-8]?)x?[a-h][1-8]")
+
+
+def features_of(moves: Sequence[str]) -> dict:
+    """`move_features` of one game."""
+    out: dict = {}
+    for parity, side in enumerate(("white", "black")):
+        castle = next((i for i in range(parity, len(moves), 2) if moves[i].startswith("O-O")), None)
+        out[f"{side}_castle_ply"] = None if castle is None else castle + 1
+        out[f"{side}_castle_qside"] = castle is not None and moves[castle].startswith("O-O-O")
+        out[f"{side}_early_pawn"] = sum(m[:1].islower() and m[:1].isascii() for m in moves[parity:EARLY:2])
+    queens, off = (["d1"], ["d8"]), None
+    for ply, m in enumerate(moves, 1):
+        own, other = queens if ply % 2 else queens[::-1]
+        queen, takes, new = m.startswith("Q"), "x" in m, "=Q" in m
+        if not (queen or takes or new):
+            continue
+        to = t[1] if (t := _TO.search(m)) else ""
+        if takes:
+            other[:] = [q for q in other if q != to]
+        if queen:
+            origin = t[1] if (t := _FROM.search(m)) else ""
+            named = [q for q in own if origin in q]
+            own[:] = [*(q for q in own if not named or q != named[-1]), to]
+        elif new:
+            own.append(to)
+        if off is None and not own and not other:
+            off = ply
+    out["queens_off_ply"] = off
+    return out
+
+
+def accuracy_of(evals: Sequence[int | None]) -> dict | None:
+    """`accuracy` of one game."""
+    if all(e is None for e in evals):
+        return None
+    losses: tuple[list[int], list[int]] = ([], [])
+    before: int | None = INITIAL
+    for i, e in enumerate(evals):
+        if e is not None:
+            losses[i % 2].append(min(CP_CAP, max(0, (1 if i % 2 == 0 else -1) * ((INITIAL if before is None else before) - e))))
+        before = e
+    out: dict = {}
+    for side, own in zip(("white", "black"), losses, strict=True):
+        out |= {f"{side}_acpl": sum(own) / len(own) if own else None, f"{side}_blunders": sum(x >= BLUNDER for x in own), f"{side}_n_eval": len(own)}
+    return out

@@ -13,7 +13,7 @@ from .plans import density, models, neighbours
 from .schema import V2_21
 from .shared import shared_dir
 from .sources import pgn
-from .view import SQL, games, openings, table
+from .view import SQL, TRANSCRIPTS_SQL, games, openings, played, table, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -485,17 +485,19 @@ def q_match_clusters(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(models.match_clusters(*halves), "a_cluster int, b_cluster int")
 
 
-@query("""select * from (values ('e4 e5 Nf3',null,null,null,1,1),('e4 d5 exd5 Qxd5 Qf3 Qxf3 Nxf3',null,null,7,2,1),('e4 d5 exd5 Qxd5 Nc3 Qxd2+ Qxd2',null,null,null,2,1),('e4 e5 Nf3 Nc6 Bc4 Bc5 O-O Nf6',7,null,null,1,1),('',null,null,null,0,0)) t(moves, white_castle, black_castle, queens_off, white_pawns, black_pawns)""")
+@query(f"""with recursive {TRANSCRIPTS_SQL} select f.o o_orderkey, white_castle, black_castle, white_long, black_long, queens_off, cast(white_pawns as int) white_pawns, cast(black_pawns as int) black_pawns from folds f join off using (o)""")
 def q_move_features(spark: SparkSession, d: str) -> DataFrame:
-    lines = ["e4 e5 Nf3", "e4 d5 exd5 Qxd5 Qf3 Qxf3 Nxf3", "e4 d5 exd5 Qxd5 Nc3 Qxd2+ Qxd2", "e4 e5 Nf3 Nc6 Bc4 Bc5 O-O Nf6", ""]
-    m = spark.createDataFrame([(x,) for x in lines], "moves string").withColumn("m", move_features("moves"))
-    return m.select("moves", F.col("m.white_castle_ply").alias("white_castle"), F.col("m.black_castle_ply").alias("black_castle"), F.col("m.queens_off_ply").alias("queens_off"), F.col("m.white_early_pawn").alias("white_pawns"), F.col("m.black_early_pawn").alias("black_pawns"))
+    """The moves of every order's game, as column expressions."""
+    m = played(spark, d).withColumn("m", move_features(F.array_join("moves", " ")))
+    names = {"white_castle_ply": "white_castle", "black_castle_ply": "black_castle", "white_castle_qside": "white_long", "black_castle_qside": "black_long", "queens_off_ply": "queens_off", "white_early_pawn": "white_pawns", "black_early_pawn": "black_pawns"}
+    return m.select("o_orderkey", *(F.col(f"m.{n}").alias(a) for n, a in names.items()))
 
 
-@query("select 180e0 white_acpl, 2 white_blunders, 3 white_n_eval, 10e0 black_acpl, 0 black_blunders, 1 black_n_eval")
+@query(f"""with recursive {TRANSCRIPTS_SQL} select o o_orderkey, round(white_acpl,6)+0e0 white_acpl, cast(white_blunders as int) white_blunders, cast(white_n_eval as int) white_n_eval, round(black_acpl,6)+0e0 black_acpl, cast(black_blunders as int) black_blunders, cast(black_n_eval as int) black_n_eval from acc where white_n_eval + black_n_eval > 0""")
 def q_acpl_fold(spark: SparkSession, d: str) -> DataFrame:
-    row = spark.createDataFrame([([20, 30, -250, None, -240],)], "evals array<int>")
-    return row.select(accuracy("evals").alias("a")).select("a.*").select("white_acpl", "white_blunders", "white_n_eval", "black_acpl", "black_blunders", "black_n_eval")
+    """The evaluations of every order's game that has some."""
+    rows = played(spark, d).select("o_orderkey", accuracy("evals").alias("a")).where("a is not null")
+    return rounded(rows.select("o_orderkey", "a.white_acpl", "a.white_blunders", "a.white_n_eval", "a.black_acpl", "a.black_blunders", "a.black_n_eval"))
 
 
 @query("select split_part(p_name,' ',1) w, count(*) n, count(*) filter (where p_size%2=1) odd from part group by 1")
@@ -523,10 +525,26 @@ GAME = """[Event "Rated Blitz game"]
 1. e4 { [%eval 0.2] } 1... e5 { [%eval 0.3] } 2. d3 { [%eval -2.5] } 2... Nf6 3. Qh5 { [%eval -2.4] } 1-0"""
 
 
-@query()
+_KEPT_SQL = f"""{TRANSCRIPTS_SQL}, g as (select o.*, f.*, a.*, queens_off, 700 + o_custkey % 1500 we, 900 + o_orderkey % 1500 be, o_orderkey % 600 + 180 + 40 * (o_orderkey % 10) secs from orders o join folds f on f.o = o_orderkey join acc a on a.o = o_orderkey join off on off.o = o_orderkey),
+kept as (select *, case when o_orderpriority like '1%' then 'outoftime' when o_orderstatus not in ('F','O') then 'draw' when last_tok like '%#' then 'mate' else 'resign' end status, case when secs < 480 then 'blitz' when secs < 1500 then 'rapid' else 'classical' end speed from g where we between 800 and 3500 and be between 800 and 3500),
+rows_ as (select concat('g', o_orderkey) game_id, 'white' color, concat('C', o_custkey) username, case o_orderstatus when 'F' then 'win' when 'O' then 'loss' else 'draw' end result, we user_rating, be opponent_rating, white_acpl x, white_blunders bl, white_n_eval n, white_castle castle, white_long long_, white_pawns pawns, * from kept
+  union all select concat('g', o_orderkey), 'black', concat('D', o_custkey % 97), case o_orderstatus when 'O' then 'win' when 'F' then 'loss' else 'draw' end, be, we, black_acpl, black_blunders, black_n_eval, black_castle, black_long, black_pawns, * from kept)"""
+
+
+@query(f"""with recursive {_KEPT_SQL} select game_id, color, username, result, cast(user_rating as int) user_rating, cast(opponent_rating as int) opponent_rating, status, speed, epoch_ms(cast(o_orderdate as timestamp)) + 36000000 created_at, cast(n_moves as int) n_moves,
+white_n_eval + black_n_eval > 0 has_eval, round(x,6)+0e0 acpl, case when white_n_eval + black_n_eval > 0 then cast(bl as int) end blunders, case when white_n_eval + black_n_eval > 0 then cast(n as int) end n_eval_moves from rows_""")
 def q_pgn_ingest(spark: SparkSession, d: str) -> DataFrame:
-    records = spark.createDataFrame([(GAME,), (GAME.replace("abcd1234", "efgh5678").replace('"1-0"', '"1/2-1/2"'),), (GAME.replace("bob", "?"),)], "record string")
-    return pgn.games_of(pgn.judged(pgn.parsed(records)))
+    """Transcripts of all orders, read, judged and told from both sides."""
+    rows = pgn.games_of(pgn.judged(pgn.extracted(transcripts(spark, d))))
+    return rounded(rows.select("game_id", "color", "username", "result", "user_rating", "opponent_rating", "status", "speed", "created_at", "n_moves", "has_eval", "acpl", "blunders", "n_eval_moves"))
+
+
+@query(f"""with recursive {_KEPT_SQL} select username, count(*) n_games, round(avg(castle),6)+0e0 avg_castle_move, round(avg(case when long_ then 1e0 else 0e0 end) filter (where castle is not null),6)+0e0 pct_queenside_castle,
+round(avg(queens_off),6)+0e0 avg_queens_off_move, round(avg(pawns),6)+0e0 early_pawn_pushes, round(sum(x*n) filter (where white_n_eval + black_n_eval > 0)/nullif(sum(n) filter (where white_n_eval + black_n_eval > 0),0),6)+0e0 acpl from rows_ group by 1""")
+def q_parsed_features(spark: SparkSession, d: str) -> DataFrame:
+    """Players' features from transcripts: moves and evaluations parsed."""
+    rows = features.player_features(pgn.games_of(pgn.judged(pgn.extracted(transcripts(spark, d)))), 1)
+    return rounded(rows.select("username", "n_games", "avg_castle_move", "pct_queenside_castle", "avg_queens_off_move", "early_pawn_pushes", "acpl"))
 
 
 @query(f"with {SQL} select username, color, family, count(*) n, round(sum(sd),6)+0e0 sum_sd from ann where case when family ilike '%defense%' then 'black' else 'white' end = color group by 1,2,3")

@@ -44,6 +44,62 @@ def openings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(word.alias("name")).distinct().select("name", F.when(F.col("name").isin(*WHITE_WORDS), "white").otherwise("black").alias("color"))
 
 
+#: Moves that the made transcripts consist of: castling both ways, pawns, queens that come, go and are taken, a mate.
+TOKENS = ("e4", "d5", "Nf3", "Qd3", "Qxd5", "exd5", "O-O", "O-O-O", "Bxd8", "a8=Q", "Qd1xd8", "Qh7#")
+#: Four moves of a line item, by these keys; and their evaluations, none for one of five.
+_KEYS = ("l_partkey", "l_suppkey", "l_partkey + l_linenumber", "l_suppkey + l_orderkey")
+
+
+def played(spark: SparkSession, d: str) -> DataFrame:
+    """Each order as a game (o_orderkey, moves, evals), of the four moves of each of its lines."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    tokens = F.array(*map(F.lit, TOKENS))
+    moves = F.array(*(F.get(tokens, F.expr(f"cast(({k}) % {len(TOKENS)} as int)")) for k in _KEYS))
+    worth = [F.expr(f"cast((({k}) * 37 + l_linenumber * {i}) % 2401 - 1200 as int)") for i, k in enumerate(_KEYS)]
+    evals = F.array(*(F.when((w % 5 != 0) & (F.col("l_orderkey") % 3 == 0), w) for w in worth))
+    rows = line.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", moves.alias("m"), evals.alias("e")).alias("x"))
+    whole = rows.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list("x")).alias("x"))  # an order's few lines
+    return whole.select("o_orderkey", F.flatten("x.m").alias("moves"), F.flatten("x.e").alias("evals"))
+
+
+def transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """`record`: the text of each order's game, evaluations as comments."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.date_format("o_orderdate", "yyyy.MM.dd").alias("day"))
+    rows = played(spark, d).join(orders, "o_orderkey")
+    ply = F.transform("moves", lambda m, i: F.concat(F.when(i % 2 == 0, F.concat((i / 2 + 1).cast("int").cast("string"), F.lit(". "))).otherwise(F.lit("")), m, F.coalesce(F.concat(F.lit(" { [%eval "), F.format_number(F.get("evals", i) / 100.0, 2), F.lit("] }")), F.lit(""))))
+    result = F.when(F.col("o_orderstatus") == "F", "1-0").when(F.col("o_orderstatus") == "O", "0-1").otherwise("1/2-1/2")
+    tags = {
+        "Event": F.lit("Rated game"), "Site": F.concat(F.lit("https://lichess.org/g"), "o_orderkey"), "White": F.concat(F.lit("C"), "o_custkey"), "Black": F.concat(F.lit("D"), F.col("o_custkey") % 97),
+        "Result": result, "UTCDate": F.col("day"), "UTCTime": F.lit("10:00:00"), "WhiteElo": F.lit(700) + F.col("o_custkey") % 1500, "BlackElo": F.lit(900) + F.col("o_orderkey") % 1500,
+        "ECO": F.lit("B20"), "Opening": F.lit("Sicilian Defense: Bowdler Attack"), "TimeControl": F.concat(F.col("o_orderkey") % 600 + 180, F.lit("+"), F.col("o_orderkey") % 10), "Termination": F.when(F.startswith("o_orderpriority", F.lit("1")), "Time forfeit").otherwise("Normal"),
+    }
+    head = F.concat_ws("\n", *(F.concat(F.lit(f'[{t} "'), c.cast("string"), F.lit('"]')) for t, c in tags.items()))
+    return rows.select(F.concat(head, F.lit("\n\n"), F.array_join(ply, " "), F.lit(" "), result).alias("record"))
+
+
+#: The same games as SQL: t(o, ply, tok, e), and what folds over them say.
+TRANSCRIPTS_SQL = f"""
+lines as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 nth from lineitem),
+k as ({" union all ".join(f"select l_orderkey o, cast(nth * 4 + {i + 1} as int) ply, ({key}) % {len(TOKENS)} pos, (({key}) * 37 + l_linenumber * {i}) % 2401 - 1200 w from lines" for i, key in enumerate(_KEYS))}),
+t as (select o, ply, {list(TOKENS)}[pos + 1] tok, case when w % 5 <> 0 and o % 3 = 0 then w end e from k),
+loss as (select o, ply, greatest(0, least(1000, case when ply % 2 = 1 then 1 else -1 end * (coalesce(lag(e) over (partition by o order by ply), 20) - e))) + e * 0 x from t),
+acc as (select o, avg(x) filter (where ply % 2 = 1) white_acpl, count(*) filter (where ply % 2 = 1 and x >= 200) white_blunders, count(x) filter (where ply % 2 = 1) white_n_eval,
+  avg(x) filter (where ply % 2 = 0) black_acpl, count(*) filter (where ply % 2 = 0 and x >= 200) black_blunders, count(x) filter (where ply % 2 = 0) black_n_eval from loss group by o),
+queens(o, ply, w, b, gone) as (select distinct o, 0, ['d1'], ['d8'], cast(null as int) from t
+  union all select o, ply, w, b, case when gone is null and len(w) + len(b) = 0 then ply else gone end from (
+    select o, ply, case when ply % 2 = 1 then own else other end w, case when ply % 2 = 1 then other else own end b, gone from (
+      select o, ply, gone, case when tok like 'Q%' then list_append([q for q in mine if q <> coalesce(leaves, '')], dest) when contains(tok, '=Q') then list_append(mine, dest) else mine end own,
+        case when contains(tok, 'x') then [q for q in theirs if q <> dest] else theirs end other from (
+        select *, [q for q in mine if contains(q, origin)][-1] leaves from (
+          select t.o, t.ply, t.tok, gone, regexp_extract(tok, '([a-h][1-8])(=[QRBN])?[+#]?$', 1) dest, regexp_extract(tok, '^Q([a-h]?[1-8]?)x?[a-h][1-8]', 1) origin,
+            case when t.ply % 2 = 1 then w else b end mine, case when t.ply % 2 = 1 then b else w end theirs from queens join t on t.o = queens.o and t.ply = queens.ply + 1))))),
+folds as (select t.o, count(*) n_moves, min(ply) filter (where tok like 'O-O%' and ply % 2 = 1) white_castle, coalesce(arg_min(tok, ply) filter (where tok like 'O-O%' and ply % 2 = 1) like 'O-O-O%', false) white_long,
+  min(ply) filter (where tok like 'O-O%' and ply % 2 = 0) black_castle, coalesce(arg_min(tok, ply) filter (where tok like 'O-O%' and ply % 2 = 0) like 'O-O-O%', false) black_long,
+  count(*) filter (where ply <= 20 and ply % 2 = 1 and regexp_matches(tok, '^[a-z]')) white_pawns, count(*) filter (where ply <= 20 and ply % 2 = 0 and regexp_matches(tok, '^[a-z]')) black_pawns,
+  arg_max(tok, ply) last_tok from t group by t.o),
+off as (select o, max(gone) queens_off from queens group by o)
+"""
+
 _WORDS = ", ".join(f"'{w}'" for w in WHITE_WORDS)
 SQL = f"""
 base as (select l.l_orderkey*10+l.l_linenumber game_id, o.o_custkey, l.l_suppkey, l.l_quantity q, l.l_returnflag rf, o.o_orderpriority op, l.l_tax, l.l_discount,
