@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import accuracy, expected_score, fallback_color, family, last_mover, move_features, ply_count, residual, speed_bucket, status
+from .functions import accuracy, epoch_ms, expected_score, fallback_color, family, iso_date, last_mover, move_features, ply_count, residual, speed_bucket, status
 from .operators import compare, features, rankings, sampling
 from .plans import density, models, neighbours
 from .schema import V2_21
 from .shared import shared_dir
-from .sources import pgn
+from .sources import feed, openings_dim, pgn
 from .view import SQL, TRANSCRIPTS_SQL, games, openings, played, table, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,7 +133,9 @@ def q_pool_blocks(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rankings.pool_blocks(blocks, _members(spark, d), min_games=MIN_GAMES, shrinkage_k=SHRINK))
 
 
-@query(f"with {SQL}, g as (select segment, color, family from ann where color=owner group by 1,2,3 having count(*)>={MIN_GAMES}) select count(*) \"groups\", cast(0 as bigint) mismatches from g")
+@query(f"""with {SQL}, a as (select segment, color, family, count(*) n, count(*)/(count(*)+{SHRINK}e0)*avg(sd) s from ann where color=owner group by 1,2,3 having count(*)>={MIN_GAMES}),
+u as (select segment, username, color, family, count(*) n, sum(sd) x from ann where color=owner group by 1,2,3,4), b as (select segment, color, family, sum(n) n, sum(n)/(sum(n)+{SHRINK}e0)*(sum(x)/sum(n)) s from u group by 1,2,3 having sum(n)>={MIN_GAMES})
+select count(*) "groups", count(*) filter (where not coalesce(a.n=b.n and abs(a.s-b.s)<1e-9, false)) mismatches from a full join b using (segment, color, family)""")
 def q_served_equals_games(spark: SparkSession, d: str) -> DataFrame:
     """The ranking from games and the one from stored blocks, side by side."""
     g, dim, members = games(spark, d), openings(spark, d), _members(spark, d)
@@ -150,8 +153,11 @@ select * from (select white_cohort, black_cohort, row_number() over (partition b
 def q_mutual_openings(spark: SparkSession, d: str) -> DataFrame:
     t = rankings.residual_table(games(spark, d), _members(spark, d), min_games=MIN_GAMES, shrinkage_k=SHRINK)
     cohorts = t.select("cohort", "color").distinct()
-    pairs = cohorts.where("color='white'").select(F.col("cohort").alias("white_cohort"), F.lit(1).alias("k")).join(cohorts.where("color='black'").select(F.col("cohort").alias("black_cohort"), F.lit(1).alias("k")), "k")
-    return rounded(rankings.mutual_openings(t, pairs.drop("k")))
+    # All pairs of cohorts that share a family: there are some 30 cohorts.
+    white, black = (cohorts.where(F.col("color") == c).select(F.col("cohort").alias(f"{c}_cohort")) for c in ("white", "black"))
+    if cohorts.count() > 10_000:
+        raise ValueError("too many cohorts to pair all")
+    return rounded(rankings.mutual_openings(t, white.crossJoin(black)))
 
 
 def _two(sql: str) -> str:
@@ -259,9 +265,19 @@ def q_status(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(status(end, result, moves).alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("select event_type, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) k, count(*) n from events group by 1")
+@query("""select concat('g', o_orderkey) game_id, case when o_orderkey%2=0 then concat('c', o_custkey) else concat('D', o_custkey%97) end username, case when o_orderkey%2=0 then 'white' else 'black' end color,
+case when o_orderstatus='P' then 'draw' when (o_orderstatus='F') = (o_orderkey%2=0) then 'win' else 'loss' end result, cast(o_orderkey%3 as int) n_moves, cast(case when o_orderkey%2=0 then o_custkey%900 else o_orderkey%900 end as int) user_rating, cast(case when o_orderkey%2=0 then o_orderkey%900 else o_custkey%900 end as int) opponent_rating from orders where o_orderkey%7<>0""")
 def q_json_flatten(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.sum(F.from_json("props", "k bigint")["k"]).alias("k"), F.count("*").alias("n"))
+    """Orders as a feed's lines of JSON; each asked for by one of its players, by none of them if divisible by 7."""
+    o = table(spark, d, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    white, black = F.concat(F.lit("C"), cust), F.concat(F.lit("D"), cust % 97)
+    player = lambda name, rating: F.struct(F.struct(name.alias("name")).alias("user"), rating.cast("int").alias("rating"))
+    winner = F.when(F.col("o_orderstatus") == "F", "white").when(F.col("o_orderstatus") == "O", "black")
+    line = F.to_json(F.struct(F.concat(F.lit("g"), key).alias("id"), winner.alias("winner"), F.array_join(F.array_repeat(F.lit("e4"), (key % 3).cast("int")), " ").alias("moves"), F.struct(player(white, cust % 900).alias("white"), player(black, key % 900).alias("black")).alias("players")))
+    target = F.when(key % 7 == 0, F.lit("nobody")).when(key % 2 == 0, F.lower(white)).otherwise(black)
+    games_, _ = feed.fetched_games(o.select(target.alias("target"), line.alias("line"), F.lit(None).cast("string").alias("error")))
+    return games_.select("game_id", "username", "color", "result", "n_moves", "user_rating", "opponent_rating")
 
 
 @query("select case when regexp_matches(lower(text), 'defense|defence|indian|marshall attack|schliemann|albin counter|benoni|benko|grünfeld|grunfeld') then 'black' else 'white' end color, count(*) n from documents group by 1")
@@ -269,10 +285,11 @@ def q_regex_classify(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(fallback_color("text").alias("color")).agg(F.count("*").alias("n"))
 
 
-@query("select event_type, max(epoch_us(ts)//1000) last_ms, cast(sum(epoch_us(ts)//1000%1000) as bigint) ms from events group by 1")
+@query("select event_type, max(epoch_us(ts)//1000000*1000) last_ms, cast(sum(epoch_us(ts)//1000000%1000) as bigint) s, strftime(max(ts), '%Y-%m-%d') last_day from events group by 1")
 def q_epoch_ms(spark: SparkSession, d: str) -> DataFrame:
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return table(spark, d, "events").groupBy("event_type").agg(F.max(ms).alias("last_ms"), F.sum(ms % 1000).alias("ms"))
+    """Days and times as a transcript tells them, to milliseconds and back to the day."""
+    e = table(spark, d, "events").select("event_type", epoch_ms(F.date_format("ts", "yyyy.MM.dd"), F.date_format("ts", "HH:mm:ss")).alias("ms"))
+    return e.groupBy("event_type").agg(F.max("ms").alias("last_ms"), F.sum((F.col("ms") / 1000).cast("bigint") % 1000).alias("s"), F.max(iso_date("ms")).alias("last_day"))
 
 
 @query("select lower(c_mktsegment) \"name\", max(c_acctbal) best from customer group by 1")
@@ -280,10 +297,13 @@ def q_max_by_lower(spark: SparkSession, d: str) -> DataFrame:
     return sampling.best_by_lower(table(spark, d, "customer"), "c_mktsegment", "c_acctbal")
 
 
-@query("select count(*) n, cast(sum(c_custkey) as bigint) keys from customer where c_custkey not in (select o_custkey from orders where o_orderstatus='P')")
+@query("""select lower(concat('C', o_custkey)) "name", cast(max(o_orderkey%3000) as int) rating from orders where o_orderkey%3000<2200 and o_orderkey%3000<>0 and o_custkey not in (select o_custkey from orders where o_orderstatus='P') group by 1""")
 def q_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    pending = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").join(pending, "c_custkey", "left_anti").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
+    """All opponents under the cap who aren't known yet, each with the best rating that counts."""
+    o = table(spark, d, "orders")
+    name = F.concat(F.lit("C"), "o_custkey")
+    found = o.select(name.alias("opponent_username"), (F.col("o_orderkey") % 3000).cast("int").alias("opponent_rating"))
+    return feed.diverse_players(found, o.where("o_orderstatus = 'P'").select(F.lower(name).alias("name")), 2**31 - 1)
 
 
 @query("""with a as (select distinct o_custkey k from orders where o_orderstatus='F'), b as (select distinct o_custkey k from orders where o_orderstatus='O')
@@ -313,12 +333,12 @@ def q_split_sample(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("with r as (select p_name, p_type, p_size, row_number() over (partition by p_name order by length(p_type), p_type, p_partkey) rn from part) select p_name, p_type, p_size from r where rn=1")
+@query("""with r as (select p_name "name", p_size%9+1 plies, row_number() over (partition by p_name order by p_size%9+1, p_brand) rn from part where p_partkey%10<>0) select "name", case when plies%2=1 then 'white' else 'black' end color from r where rn=1""")
 def q_shortest_per_name(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("p_name").orderBy(F.length("p_type"), "p_type", "p_partkey"))
-    return table(spark, d, "part").withColumn("rn", first).where("rn = 1").select("p_name", "p_type", "p_size")
+    """Parts as opening lines; some hold a token that is no move."""
+    moves = F.array_join(F.array_repeat(F.lit("Nf3"), (F.col("p_size") % 9 + 1).cast("int")), " ")
+    line = F.concat(F.lit("1. "), moves, F.when(F.col("p_partkey") % 10 == 0, " zz").otherwise(""))
+    return openings_dim(table(spark, d, "part").select(F.col("p_brand").alias("eco"), F.col("p_name").alias("name"), line.alias("pgn")))
 
 
 def _embedded(spark: SparkSession, d: str) -> DataFrame:
@@ -424,6 +444,101 @@ def q_silhouette(spark: SparkSession, d: str) -> DataFrame:
     return rounded(models.silhouette(_embedded(spark, d).withColumn("cluster", F.col("label"))))
 
 
+_STYLE = ["avg_rating", "avg_moves", "draw_rate"]
+_NEAR = 60
+
+
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, Column, str]:
+    """Vectors of all players, the first player's own, and the name."""
+    filled = features.impute(_players(spark, d))
+    rows = models.vectors(filled, "username", _STYLE)
+    first = filled.agg(F.min("username")).first()[0]
+    return rows, F.array(*map(F.lit, rows.where(F.col("id") == first).first()["features"])), first
+
+
+_NEAR_SQL = f"""{SQL}, {_FEATURES_SQL}, p as (select username, avg_rating, [{", ".join(f"cast({_FILLED.get(c, c)} as double)" for c in _STYLE)}] f, n_games from agg), me as (select * from p where username=(select min(username) from p)),
+nn as (select p.username, p.avg_rating from p, me where p.username<>me.username order by list_distance(p.f, me.f), p.username limit {_NEAR}),
+near_g as (select color, family, count(*) n, count(*)/(count(*)+{SHRINK}e0)*avg(sd) s from ann join nn using (username) where color=owner group by 1,2 having count(*)>={MIN_GAMES}),
+near_r as (select color, row_number() over (partition by color order by s desc, family) rank, family "name", n, round(s,6)+0e0 score_residual from near_g)"""
+
+
+@query(f"with {_NEAR_SQL} select * from near_r where rank<=5")
+def q_knn_recommend_games(spark: SparkSession, d: str) -> DataFrame:
+    """Openings of the nearest players, from their games."""
+    rows, me, name = _near(spark, d)
+    return rounded(neighbours.recommend_from_games(rows, me, games(spark, d), k=_NEAR, exclude=name, dim=openings(spark, d), min_games=MIN_GAMES, shrinkage_k=SHRINK))
+
+
+@query(f"with {_NEAR_SQL} select * from near_r where rank<=5")
+def q_knn_recommend_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The same from stored blocks."""
+    rows, me, name = _near(spark, d)
+    blocks = rankings.family_blocks(games(spark, d), dim=openings(spark, d))
+    return rounded(neighbours.recommend_from_blocks(rows, me, blocks, k=_NEAR, exclude=name, min_games=MIN_GAMES, shrinkage_k=SHRINK))
+
+
+@query(f"""with {_NEAR_SQL} select me.username, me.n_games n_games_used, round(me.avg_rating,6)+0e0 user_rating, (select count(*) from nn) size, (select round(avg(avg_rating),6)+0e0 from nn) avg_rating, color, rank, r."name", n, score_residual from me, near_r r where rank<=5""")
+def q_knn_answer(spark: SparkSession, d: str) -> DataFrame:
+    """The answer's JSON, read back: the player, the neighbourhood and its openings."""
+    rows, me, name = _near(spark, d)
+    players = _players(spark, d)
+    near = neighbours.nearest(rows, me, _NEAR, name).join(players.select(F.col("username").alias("id"), "avg_rating"), "id")
+    ranked = neighbours.recommend_from_games(rows, me, games(spark, d), k=_NEAR, exclude=name, dim=openings(spark, d), min_games=MIN_GAMES, shrinkage_k=SHRINK)
+    told = compare.knn_answer(players.where(F.col("username") == name).select("username", "avg_rating", F.col("n_games").alias("n_games_used")), near, ranked)
+    item = "array<struct<name: string, n: bigint, score_residual: double>>"
+    a = told.select(F.from_json("json", f"username string, n_games_used bigint, user_rating double, cluster struct<size: bigint, avg_rating: double>, top_openings struct<white: {item}, black: {item}>").alias("a")).select("a.*")
+    out = None
+    for color in ("white", "black"):
+        one = a.select("username", "n_games_used", "user_rating", "cluster.size", "cluster.avg_rating", F.lit(color).alias("color"), F.posexplode(f"top_openings.{color}").alias("at", "o"))
+        one = one.select("username", "n_games_used", "user_rating", "size", "avg_rating", "color", (F.col("at") + 1).alias("rank"), "o.*")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+_DOCUMENT_SQL = f"""{SQL}, {_FEATURES_SQL}, c as (select {_CLUSTER} id, * from agg), ca as (select c.id, ann.* from ann join c using (username)),
+d_g as (select id, color, family, count(*) n, count(*)/(count(*)+{SHRINK}e0)*avg(sd) s from ca where color=owner group by 1,2,3 having count(*)>={MIN_GAMES}),
+d_r as (select id, color, row_number() over (partition by id, color order by s desc, family) rank, family "name", n, round(s,6)+0e0 score_residual from d_g),
+d_t as (select id, color, family, count(*)/(count(*)+{SHRINK}e0)*avg(sd) resid from ca group by 1,2,3 having count(*)>={MIN_GAMES})"""
+
+
+@query(f"""with {_DOCUMENT_SQL}, size as (select id, count(*) size, round(avg(avg_rating),6)+0e0 avg_rating from c group by 1), k as (select id, count(*) families from d_t group by 1)
+select id, size, avg_rating, families, color, rank, "name", n, score_residual from d_r join size using (id) join k using (id) where rank<=5""")
+def q_document_openings(spark: SparkSession, d: str) -> DataFrame:
+    """The recommendation document written, reread and laid out: clusters and their openings."""
+    at = f"{shared_dir(spark)}/document-{uuid.uuid4().hex}"
+    rankings.write_document(q_recommendation_document(spark, d), at)
+    clusters = rankings.read_document(spark, at).select(F.explode("clusters").alias("c")).select("c.*")
+    families = F.size("family_residuals.white") + F.size("family_residuals.black")
+    out = None
+    for color in ("white", "black"):
+        one = clusters.select("id", "size", "avg_rating", families.cast("bigint").alias("families"), F.lit(color).alias("color"), F.posexplode(f"top_openings.{color}").alias("at", "o"))
+        one = one.select("id", "size", "avg_rating", "families", "color", (F.col("at") + 1).alias("rank"), "o.*")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+@query(f"with {SQL}, {_FEATURES_SQL}, p as (select username, {_CLUSTER} c, n_games, {', '.join(f'cast({_FILLED.get(c, c)} as double) {c}' for c in V2_21)} from agg), u as (unpivot p on {', '.join(V2_21)} into name feature value v), m as (select c, feature, avg(v) m from u group by 1,2) select username, n_games n_games_used, feature, round(v,6)+0e0 \"user\", round(m,6)+0e0 cluster_mean, round(v-m,6)+0e0 delta from u join m using (c, feature)")
+def q_answer_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Every player's answer, read back: how the player differs from the cluster."""
+    told = q_recommend_answer(spark, d).select(F.from_json("json", "username string, n_games_used bigint, feature_comparison array<struct<feature: string, user: double, cluster_mean: double, delta: double>>").alias("a"))
+    return rounded(told.select("a.username", "a.n_games_used", F.explode("a.feature_comparison").alias("f")).select("username", "n_games_used", "f.*"))
+
+
+@query(f"""with {_DOCUMENT_SQL}, r as (select *, resid-avg(resid) over (partition by id, color) rel from d_t), e as (select min(username) lo, max(username) hi from c), pair as (select a.id x, b.id y from e join c a on a.username=lo join c b on b.username=hi),
+w as (select 'a_white_b_black' way, x wc, y bc from pair union all select 'b_white_a_black', y, x from pair),
+m as (select way, r1.family, r1.rel white_rel, r2.rel black_rel, r1.rel+r2.rel combined from w join r r1 on r1.id=wc and r1.color='white' join r r2 on r2.id=bc and r2.color='black' and r2.family=r1.family)
+select * from (select way, row_number() over (partition by way order by combined desc, family) rank, family, round(white_rel,6)+0e0 white_rel, round(black_rel,6)+0e0 black_rel, round(combined,6)+0e0 combined, white_rel>0 and black_rel>0 both_positive from m) where rank<=6""")
+def q_versus_matchups(spark: SparkSession, d: str) -> DataFrame:
+    """The comparison of the first and the last player, read back: families that suit both."""
+    item = "array<struct<family: string, white_rel: double, black_rel: double, combined: double, both_positive: boolean>>"
+    told = q_versus(spark, d).select(F.from_json("json", f"matchups struct<a_white_b_black: {item}, b_white_a_black: {item}>").alias("a"))
+    out = None
+    for way in ("a_white_b_black", "b_white_a_black"):
+        one = told.select(F.lit(way).alias("way"), F.posexplode(f"a.matchups.{way}").alias("at", "o")).select("way", (F.col("at") + 1).alias("rank"), "o.*")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
 @query()
 def q_recommendation_document(spark: SparkSession, d: str) -> DataFrame:
     return rankings.recommendation_document(games(spark, d), _clustered(spark, d), V2_21, dim=openings(spark, d), min_opening_games=MIN_GAMES, vs_min_games=MIN_GAMES, shrinkage_k=SHRINK)
@@ -550,8 +665,6 @@ def q_parsed_features(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {SQL} select username, color, family, count(*) n, round(sum(sd),6)+0e0 sum_sd from ann where case when family ilike '%defense%' then 'black' else 'white' end = color group by 1,2,3")
 def q_stream_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks kept up by a stream over the games, as files: equal to those of a batch."""
-    import uuid
-
     from .streaming import blocks
 
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
