@@ -1,12 +1,14 @@
 """Near-duplicate embeddings: exact threshold pairs by dual traversal of cover trees.
 
 Vectors of unit length with cosine c lie sqrt(2 - 2c) apart, so pairs are sought
-by distance, within one label. The top of a label's tree is made of centres from
-a bounded sample, and every vector hangs below its nearest; two such nodes meet
-only if their centres are no farther apart than their radii and the threshold
-allow. Nodes that meet become tasks (large ones in blocks); a task builds the
-lower levels, each with half the radius above, and walks both trees at once,
-dropping every pair of nodes that the covering radii rule out.
+by distance, within one label. A label's tree grows on the cluster, level by level:
+centres of a node come from a bounded sample of it, until none of the sample is
+farther from one than half the node's radius, and every vector goes to its nearest.
+Nodes that fit a task are left as they are. Two trees are walked at once, also level
+by level, over centres and covering radii alone: a pair of nodes is dropped if they
+lie farther apart than their radii and the threshold allow. Only what is left moves
+vectors: each pair of nodes is a task, which builds the levels below, each with half
+the radius above, and walks both trees in the same way.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from .base import stage
 from .links import components
 
 COSINE = 0.93
-#: Vectors of a block, of a leaf; sampled vectors of a label, centres of its top at most.
-BLOCK, LEAF, SAMPLE, CENTRES = 2048, 48, 2048, 64
-SLACK = 1e-9
+#: Vectors of a node that is a task's, of a leaf; sampled vectors of a node, its centres at most; levels on the cluster at most.
+BLOCK, LEAF, SAMPLE, CENTRES, LEVELS = 2048, 48, 2048, 64, 16
+#: Above the rounding of a distance near 0 (2.1e-8, as a root of a difference).
+SLACK = 1e-7
 
 
 @dataclass
@@ -100,40 +103,83 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
 
 
-def _nodes(vectors: DataFrame, sizes: DataFrame, block: int, sample: int, centres: int) -> tuple[DataFrame, DataFrame]:
-    """(id, node) of every vector, and the tops: (label, dim, node, centre, radius, n)."""
+_KEYS = ["label", "dim", "path"]
+
+
+def _split(rows: DataFrame, nodes: DataFrame, block: int, sample: int, centres: int) -> tuple[DataFrame, DataFrame]:
+    """The vectors of `nodes` (_KEYS, n, radius), which are open, in their children, and the children's centres (_KEYS of the parent, child, centre)."""
+    told = rows.join(nodes.select(*_KEYS, "n", "radius"), _KEYS)
     chance = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30) < sample / F.col("n")
-    some = vectors.join(sizes, ["label", "dim"]).where(chance).select("label", "dim", "n", "unit")
 
     def pick(group: pa.Table) -> pa.Table:
         points = _matrix(group.column("unit"))
-        most = min(centres, -(-group.column("n")[0].as_py() // block))
-        found, _, _ = cover(points[np.lexsort(points.T)], 0.0, most)
-        chosen = points[np.lexsort(points.T)][found]
-        n = len(chosen)
-        return pa.table({"label": pa.array([group.column("label")[0].as_py()] * n, pa.string()), "dim": pa.array([group.column("dim")[0].as_py()] * n, pa.int32()), "node": pa.array(range(n), pa.int32()), "centre": pa.array(chosen.tolist(), pa.list_(pa.float64()))})
+        points = points[np.lexsort(points.T)]
+        found, _, _ = cover(points, group.column("radius")[0].as_py() / 2, centres)
+        n, first = len(found), {k: group.column(k)[0].as_py() for k in _KEYS}
+        return pa.table({"label": pa.array([first["label"]] * n, pa.string()), "dim": pa.array([first["dim"]] * n, pa.int32()), "path": pa.array([first["path"]] * n, pa.string()), "child": pa.array(range(n), pa.int32()), "centre": pa.array(points[found].tolist(), pa.list_(pa.float64()))})
 
-    tops = stage(some.groupBy("label", "dim").applyInArrow(pick, "label string, dim int, node int, centre array<double>"), "tops")
+    tops = stage(told.where(chance).select(*_KEYS, "radius", "unit").groupBy(_KEYS).applyInArrow(pick, "label string, dim int, path string, child int, centre array<double>"), "tops")
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / (4 * block)))
-    spread = tops.join(sizes, ["label", "dim"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
-    dealt = vectors.join(sizes, ["label", "dim"]).withColumn("salt", F.pmod(F.xxhash64("id"), salts)).select("label", "dim", "salt", "id", "unit")
+    spread = tops.join(nodes.select(*_KEYS, "n"), _KEYS).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+    dealt = told.withColumn("salt", F.pmod(F.xxhash64("id"), salts)).select(*_KEYS, "salt", "id", "lead", "copies", "unit")
 
     def assign(own: pa.Table, top: pa.Table) -> pa.Table:
-        if not len(top):  # no sampled vector: the first stands for all
-            node, d = np.zeros(len(own), np.int32), np.full(len(own), 2.0)
+        if not len(own):
+            child, d = np.zeros(0, np.int32), np.zeros(0)
+        elif not len(top):  # no sampled vector: they stay together
+            child, d = np.zeros(len(own), np.int32), np.full(len(own), 2.0)
         else:
-            order = np.argsort(top.column("node").to_numpy())
-            far = distances(_matrix(own.column("unit")), _matrix(top.column("centre"))[order]) if len(own) else np.zeros((0, 1))
-            node, d = far.argmin(axis=1).astype(np.int32), far.min(axis=1)
-        return pa.table({"label": own.column("label"), "dim": own.column("dim"), "id": own.column("id"), "node": pa.array(node), "far": pa.array(d)})
+            order = np.argsort(top.column("child").to_numpy())
+            far = distances(_matrix(own.column("unit")), _matrix(top.column("centre"))[order])
+            child, d = far.argmin(axis=1).astype(np.int32), far.min(axis=1)
+        return own.drop_columns("salt").append_column("child", pa.array(child, pa.int32())).append_column("far", pa.array(d, pa.float64()))
 
-    keys = ["label", "dim", "salt"]
-    placed = stage(dealt.groupBy(keys).cogroup(spread.select(*keys, "node", "centre").groupBy(keys)).applyInArrow(assign, "label string, dim int, id bigint, node int, far double"), "placed")
-    info = placed.groupBy("label", "dim", "node").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
-    return placed.select("id", "node"), stage(info.join(tops, ["label", "dim", "node"], "left"), "node_sizes")
+    keys = [*_KEYS, "salt"]
+    placed = dealt.groupBy(keys).cogroup(spread.select(*keys, "child", "centre").groupBy(keys)).applyInArrow(assign, "label string, dim int, path string, id bigint, lead bigint, copies bigint, unit array<double>, child int, far double")
+    return stage(placed.select("label", "dim", F.col("path").alias("parent"), F.concat("path", F.lit("."), "child").alias("path"), "far", "id", "lead", "copies", "unit"), "level"), tops
 
 
-def near_embeddings(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", cosine: float = COSINE, block: int = BLOCK, sample: int = SAMPLE, centres: int = CENTRES) -> DataFrame:
+def _meeting(pairs: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
+    """Of `pairs` (label, dim, path, path2) of nodes those of their children, in `nodes` (_KEYS, parent, centre, radius), that may hold near vectors."""
+    a = nodes.select("label", "dim", F.col("parent").alias("p"), "path", "centre", "radius")
+    b = nodes.select("label", "dim", F.col("parent").alias("q"), *(F.col(c).alias(f"{c}2") for c in ("path", "centre", "radius")))
+    both = pairs.toDF("label", "dim", "p", "q").join(a, ["label", "dim", "p"]).join(b, ["label", "dim", "q"]).where("p <> q or path <= path2")
+    gap = F.sqrt(F.aggregate(F.zip_with("centre", "centre2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    may = (F.col("path") == F.col("path2")) | F.coalesce(gap <= F.col("radius") + F.col("radius2") + reach + 1e-6, F.lit(True))
+    return both.where(may).select(*_KEYS, "path2")
+
+
+def _trees(distinct: DataFrame, reach: float, block: int, sample: int, centres: int, levels: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All trees down to nodes that fit a task: the vectors with their node (path), the
+    nodes (_KEYS, n), and the pairs of nodes that may hold near vectors (_KEYS, path2)."""
+    rows = distinct.select("label", "dim", F.lit("").alias("parent"), F.lit("0").alias("path"), F.lit(2.0).alias("far"), "id", "lead", "copies", "unit")
+    info = rows.groupBy("label", "dim", "parent", "path").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+    nodes = stage(info.withColumn("centre", F.lit(None).cast("array<double>")).withColumn("open", F.col("n") > block), "nodes")
+    pairs, done = nodes.select(*_KEYS, F.col("path").alias("path2")), []
+    for _ in range(levels):
+        open_ = nodes.where("open")
+        if not open_.limit(1).count():
+            break
+        done.append(rows.join(open_.select(*_KEYS), _KEYS, "left_anti"))
+        rows, tops = _split(rows, open_, block, sample, centres)
+        info = rows.groupBy("label", "dim", "parent", "path").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+        tops = tops.select("label", "dim", F.concat("path", F.lit("."), "child").alias("path"), "centre")
+        above = open_.select("label", "dim", F.col("path").alias("parent"), F.col("n").alias("n_above"), F.col("radius").alias("r_above"))
+        info = info.join(tops, _KEYS, "left").join(above, ["label", "dim", "parent"])
+        # A node goes on if it is too large for a task, and splitting it may tell its vectors apart.
+        goes_on = (F.col("n") > block) & (F.col("radius") > reach / 8) & ((F.col("n") < 0.95 * F.col("n_above")) | (F.col("radius") < 0.95 * F.col("r_above")))
+        below = info.select(*_KEYS, "parent", "n", "radius", "centre", goes_on.alias("open"))
+        stay = nodes.where("not open").select(*_KEYS, F.col("path").alias("parent"), "n", "radius", "centre", "open")
+        nodes = stage(below.unionByName(stay), "nodes")
+        pairs = stage(_meeting(pairs, nodes, reach), "node_pairs")
+    done.append(rows)
+    placed = done[0]
+    for more in done[1:]:
+        placed = placed.unionByName(more)
+    return placed, nodes.select(*_KEYS, "n"), pairs
+
+
+def near_embeddings(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", cosine: float = COSINE, block: int = BLOCK, sample: int = SAMPLE, centres: int = CENTRES, levels: int = LEVELS) -> DataFrame:
     """A row for each row of `vectors`: vec_id, n_links (other vectors of its label
     with that cosine or more), component_id (smallest id reachable) and kept.
 
@@ -143,7 +189,9 @@ def near_embeddings(vectors: DataFrame, *, id_column: str = "vec_id", vector_col
     number of copies. Rows of one id are vectors of their own in n_links, and one
     node in components. Other columns aren't read; an empty table gives none.
 
-    The sample decides how vectors are dealt out, never which pairs are found."""
+    The samples decide how vectors are dealt out, never which pairs are found. Each
+    level moves the vectors of its open nodes once; then each goes to the tasks of the pairs that its node is left in.
+    Vectors that no node of a small radius holds (spread evenly over many dimensions) leave all pairs of nodes to the tasks."""
     rows = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(label_column).cast("string").alias("label"), F.col(vector_column).cast("array<double>").alias("v"))
     whole = F.col("label").isNotNull() & F.col("id").isNotNull() & F.col("v").isNotNull()
     whole &= F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -155,24 +203,21 @@ def near_embeddings(vectors: DataFrame, *, id_column: str = "vec_id", vector_col
     distinct = distinct.withColumn("scaled", scaled).withColumn("norm", F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x)))
     unit = F.transform("scaled", lambda x: x / F.col("norm"))
     # A number of its own for each distinct vector: ids may repeat.
-    distinct = distinct.select("label", F.size("v").alias("dim"), "v", unit.alias("unit"), F.col("id").alias("lead"), "copies", F.xxhash64("label", "v").alias("id"))
+    distinct = distinct.select("label", F.size("v").alias("dim"), "v", unit.alias("unit"), F.col("id").alias("lead"), "copies", F.monotonically_increasing_id().alias("id"))
     distinct = stage(distinct, "distinct")
-    sizes = distinct.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    nodes, tops = _nodes(distinct.select("id", "label", "dim", "unit"), sizes, block, sample, centres)
-
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("bigint")
-    each = tops.select("label", "dim", "node", "radius", "centre", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"))
-    other = each.select("label", "dim", *(F.col(c).alias(f"{c}2") for c in ("node", "radius", "centre", "block")))
-    gap = F.sqrt(F.aggregate(F.zip_with("centre", "centre2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     reach = float(np.sqrt(2 - 2 * cosine))
-    may = (F.col("node") == F.col("node2")) | F.coalesce(gap <= F.col("radius") + F.col("radius2") + reach + 1e-6, F.lit(True))
-    meet = each.join(other, ["label", "dim"]).where("node < node2 or (node = node2 and block <= block2)").where(may)
-    meet = meet.select("label", "dim", "node", "block", "node2", "block2", F.xxhash64("label", "dim", "node", "block", "node2", "block2").alias("task"))
-    first = meet.select("label", "dim", "node", "block", "task", F.lit(0).alias("side"))
-    second = meet.where("node <> node2 or block <> block2").select("label", "dim", F.col("node2").alias("node"), F.col("block2").alias("block"), "task", F.lit(1).alias("side"))
-    placed = distinct.join(nodes, "id").join(tops.select("label", "dim", "node", blocks.alias("blocks")), ["label", "dim", "node"])
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks")).select("label", "dim", "node", "block", "id", "lead", "copies", "unit")
-    tasks = dealt.join(first.unionByName(second), ["label", "dim", "node", "block"]).select("task", "side", "id", "lead", "copies", "unit")
+    placed, nodes, pairs = _trees(distinct, reach, block, sample, centres, levels)
+
+    # Nodes that splitting didn't make small go in blocks; two blocks that meet are a task.
+    sized = nodes.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("bigint")).drop("n")
+    each = sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks")
+    meet = pairs.join(each, _KEYS).join(each.select("label", "dim", F.col("path").alias("path2"), F.col("block").alias("block2")), ["label", "dim", "path2"])
+    meet = meet.where("path <> path2 or block <= block2").select(*_KEYS, "block", "path2", "block2")
+    meet = stage(meet.withColumn("task", F.monotonically_increasing_id()), "tasks")
+    first = meet.select(*_KEYS, "block", "task", F.lit(0).alias("side"))
+    second = meet.where("path <> path2 or block <> block2").select("label", "dim", F.col("path2").alias("path"), F.col("block2").alias("block"), "task", F.lit(1).alias("side"))
+    dealt = placed.join(sized, _KEYS).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks")).select(*_KEYS, "block", "id", "lead", "copies", "unit")
+    tasks = dealt.join(first.unionByName(second), [*_KEYS, "block"]).select("task", "side", "id", "lead", "copies", "unit")
 
     def compare(group: pa.Table) -> pa.Table:
         side = group.column("side").to_numpy()

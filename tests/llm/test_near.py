@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rookery.llm import cover_tree, minhash
+from rookery.llm.base import stage
 from rookery.llm.links import components
 
 
@@ -132,8 +133,28 @@ def test_embeddings_as_brute_force(spark):
         n[a] += 1
         n[b] += 1
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("kept", F.lit("clash"))
-    for block, sample in ((2048, 2048), (8, 40), (8, 0)):
-        got = {r.vec_id: r for r in cover_tree.near_embeddings(df, block=block, sample=sample).collect()}
+    for block, sample, centres in ((2048, 2048, 64), (8, 40, 4), (8, 0, 64)):
+        got = {r.vec_id: r for r in cover_tree.near_embeddings(df, block=block, sample=sample, centres=centres).collect()}
         assert {i: r.component_id for i, r in got.items() if i is not None} == want
         assert {i: r.n_links for i, r in got.items() if i is not None} == n and got[None].kept and got[None].n_links == 0
     assert cover_tree.near_embeddings(df.limit(0)).count() == 0
+
+
+def test_pairs_of_nodes_grow_in_proportion(spark):
+    """Tight groups far apart: node pairs are dropped before vectors move, and those that are left grow with the vectors."""
+    rnd = np.random.default_rng(14)
+    reach, left = float(np.sqrt(2 - 2 * 0.93)), {}
+    for groups in (40, 160):
+        centres = rnd.normal(size=(groups, 16))
+        x = np.repeat(centres, 50, axis=0) + rnd.normal(size=(groups * 50, 16)) * 0.01
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        rows = spark.createDataFrame([("a", 16, i, i, 1, p.tolist()) for i, p in enumerate(x)], "label string, dim int, id long, lead long, copies long, unit array<double>")
+        placed, nodes, pairs = cover_tree._trees(stage(rows, "x"), reach, 100, 512, 16, 16)
+        sizes = {r.path: r.n for r in nodes.collect()}
+        at = {r.id: r.path for r in placed.select("id", "path").collect()}
+        met = {(r.path, r.path2) for r in pairs.collect()}
+        assert len(at) == len(x) and sum(sizes.values()) == len(x)
+        near = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
+        assert all((at[i], at[j]) in met or (at[j], at[i]) in met for i, j in near[:: max(1, len(near) // 2000)].tolist())
+        left[groups] = sum(sizes[a] + sizes[b] * (a != b) for a, b in met)
+    assert left[160] < 8 * left[40], left  # all pairs would be 16 times as many
