@@ -76,5 +76,6 @@ def test_dates_and_labels(spark):
     assert row.select(f.epoch_ms("t", "d")).first()[0] is None
     assert row.select(f.game_id("s"), f.game_id("d")).first()[:] == ("abc", None)
     assert row.select(f.clock_label(F.lit(300), F.lit(3))).first()[0] == "5+3"
+    assert row.select(f.iso_date(F.lit(1776260521000)), f.iso_date(F.lit(None).cast("bigint"))).first()[:] == ("2026-04-15", None)
     assert row.select(f.display_result(F.lit(None).cast("string"), F.lit(True)), f.display_result(F.lit("black"), F.lit(False))).first()[:] == ("½", "win")
     assert row.select(f.eco_letter(F.lit("B07")), f.eco_number(F.lit("B07")), f.eco_number(F.lit("Bxx"))).first()[:] == ("B", 7, None)

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from rookery import schema
 from rookery.queries import GAME
@@ -173,3 +174,23 @@ def test_download_resumes(tmp_path):
     d(url, str(out))
     assert out.read_bytes() == data
     server.shutdown()
+
+
+def test_one_pass_in_python_says_what_the_expressions_say(spark):
+    import random
+
+    from rookery.functions import accuracy, move_features
+
+    rnd = random.Random(6)
+    tokens = "e4 d5 Nf3 Qd3 Qxd5 exd5 O-O O-O-O+ Bxd8 a8=Q Qd1xd8 Qh7# Q3d4 Qdxd4 bxa8=Q+ axb8=N Kxd8 Qxd1".split()
+    comments = ["", "", "", "{ [%eval 0.25] }", "{ [%eval -1.15] [%clk 0:01:00] }", "{ [%eval #-3] } { more }", "{ [%eval #4] }", "{ [%eval #0] }", "{ good move }", "{ [%eval 12.345] }", "{ [%eval 1-2] }"]
+    records = [GAME, GAME.split("\n\n")[0], GAME.replace("2. d3", "(1... c5 (2. b3) { x } 2. Nf3) 2. d3 $1"), GAME.replace("\n\n1. e4", "\n\n{ before } 1. e4").replace('"ann"', '"a\\"nn"'), "", None]
+    for k in range(120):
+        body = " ".join(f"{i // 2 + 1}. {rnd.choice(tokens)} {rnd.choice(comments if k % 2 else [''])}" for i in range(rnd.randint(0, 40)))
+        records.append(GAME.split("\n\n")[0] + "\n\n" + body + " 1-0")
+    rows = spark.createDataFrame([(r,) for r in records], "record string")
+    want = parsed(rows).withColumn("acc", accuracy("evals")).withColumn("mf", move_features(F.array_join("moves", " ")))
+    columns = [c for c in want.columns if c not in ("acc", "mf")] + ["acc.white_acpl", "acc.white_blunders", "acc.black_acpl", "acc.black_n_eval", *(f"mf.{s}_{x}" for s in ("white", "black") for x in ("castle_ply", "castle_qside", "early_pawn")), "mf.queens_off_ply"]
+    sides = [sorted(map(repr, df.where("moves is not null").select(*(F.col(c).alias(c.replace(".", "_")) for c in columns)).collect())) for df in (want, pgn.extracted(rows.where("record is not null")))]
+    assert sides[0] == sides[1]
+    assert pgn.extracted(rows).count() == len(records)
