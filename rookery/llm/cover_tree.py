@@ -114,11 +114,13 @@ def _split(rows: DataFrame, nodes: DataFrame, block: int, sample: int, centres:
     def pick(group: pa.Table) -> pa.Table:
         points = _matrix(group.column("unit"))
         points = points[np.lexsort(points.T)]
-        found, _, _ = cover(points, group.column("radius")[0].as_py() / 2, centres)
+        # No more children than tasks: smaller nodes, where no radius rules a pair out, only mean more copies of each vector.
+        most = min(centres, -(-group.column("n")[0].as_py() // block))
+        found, _, _ = cover(points, group.column("radius")[0].as_py() / 2, most)
         n, first = len(found), {k: group.column(k)[0].as_py() for k in _KEYS}
         return pa.table({"label": pa.array([first["label"]] * n, pa.string()), "dim": pa.array([first["dim"]] * n, pa.int32()), "path": pa.array([first["path"]] * n, pa.string()), "child": pa.array(range(n), pa.int32()), "centre": pa.array(points[found].tolist(), pa.list_(pa.float64()))})
 
-    tops = stage(told.where(chance).select(*_KEYS, "radius", "unit").groupBy(_KEYS).applyInArrow(pick, "label string, dim int, path string, child int, centre array<double>"), "tops")
+    tops = stage(told.where(chance).select(*_KEYS, "n", "radius", "unit").groupBy(_KEYS).applyInArrow(pick, "label string, dim int, path string, child int, centre array<double>"), "tops")
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / (4 * block)))
     spread = tops.join(nodes.select(*_KEYS, "n"), _KEYS).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
     dealt = told.withColumn("salt", F.pmod(F.xxhash64("id"), salts)).select(*_KEYS, "salt", "id", "lead", "copies", "unit")

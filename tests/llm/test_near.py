@@ -141,7 +141,7 @@ def test_embeddings_as_brute_force(spark):
 
 
 def test_pairs_of_nodes_grow_in_proportion(spark):
-    """Tight groups far apart: node pairs are dropped before vectors move, and those that are left grow with the vectors."""
+    """Tight groups far apart, none smaller than a task's node: node pairs are dropped before vectors move, and those that are left grow with the vectors."""
     rnd = np.random.default_rng(14)
     reach, left = float(np.sqrt(2 - 2 * 0.93)), {}
     for groups in (40, 160):
@@ -149,7 +149,7 @@ def test_pairs_of_nodes_grow_in_proportion(spark):
         x = np.repeat(centres, 50, axis=0) + rnd.normal(size=(groups * 50, 16)) * 0.01
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         rows = spark.createDataFrame([("a", 16, i, i, 1, p.tolist()) for i, p in enumerate(x)], "label string, dim int, id long, lead long, copies long, unit array<double>")
-        placed, nodes, pairs = cover_tree._trees(stage(rows, "x"), reach, 100, 512, 16, 16)
+        placed, nodes, pairs = cover_tree._trees(stage(rows, "x"), reach, 40, 512, 16, 16)
         sizes = {r.path: r.n for r in nodes.collect()}
         at = {r.id: r.path for r in placed.select("id", "path").collect()}
         met = {(r.path, r.path2) for r in pairs.collect()}
