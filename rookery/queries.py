@@ -477,7 +477,7 @@ def q_knn_recommend_blocks(spark: SparkSession, d: str) -> DataFrame:
     return rounded(neighbours.recommend_from_blocks(rows, me, blocks, k=_NEAR, exclude=name, min_games=MIN_GAMES, shrinkage_k=SHRINK))
 
 
-@query(f"""with {_NEAR_SQL} select me.username, me.n_games n_games_used, round(me.avg_rating,6)+0e0 user_rating, (select count(*) from nn) size, (select round(avg(avg_rating),6)+0e0 from nn) avg_rating, color, rank, r."name", n, score_residual from me, near_r r where rank<=5""")
+@query(f"""with {_NEAR_SQL} select me.username, me.n_games n_games_used, round(me.avg_rating,9)+0e0 user_rating, (select count(*) from nn) size, (select round(avg(avg_rating),9)+0e0 from nn) avg_rating, color, rank, r."name", n, score_residual from me, near_r r where rank<=5""")
 def q_knn_answer(spark: SparkSession, d: str) -> DataFrame:
     """The answer's JSON, read back: the player, the neighbourhood and its openings."""
     rows, me, name = _near(spark, d)
@@ -492,7 +492,7 @@ def q_knn_answer(spark: SparkSession, d: str) -> DataFrame:
         one = a.select("username", "n_games_used", "user_rating", "cluster.size", "cluster.avg_rating", F.lit(color).alias("color"), F.posexplode(f"top_openings.{color}").alias("at", "o"))
         one = one.select("username", "n_games_used", "user_rating", "size", "avg_rating", "color", (F.col("at") + 1).alias("rank"), "o.*")
         out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    return out.withColumns({c: F.round(c, 9 if c.endswith("rating") else 6) + F.lit(0.0) for c in ("user_rating", "avg_rating", "score_residual")})  # ratings of few games may be ties at six places
 
 
 _DOCUMENT_SQL = f"""{SQL}, {_FEATURES_SQL}, c as (select {_CLUSTER} id, * from agg), ca as (select c.id, ann.* from ann join c using (username)),
@@ -501,7 +501,7 @@ d_r as (select id, color, row_number() over (partition by id, color order by s d
 d_t as (select id, color, family, count(*)/(count(*)+{SHRINK}e0)*avg(sd) resid from ca group by 1,2,3 having count(*)>={MIN_GAMES})"""
 
 
-@query(f"""with {_DOCUMENT_SQL}, size as (select id, count(*) size, round(avg(avg_rating),6)+0e0 avg_rating from c group by 1), k as (select id, count(*) families from d_t group by 1)
+@query(f"""with {_DOCUMENT_SQL}, size as (select id, count(*) size, round(avg(avg_rating),9)+0e0 avg_rating from c group by 1), k as (select id, count(*) families from d_t group by 1)
 select id, size, avg_rating, families, color, rank, "name", n, score_residual from d_r join size using (id) join k using (id) where rank<=5""")
 def q_document_openings(spark: SparkSession, d: str) -> DataFrame:
     """The recommendation document written, reread and laid out: clusters and their openings."""
@@ -514,14 +514,14 @@ def q_document_openings(spark: SparkSession, d: str) -> DataFrame:
         one = clusters.select("id", "size", "avg_rating", families.cast("bigint").alias("families"), F.lit(color).alias("color"), F.posexplode(f"top_openings.{color}").alias("at", "o"))
         one = one.select("id", "size", "avg_rating", "families", "color", (F.col("at") + 1).alias("rank"), "o.*")
         out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    return out.withColumns({"avg_rating": F.round("avg_rating", 9) + F.lit(0.0), "score_residual": r6("score_residual")})
 
 
-@query(f"with {SQL}, {_FEATURES_SQL}, p as (select username, {_CLUSTER} c, n_games, {', '.join(f'cast({_FILLED.get(c, c)} as double) {c}' for c in V2_21)} from agg), u as (unpivot p on {', '.join(V2_21)} into name feature value v), m as (select c, feature, avg(v) m from u group by 1,2) select username, n_games n_games_used, feature, round(v,6)+0e0 \"user\", round(m,6)+0e0 cluster_mean, round(v-m,6)+0e0 delta from u join m using (c, feature)")
+@query(f"with {SQL}, {_FEATURES_SQL}, p as (select username, {_CLUSTER} c, n_games, {', '.join(f'cast({_FILLED.get(c, c)} as double) {c}' for c in V2_21)} from agg), u as (unpivot p on {', '.join(V2_21)} into name feature value v), m as (select c, feature, avg(v) m from u group by 1,2) select username, n_games n_games_used, feature, round(v,9)+0e0 \"user\", round(m,9)+0e0 cluster_mean, round(v-m,9)+0e0 delta from u join m using (c, feature)")
 def q_answer_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Every player's answer, read back: how the player differs from the cluster."""
     told = q_recommend_answer(spark, d).select(F.from_json("json", "username string, n_games_used bigint, feature_comparison array<struct<feature: string, user: double, cluster_mean: double, delta: double>>").alias("a"))
-    return rounded(told.select("a.username", "a.n_games_used", F.explode("a.feature_comparison").alias("f")).select("username", "n_games_used", "f.*"))
+    return rounded(told.select("a.username", "a.n_games_used", F.explode("a.feature_comparison").alias("f")).select("username", "n_games_used", "f.*"), 9)
 
 
 @query(f"""with {_DOCUMENT_SQL}, r as (select *, resid-avg(resid) over (partition by id, color) rel from d_t), e as (select min(username) lo, max(username) hi from c), pair as (select a.id x, b.id y from e join c a on a.username=lo join c b on b.username=hi),
@@ -654,12 +654,12 @@ def q_pgn_ingest(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select("game_id", "color", "username", "result", "user_rating", "opponent_rating", "status", "speed", "created_at", "n_moves", "has_eval", "acpl", "blunders", "n_eval_moves"))
 
 
-@query(f"""with recursive {_KEPT_SQL} select username, count(*) n_games, round(avg(castle),6)+0e0 avg_castle_move, round(avg(case when long_ then 1e0 else 0e0 end) filter (where castle is not null),6)+0e0 pct_queenside_castle,
-round(avg(queens_off),6)+0e0 avg_queens_off_move, round(avg(pawns),6)+0e0 early_pawn_pushes, round(sum(x*n) filter (where white_n_eval + black_n_eval > 0)/nullif(sum(n) filter (where white_n_eval + black_n_eval > 0),0),6)+0e0 acpl from rows_ group by 1""")
+@query(f"""with recursive {_KEPT_SQL} select username, count(*) n_games, round(avg(castle),9)+0e0 avg_castle_move, round(avg(case when long_ then 1e0 else 0e0 end) filter (where castle is not null),9)+0e0 pct_queenside_castle,
+round(avg(queens_off),9)+0e0 avg_queens_off_move, round(avg(pawns),9)+0e0 early_pawn_pushes, round(sum(x*n) filter (where white_n_eval + black_n_eval > 0)/nullif(sum(n) filter (where white_n_eval + black_n_eval > 0),0),9)+0e0 acpl from rows_ group by 1""")
 def q_parsed_features(spark: SparkSession, d: str) -> DataFrame:
     """Players' features from transcripts: moves and evaluations parsed."""
     rows = features.player_features(pgn.games_of(pgn.judged(pgn.extracted(transcripts(spark, d)))), 1)
-    return rounded(rows.select("username", "n_games", "avg_castle_move", "pct_queenside_castle", "avg_queens_off_move", "early_pawn_pushes", "acpl"))
+    return rounded(rows.select("username", "n_games", "avg_castle_move", "pct_queenside_castle", "avg_queens_off_move", "early_pawn_pushes", "acpl"), 9)
 
 
 @query(f"with {SQL} select username, color, family, count(*) n, round(sum(sd),6)+0e0 sum_sd from ann where case when family ilike '%defense%' then 'black' else 'white' end = color group by 1,2,3")
