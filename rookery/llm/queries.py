@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat
+from .alignment import align
 from .base import held_out, table
 from .cover_tree import near_embeddings
 from .licenses import scan_licenses
+from .lines import line_digests
 from .quality_fm import score_quality
 from .quality_rules import apply_rules
 from .minhash import near_duplicates
@@ -18,9 +20,12 @@ from .mixing import mix
 from .packing import pack, token_pieces
 from .tokens import count_tokens
 from .toxicity import score_toxicity
+from .vector_codes import code_table
 
 #: A parameter of the token operators; the vocabulary is read where it is installed.
 TOKENIZER = "word_bpe_49k.json"
+#: The two that are aligned: byte-level, and of pieces.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +73,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_table(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
@@ -79,11 +96,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_license_scan": op10_license_scan,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: Smallest id reachable over `links` (a, b, both ways), of all `ids` (a).
 _REACH = "reach(a, b) as (select a, a from ids union select r.a, l.b from reach r join links l on r.b = l.a), comp as (select a, min(b) c from reach group by 1)"
 
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Rounds of assigning and averaging, unrolled: v holds a row for each component, b0 to b{rounds} the codebooks, a0 to a{rounds} the nearest entries."""
+    steps = ["""v as materialized (select vec_id, label, i // m part, i % m pos, cast(floor(4096e0 * e[i + 1]) as bigint) x from (select *, len(e) // 8 m, unnest(range(len(e))) i from
+  (select vec_id, label, cast(embedding as double[]) e from embeddings where embedding is not null and len(embedding) > 0) where len(list_filter(e, lambda y: y is null or not isfinite(y))) = 0))""",
+        "b0 as materialized (select part, entry, pos, x from (select *, dense_rank() over (order by vec_id) - 1 entry from v) where entry < 16)"]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} as materialized (select vec_id, part, min(far) far, arg_min(entry, (far, entry)) entry from
+  (select vec_id, part, entry, sum((v.x - b.x) * (v.x - b.x)) far from v join b{k} b using (part, pos) group by 1, 2, 3) group by 1, 2)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} as materialized (select part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, x) x from b{k} left join
+  (select part, entry, pos, sum(x) s, count(*) n from a{k} join v using (vec_id, part) group by 1, 2, 3) using (part, entry, pos))""")
+    return f"""with {", ".join(steps)},
+c as (select vec_id, string_agg(printf('%02x', entry), '' order by part) code, cast(sum(far) as bigint) error from a{rounds} group by 1),
+d as (select sha256(string_agg(cast(x as varchar), ',' order by part, entry, pos)) codebooks_sha256 from b{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error, codebooks_sha256 from c join (select vec_id, label from embeddings) using (vec_id), d"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_embedding_near_dedup": f"""with recursive v as (select vec_id a, label, cast(embedding as double[]) e from embeddings), ids as (select a from v),
 links as (select x.a, y.a b from v x join v y on x.label = y.label and x.a <> y.a and list_cosine_similarity(x.e, y.e) >= 0.93e0), {_REACH},
@@ -104,4 +142,10 @@ p as (select *, sum(size) over (partition by conv_id order by k) so_far, max(k)
 select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' order by k)) turns_sha256,
   cast(coalesce(sum(length(x)) filter (where r = 'assistant'), 0) as bigint) loss_chars, sha256(coalesce(string_agg(x, '' order by k) filter (where r = 'assistant'), '')) loss_sha256,
   cast(sum(so_far) filter (where r = 'assistant' or k = last) as bigint) formatted_chars from p group by 1""",
+    "op12_line_dedup": r"""with l as (select doc_id, unnest(string_split(t, chr(10))) line, generate_subscripts(string_split(t, chr(10)), 1) i from (select doc_id, coalesce(text, '') t from documents)),
+k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key from l),
+m as (select key, max(doc_id) top from k where length(key) >= 20 group by 1 having count(distinct doc_id) >= 3),
+r as (select doc_id, line, i, top is not null and doc_id <> top gone from k left join m using (key))
+select doc_id, count(*) n_lines, count(*) filter (where gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) kept_sha256 from r group by 1""",
+    "op13_vector_codes": _codes_sql(),
 }
