@@ -13,19 +13,20 @@ the radius above, and walks both trees in the same way.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import stage
 from .links import components
 
 COSINE = 0.93
-#: Vectors of a node that is a task's, of a leaf; sampled vectors of a node, its centres at most; levels on the cluster at most.
-BLOCK, LEAF, SAMPLE, CENTRES, LEVELS = 2048, 48, 2048, 64, 16
+#: Vectors of a node that is a task's, of a leaf; members for each child at least; sampled vectors of a node, its centres at most; levels on the cluster at most.
+BLOCK, LEAF, FEW, SAMPLE, CENTRES, LEVELS = 2048, 48, 16, 2048, 64, 16
 #: Above the rounding of a distance near 0 (2.1e-8, as a root of a difference).
 SLACK = 1e-7
 
@@ -57,14 +58,17 @@ def cover(points: np.ndarray, radius: float, most: int | None = None) -> tuple[l
 
 
 def tree(points: np.ndarray, members: np.ndarray | None = None, radius: float = 2.0) -> Node:
-    """The cover tree of `points`: a node's children lie within half its radius of their members."""
+    """The cover tree of `points`: a node's children lie within half its radius of their members. A
+    node stays whole if it has few members or would have nearly as many children: no radius would tell them apart for less than a product of matrices takes."""
     members = np.arange(len(points)) if members is None else members
     own = distances(points[members], points[members[:1]])[:, 0]
     node = Node(int(members[0]), float(own.max()), members)
     if len(members) <= LEAF or node.radius <= SLACK:
         return node
-    half = min(radius, node.radius) / 2
-    centres, nearest, _ = cover(points[members], half)
+    half, most = min(radius, node.radius) / 2, len(members) // FEW
+    centres, nearest, far = cover(points[members], half, most)
+    if far.max() > half:
+        return node
     order = np.argsort(nearest, kind="stable")
     for some in np.split(order, np.searchsorted(nearest[order], np.arange(1, len(centres)))):
         c = centres[int(nearest[some[0]])]
@@ -72,9 +76,13 @@ def tree(points: np.ndarray, members: np.ndarray | None = None, radius: float =
     return node
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray | None, cosine: float):
-    """Yields (i, j) arrays of the pairs with that cosine or more, of rows of `a` and `b`, or (each once) of `a` with itself."""
-    reach = np.sqrt(2 - 2 * cosine) + SLACK
+def near_blocks(a: np.ndarray, b: np.ndarray | None, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Yields (i, j, near): rows of `a` and of `b` (or of `a` again), and which of them are near, None
+    if all are. A row meets another in one block at most; if i is j, near has both halves and no diagonal.
+
+    A pair of nodes is dropped if centres lie farther apart than radii and the threshold allow,
+    and is near as a whole if even the farthest members are close enough."""
+    reach = float(np.sqrt(2 - 2 * cosine))
     same = b is None
     left = tree(a)
     right = left if same else tree(b)
@@ -82,22 +90,67 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, cosine: float):
     todo = [(left, right)]
     while todo:
         x, y = todo.pop()
+        own = same and x is y
+        gap = 0.0 if own else float(distances(a[[x.centre]], b[[y.centre]])[0, 0])
+        if gap + x.radius + y.radius <= reach - SLACK:
+            yield x.members, y.members, None
+            continue
         if not x.children and not y.children:
-            i, j = np.nonzero(a[x.members] @ b[y.members].T >= cosine)
-            i, j = x.members[i], y.members[j]
-            if x is y and same:
-                i, j = i[i < j], j[i < j]
-            if len(i):
-                yield i, j
+            near = a[x.members] @ b[y.members].T >= cosine
+            if own:
+                np.fill_diagonal(near, False)
+            if near.any():
+                yield x.members, y.members, near
             continue
         xs, ys = x.children or [x], y.children or [y]
         d = distances(a[[n.centre for n in xs]], b[[n.centre for n in ys]])
-        meet = d <= np.array([n.radius for n in xs])[:, None] + np.array([n.radius for n in ys]) + reach
-        if x is y and same:
+        meet = d <= np.array([n.radius for n in xs])[:, None] + np.array([n.radius for n in ys]) + reach + SLACK
+        if own:
             meet = np.triu(meet)
         todo += [(xs[i], ys[j]) for i, j in zip(*np.nonzero(meet), strict=True)]
 
 
+def near_pairs(a: np.ndarray, b: np.ndarray | None, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`near_blocks` as (i, j) arrays of pairs, each once."""
+    for x, y, near in near_blocks(a, b, cosine):
+        i, j = np.nonzero(np.ones((len(x), len(y)), bool) if near is None else near)
+        i, j = x[i], y[j]
+        yield (i[i < j], j[i < j]) if x is y else (i, j)
+
+
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Gives all that pairs (i, j) join the smallest of their labels; a label is a row of its own group."""
+    while True:
+        x, y = label[i], label[j]
+        apart = x != y
+        if not apart.any():
+            return
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (deeper := label[label]).tolist() != label.tolist():
+            label[:] = deeper
+
+
+def links_of(a: np.ndarray, b: np.ndarray | None, cosine: float, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of `a`, and then of `b`: how many others it's near to (each counts as
+    often as `copies` says), and the first row of its group."""
+    n = len(a)
+    links, label = np.zeros(len(copies), np.int64), np.arange(len(copies))
+    for i, j, near in near_blocks(a, b, cosine):
+        own = i is j
+        j = j if b is None else j + n
+        if near is None:
+            links[i] += copies[j].sum() - (copies[i] if own else 0)
+            unite(label, np.concatenate([i, j]), np.full(len(i) + len(j), i[0]))
+        else:
+            links[i] += near @ copies[j]
+            p, q = np.nonzero(near)
+            unite(label, i[p], j[q])
+        if not own:
+            links[j] += copies[i].sum() if near is None else near.T @ copies[i]
+    return links, label
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
@@ -146,8 +199,7 @@ def _meeting(pairs: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
     a = nodes.select("label", "dim", F.col("parent").alias("p"), "path", "centre", "radius")
     b = nodes.select("label", "dim", F.col("parent").alias("q"), *(F.col(c).alias(f"{c}2") for c in ("path", "centre", "radius")))
     both = pairs.toDF("label", "dim", "p", "q").join(a, ["label", "dim", "p"]).join(b, ["label", "dim", "q"]).where("p <> q or path <= path2")
-    gap = F.sqrt(F.aggregate(F.zip_with("centre", "centre2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    may = (F.col("path") == F.col("path2")) | F.coalesce(gap <= F.col("radius") + F.col("radius2") + reach + 1e-6, F.lit(True))
+    may = (F.col("path") == F.col("path2")) | F.coalesce(_gap("centre", "centre2") <= F.col("radius") + F.col("radius2") + reach + 1e-6, F.lit(True))
     return both.where(may).select(*_KEYS, "path2")
 
 
@@ -178,7 +230,31 @@ def _trees(distinct: DataFrame, reach: float, block: int, sample: int, centres:
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)
-    return placed, nodes.select(*_KEYS, "n"), pairs
+    return placed, nodes.select(*_KEYS, "n", "radius", "centre"), pairs
+
+
+def _gap(a: str, b: str) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def _near_as_wholes(placed: DataFrame, nodes: DataFrame, pairs: DataFrame, reach: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of nodes whose farthest members are close enough need no task. The other `pairs`;
+    (id, links) of the vectors in such nodes; and (u, v) that join them."""
+    a, b = (nodes.select("label", "dim", *(F.col(c).alias(f"{c}{n}") for c in ("path", "radius", "centre"))) for n in ("", "2"))
+    both = pairs.join(a, _KEYS).join(b, ["label", "dim", "path2"])
+    apart = F.when(F.col("path") == F.col("path2"), 0.0).otherwise(_gap("centre", "centre2"))
+    whole = F.coalesce(apart + F.col("radius") + F.col("radius2") <= reach - 1e-6, F.lit(False))
+    both = stage(both.select(*_KEYS, "path2", whole.alias("whole")), "whole_pairs")
+    near = both.where("whole").drop("whole")
+    held = stage(placed.join(near.select(*_KEYS).union(near.select("label", "dim", "path2")).distinct(), _KEYS).groupBy(_KEYS).agg(F.sum("copies").alias("copies"), F.min("lead").alias("first")), "whole_nodes")
+    ways = near.unionByName(near.where("path <> path2").select("label", "dim", F.col("path2").alias("path"), F.col("path").alias("path2")))
+    other = held.select("label", "dim", F.col("path").alias("path2"), F.col("copies").alias("many"), F.col("first").alias("first2"))
+    met = ways.join(other, ["label", "dim", "path2"])
+    sums = met.groupBy(_KEYS).agg(F.sum("many").alias("many"), F.bool_or(F.col("path") == F.col("path2")).alias("self"))
+    each = placed.join(sums.join(held.select(*_KEYS, "first"), _KEYS), _KEYS)
+    links = each.select("id", (F.col("many") - F.when(F.col("self"), F.col("copies")).otherwise(0)).alias("links"))
+    joined = each.select(F.col("lead").alias("u"), F.col("first").alias("v")).unionByName(met.join(held.select(*_KEYS, "first"), _KEYS).select(F.col("first").alias("u"), F.col("first2").alias("v")))
+    return both.where("not whole").drop("whole"), links, joined
 
 
 def near_embeddings(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", cosine: float = COSINE, block: int = BLOCK, sample: int = SAMPLE, centres: int = CENTRES, levels: int = LEVELS) -> DataFrame:
@@ -209,50 +285,41 @@ def near_embeddings(vectors: DataFrame, *, id_column: str = "vec_id", vector_col
     distinct = stage(distinct, "distinct")
     reach = float(np.sqrt(2 - 2 * cosine))
     placed, nodes, pairs = _trees(distinct, reach, block, sample, centres, levels)
+    pairs, whole_links, whole_joined = _near_as_wholes(placed, nodes, pairs, reach)
 
     # Nodes that splitting didn't make small go in blocks; two blocks that meet are a task.
-    sized = nodes.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("bigint")).drop("n")
+    sized = nodes.select(*_KEYS, F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("bigint").alias("blocks"))
     each = sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks")
     meet = pairs.join(each, _KEYS).join(each.select("label", "dim", F.col("path").alias("path2"), F.col("block").alias("block2")), ["label", "dim", "path2"])
     meet = meet.where("path <> path2 or block <= block2").select(*_KEYS, "block", "path2", "block2")
     meet = stage(meet.withColumn("task", F.monotonically_increasing_id()), "tasks")
-    first = meet.select(*_KEYS, "block", "task", F.lit(0).alias("side"))
-    second = meet.where("path <> path2 or block <> block2").select("label", "dim", F.col("path2").alias("path"), F.col("block2").alias("block"), "task", F.lit(1).alias("side"))
+    apart = F.expr("path <> path2 or block <> block2")
+    first = meet.select(*_KEYS, "block", "task", F.lit(0).alias("side"), apart.alias("several"))
+    second = meet.where(apart).select("label", "dim", F.col("path2").alias("path"), F.col("block2").alias("block"), "task", F.lit(1).alias("side"), F.lit(True).alias("several"))
     dealt = placed.join(sized, _KEYS).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks")).select(*_KEYS, "block", "id", "lead", "copies", "unit")
-    tasks = dealt.join(first.unionByName(second), [*_KEYS, "block"]).select("task", "side", "id", "lead", "copies", "unit")
+    tasks = dealt.join(first.unionByName(second), [*_KEYS, "block"]).select("task", "side", "several", "id", "lead", "copies", "unit")
 
     def compare(group: pa.Table) -> pa.Table:
-        side = group.column("side").to_numpy()
+        group = group.sort_by("side")
+        n = int((group.column("side").to_numpy() == 0).sum())
         ids, lead, copies = (group.column(c).to_numpy() for c in ("id", "lead", "copies"))
-        points, (at, to) = _matrix(group.column("unit")), (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        links, near = np.zeros(len(group), np.int64), []
-        over = {}
-
-        def top(x: int) -> int:
-            while over.get(x, x) != x:
-                x = over[x]
-            return x
-
-        if len(at) and (len(to) or not (side == 1).any()):
-            for i, j in near_pairs(points[at], points[to] if len(to) else None, cosine):
-                i, j = at[i], (to if len(to) else at)[j]
-                np.add.at(links, i, copies[j])
-                np.add.at(links, j, copies[i])
-                for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                    x, y = top(p), top(q)
-                    if x != y:
-                        over[max(x, y)] = min(x, y)
-                        near.append((int(lead[p]), int(lead[q])))
-        some = np.flatnonzero(links)
-        n = len(some)
-        return pa.table({"id": pa.array([*ids[some].tolist(), *[None] * len(near)], pa.int64()), "links": pa.array([*links[some].tolist(), *[None] * len(near)], pa.int64()), "u": pa.array([None] * n + [p for p, _ in near], pa.int64()), "v": pa.array([None] * n + [q for _, q in near], pa.int64())})
+        points = _matrix(group.column("unit"))
+        several = group.column("several")[0].as_py()
+        if not n or (several and n == len(group)):  # one of the two nodes' blocks is empty
+            links, label = np.zeros(len(group), np.int64), np.arange(len(group))
+        else:
+            links, label = links_of(points[:n], points[n:] if several else None, cosine, copies)
+        some, joined = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(group)))
+        no_id, no_pair = pa.nulls(len(joined), pa.int64()), pa.nulls(len(some), pa.int64())
+        columns = {"id": (ids[some], no_id), "links": (links[some], no_id), "u": (no_pair, lead[joined]), "v": (no_pair, lead[label[joined]])}
+        return pa.table({k: pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in parts]) for k, parts in columns.items()})
 
     found = stage(tasks.groupBy("task").applyInArrow(compare, "id bigint, links bigint, u bigint, v bigint"), "found")
-    links = found.where("id is not null").groupBy("id").agg(F.sum("links").alias("links"))
+    links = found.where("id is not null").select("id", "links").unionByName(whole_links).groupBy("id").agg(F.sum("links").alias("links"))
     leads = good.join(distinct.select("label", "v", "id", "lead", "copies").withColumnRenamed("id", "key"), ["label", "v"])
     leads = stage(leads.join(links.withColumnRenamed("id", "key"), "key", "left").select("id", "lead", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "leads")
     several = leads.where("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v"))  # copies, and ids with several vectors
-    joined = components(found.where("u is not null").select("u", "v").unionByName(several)).select(F.col("node").alias("id"), F.col("component"))
+    joined = components(found.where("u is not null").select("u", "v").unionByName(whole_joined).unionByName(several)).select(F.col("node").alias("id"), F.col("component"))
     told = leads.join(joined, "id", "left").select("id", "n_links", F.coalesce("component", "id").alias("component"))
     rest = rows.where("not ok").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"))
     return told.unionByName(rest).select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

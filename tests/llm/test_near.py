@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -158,3 +159,44 @@ def test_pairs_of_nodes_grow_in_proportion(spark):
         assert all((at[i], at[j]) in met or (at[j], at[i]) in met for i, j in near[:: max(1, len(near) // 2000)].tolist())
         left[groups] = sum(sizes[a] + sizes[b] * (a != b) for a, b in met)
     assert left[160] < 8 * left[40], left  # all pairs would be 16 times as many
+
+
+@pytest.mark.parametrize("spread", [0.0015, 0.012, 0.036, 0.05])
+def test_dense_clusters_take_no_step_a_pair(spread):
+    """2,048 vectors that all link, most or in part: links, groups and pairs are those of one product of matrices."""
+    rnd = np.random.default_rng(15)
+    x = rnd.normal(size=(1, 64)) / 8 + rnd.normal(size=(2048, 64)) * spread
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    copies = rnd.integers(1, 4, len(x))
+    began = time.process_time()
+    links, label = cover_tree.links_of(x, None, 0.93, copies)
+    took = time.process_time() - began
+    assert (links == near @ copies).all() and took < 8, took
+    want = np.arange(len(x))
+    for i in range(len(x)):
+        if want[i] == i:
+            group, new = np.zeros(len(x), bool), np.arange(len(x)) == i
+            while new.any():
+                group |= new
+                new = near[new].any(axis=0) & ~group
+            want[group] = i
+    assert (label == want).all()
+    across, label = cover_tree.links_of(x[:900], x[900:], 0.93, copies)
+    assert (across == np.concatenate([near[:900, 900:] @ copies[900:], near[900:, :900] @ copies[:900]])).all()
+
+
+def test_nodes_that_are_near_as_wholes(spark):
+    rnd = np.random.default_rng(16)
+    base = rnd.normal(size=(6, 8))
+    rows = [(int(i), (base[i % 6] + rnd.normal(size=8) * 0.02).tolist(), int(i % 2)) for i in rnd.permutation(240)] + [(300 + i, base[0].tolist(), 0) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows]))
+    np.fill_diagonal(near, False)
+    ids = [r[0] for r in rows]
+    want = reach(ids, [(ids[i], ids[j]) for i, j in np.argwhere(near)])
+    got = {r.vec_id: r for r in cover_tree.near_embeddings(df, block=8, sample=60, centres=6).collect()}
+    assert {i: (r.component_id, r.n_links) for i, r in got.items()} == {i: (want[i], int(n)) for i, n in zip(ids, near.sum(axis=1), strict=True)}
