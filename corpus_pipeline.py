@@ -30,26 +30,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_low_quality(docs, table(spark, sf_dir, "labels"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """`names`, longer where `docs` has a column of that name already."""
+    taken = {c.lower() for c in docs.columns}
+    while taken & {n.lower() for n in names}:
+        names = tuple(f"{n}_" for n in names)
+    return list(names)
+
+
+def numbered(docs: DataFrame, row: str) -> DataFrame:
     """`docs` with a number for each row, written: whoever reads it sees the same ones."""
-    return stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id (of
     those without an id, or of one id, the first). Rows are told apart by a number of
     their own: ids may repeat or be null, and null texts are near nothing."""
-    rows = numbered(docs)
-    groups = near_duplicates(rows, id_column="__row").select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", F.col("doc_id").alias("__id")), "__row")
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row"))["__row"].alias("__row"))
-    return rows.join(first.select("__row"), "__row", "left_semi").select(docs.columns)
+    (row,) = fresh(docs, "row")
+    rows = numbered(docs, row)
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    groups = near_duplicates(rows.select(F.col(row).alias("row"), "text"), id_column="row").select(F.col("doc_id").alias("row"), "component_id").join(ids, "row")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias(row))
+    return rows.join(first.select(row), row, "left_semi").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it."""
-    rows = numbered(docs)
-    times = mix(rows.select("__row", "text", "source"), id_column="__row").select(F.col("doc_id").alias("__row"), F.col("copies").alias("__times")).where("__times > 0")
-    return rows.join(times, "__row").withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    row, times, time = fresh(docs, "row", "times", "time")
+    rows = numbered(docs, row)
+    mixed = mix(rows.select(F.col(row).alias("row"), "text", "source"), id_column="row").select(F.col("doc_id").alias(row), F.col("copies").alias(times)).where(F.col(times) > 0)
+    return rows.join(mixed, row).withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
