@@ -232,12 +232,11 @@ def token_pieces(docs: DataFrame, path: str, *, room: int = 2048, id_column: str
 
 
 def numbered(pieces: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """`pieces` (a written table) with n, the number of each within its length from
-    0, and the histogram of lengths. Pieces are numbered within buckets, by their place in
-    the table, so that a length (or an id, null say) that a third of them have isn't one
+    """`pieces` (a written table, with a number of its own for each: row) with n, the number of each
+    within its length from 0, and the histogram of lengths. Pieces are numbered within buckets, by row, so that a length (or an id, null say) that a third of them have isn't one
     task's; of a bucket and length only the count is gathered. Equal rows may swap numbers."""
     buckets = max(16, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = pieces.withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("c"))
     before = counts.withColumn("before", F.sum("c").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     within = Window.partitionBy("length", "bucket").orderBy("row")
@@ -250,9 +249,9 @@ def pack(pieces: DataFrame, *, room: int = 2048, groups: int = GROUPS, small_sha
     """`pieces` (doc_id, piece, start, length from 1 to `room`, ids_crc32) with
     sequence_id and offset: pieces of a sequence stand one after another from 0 and
     take `room` at most. A piece stands once; repeated rows are pieces of their own;
-    an empty table gives none. `pieces` is written first, so that a task that runs
-    again sees the same rows."""
-    rows, histogram = numbered(stage(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces"))
+    an empty table gives none. `pieces` is written first, each with its number, so that
+    a task that runs again, or a scan that is split otherwise, sees the same rows."""
+    rows, histogram = numbered(stage(pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id().alias("row")), "pieces"))
     steps, _ = plan(histogram, room, groups=groups, small_share=small_share)
     # As large as the room's square at worst, however many pieces there are.
     table = np.array(sorted(steps), np.int64).reshape(-1, 5)

@@ -71,10 +71,30 @@ def test_null_ids_are_spread(spark):
     rows = [(None, 0, 0, 7, k) for k in range(4000)]
     got = pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), room=20)
     assert got.count() == 4000 and got.select("sequence_id").distinct().count() == 2000
-    dealt = numbered(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"))[0]
+    dealt = numbered(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, row long"))[0]
     assert sorted(r.n for r in dealt.collect()) == list(range(4000))
 
 
+def test_scans_that_are_split_otherwise(spark):
+    """The histogram is read with one split of the files, the pieces with another, as when executors come or go."""
+    rnd = random.Random(8)
+    rows = [(i, 0, 0, rnd.choice([3, 5, 8, 13]), i) for i in range(5000)]
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "4k")
+        got = pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(7), room=21)
+        spark.conf.set(name, "64m")
+        found = got.collect()
+    finally:
+        spark.conf.set(name, before)
+    ends = defaultdict(int)
+    for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert len(found) == len(rows) and max(ends.values()) <= 21
+
+
 def test_rows(spark):
     rnd = random.Random(7)
     rows = [(i, " ".join(rnd.choice(["red", "tree", "running", "é"]) for _ in range(rnd.randint(0, 400))), "s") for i in range(60)] + [(60, "w " * 9000, None), (61, None, "x"), (61, None, "x"), (None, "", "y")]

@@ -50,3 +50,13 @@ def test_rows_without_ids_and_equal_rows(spark):
     for _, step in p.STAGES:
         empty_out = step(spark, empty, SF)
         assert empty_out.count() == 0
+
+
+def test_names_of_its_own_columns(spark):
+    five = "alpha beta gamma delta epsilon"
+    rows = [(1, five, "a", "r1", "t1", "x"), (2, five, "a", "r2", "t2", "x"), (3, "another text", "b", "r3", "t3", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row string, Times string, time string")
+    kept = p.near_dedup(spark, docs, SF)
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+    mixed = p.mixing(spark, docs, SF)
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.collect()} <= set(rows)
