@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stage
 from .rankings import mutual_openings
 
 
@@ -78,22 +79,38 @@ def matched_summaries(mapping: DataFrame, a: DataFrame, b: DataFrame, columns: S
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, n, nulls, mean, std, min, q25, q50, q75, max)."""
     rows = unpivot(df, [], columns)
-    # Quantiles from how often each value comes, summed before the shuffle: ranks within a feature, interpolated between neighbours.
-    counted = rows.where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("c"))
-    by_feature = Window.partitionBy("feature")
-    told = counted.withColumn("upto", F.sum("c").over(by_feature.orderBy("value"))).withColumn("all", F.sum("c").over(by_feature))
-
-    def at(share: float) -> Column:
-        place = (F.col("all") - 1) * share
-        low, high = (F.min(F.when(F.col("upto") > side, F.col("value"))) for side in (F.floor(place), F.ceil(place)))
-        return low + (high - low) * F.max(place - F.floor(place))
-
-    quantiles = told.groupBy("feature").agg(F.array(*map(at, (0.25, 0.5, 0.75))).alias("q"))
+    told = quantiles(rows, (0.25, 0.5, 0.75))
     rows = rows.groupBy("feature")
-    found = rows.agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")).join(quantiles, "feature", "left")
+    found = rows.agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")).join(told, "feature", "left")
     return found.select("feature", "n", "nulls", "mean", "std", "min", *(F.col("q")[i].alias(f"q{n}") for i, n in enumerate((25, 50, 75))), "max")
 
 
+def quantiles(rows: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """(feature, q) of rows (feature, value): exact quantiles, interpolated between neighbouring ranks; nulls don't count.
+
+    Values are counted, the counts go to ranges of (feature, value), and a range's total says
+    which ranks lie in it. Only the ranges that hold a rank that is asked for are opened, each by itself:
+    a feature is spread over as many tasks as its values fill, and a value that very many rows have is one count."""
+    counted = rows.where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("c"))
+    dealt = stage(counted.repartitionByRange("feature", "value").withColumn("part", F.spark_partition_id()), "ranges")
+    ranges = dealt.groupBy("feature", "part").agg(F.sum("c").alias("n"))  # two a task, about
+    along = Window.partitionBy("feature").orderBy("part")
+    ends = ranges.withColumn("upto", F.sum("n").over(along)).withColumn("all", F.sum("n").over(Window.partitionBy("feature")))
+    place = (F.col("all") - 1) * F.col("share")
+    asked = ends.withColumn("share", F.explode(F.array(*map(F.lit, sorted(set(shares))))))
+    asked = asked.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place))))).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    asked = asked.select("feature", "part", "share", "rank", (place - F.floor(place)).alias("between"), (F.col("upto") - F.col("n")).alias("before"))
+    asked = stage(asked, "ranks")  # two rows a feature and share
+    parts = [r["part"] for r in asked.select("part").distinct().collect()]
+    opened = dealt.where(F.col("part").isin(parts)).join(F.broadcast(asked.select("feature", "part", "before").distinct()), ["feature", "part"])
+    within = Window.partitionBy("feature", "part").orderBy("value")
+    opened = opened.withColumn("upto", F.col("before") + F.sum("c").over(within))
+    found = opened.join(F.broadcast(asked.drop("before")), ["feature", "part"]).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
+    each = found.groupBy("feature", "share").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.max("between").alias("between"))
+    each = each.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("share", F.col("low") + (F.col("high") - F.col("low")) * F.col("between")))).alias("q"))
+    return each.select("feature", F.array(*(F.col("q")[F.lit(s)] for s in shares)).alias("q"))
+
+
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """(bin from 1, low, high, n) over `bins` of equal width from the least to the largest value."""
     ends = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import eco_letter, eco_number, move_features, residual
+from ..functions import eco_letter, eco_number, residual
+from ..functions.board import with_board_features
 from ..plans import models
 
 #: Plies from which a game is long, and under which it is short.
@@ -16,11 +17,12 @@ FROM_ALL = ["pct_e4_as_white", "pct_d4_as_white", "pct_sicilian_as_black", "pct_
 
 
 def annotate(games: DataFrame) -> DataFrame:
-    """Games with score_diff, eco letter and number, and the player's side of the move features (from `mf` or `moves`, unless castle_ply is there)."""
+    """Games with score_diff, eco letter and number, and the player's side of the move features
+    (from `mf`, or else `moves` replayed on a board, unless castle_ply is there)."""
     rows = games.withColumn("score_diff", residual()).withColumn("eco_letter", eco_letter()).withColumn("eco_num", eco_number())
     if "castle_ply" in games.columns:
         return rows
-    rows = rows if "mf" in games.columns else rows.withColumn("mf", move_features("moves"))
+    rows = rows if "mf" in games.columns else with_board_features(rows)
     white = F.col("color") == "white"
     own = {name: F.when(white, F.col(f"mf.white_{name}")).otherwise(F.col(f"mf.black_{name}")) for name in ("castle_ply", "castle_qside", "early_pawn")}
     return rows.withColumns(own).withColumn("queens_off_ply", F.col("mf.queens_off_ply")).drop("mf")

@@ -64,12 +64,15 @@ def centred(table: DataFrame) -> DataFrame:
     return table.withColumn("rel", F.col("resid") - F.avg("resid").over(Window.partitionBy("cohort", "color")))
 
 
-def mutual_openings(table: DataFrame, pairs: DataFrame, top_n: int = 6) -> DataFrame:
-    """For pairs (white_cohort, black_cohort): the families that suit both, best together first."""
+def mutual_openings(table: DataFrame, pairs: DataFrame | None = None, top_n: int = 6) -> DataFrame:
+    """For pairs (white_cohort, black_cohort), or else all that share a family: the families that suit both, best together first."""
     rel = centred(table)
     white = rel.where("color = 'white'").select(F.col("cohort").alias("white_cohort"), "family", F.col("rel").alias("white_rel"))
     black = rel.where("color = 'black'").select(F.col("cohort").alias("black_cohort"), "family", F.col("rel").alias("black_rel"))
-    both = pairs.select("white_cohort", "black_cohort").distinct().join(white, "white_cohort").join(black, ["black_cohort", "family"])
+    if pairs is None:
+        both = white.join(black, "family")
+    else:
+        both = pairs.select("white_cohort", "black_cohort").distinct().join(white, "white_cohort").join(black, ["black_cohort", "family"])
     both = both.withColumn("combined", F.col("white_rel") + F.col("black_rel")).withColumn("both_positive", (F.col("white_rel") > 0) & (F.col("black_rel") > 0))
     order = Window.partitionBy("white_cohort", "black_cohort").orderBy(F.col("combined").desc(), "family")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).select("white_cohort", "black_cohort", "rank", "family", "white_rel", "black_rel", "combined", "both_positive")

@@ -2,7 +2,7 @@
 
 Spark finds each point's core distance and, round by round, each component's
 nearest way out (Boruvka's minimum spanning tree over mutual reachability), with
-the points of the sample, bounded by SAMPLE, at every task. The tree has one edge fewer than
+the points of the sample (SAMPLE, unless the caller asks for more or fewer) at every task. The tree has one edge fewer than
 the sample has points; condensing it is what is left for the driver.
 """
 
@@ -25,7 +25,7 @@ def _distances(points: np.ndarray, at: np.ndarray) -> np.ndarray:
 def spanning_tree(rows: DataFrame, min_samples: int) -> tuple[np.ndarray, int]:
     """(edges, n): edges (i, j, weight) of the tree over the points' mutual reachability."""
     spark = rows.sparkSession
-    points = np.array([r[0] for r in rows.select("features").collect()], float)  # SAMPLE at most
+    points = np.array([r[0] for r in rows.select("features").collect()], float)  # the sample's rows
     n = len(points)
     if n < 2:
         return np.zeros((0, 3)), n
@@ -135,8 +135,9 @@ def condensed(edges: np.ndarray, n: int, min_cluster_size: int) -> np.ndarray:
 
 
 def density_sweep(rows: DataFrame, sizes: Sequence[int] = (50, 100, 250, 500), *, sample_size: int = SAMPLE, seed: int = 42) -> DataFrame:
-    """(min_cluster_size, clusters, noise, biggest) over a sample of (id, features), `sample_size` rows at most."""
-    sample = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(min(sample_size, SAMPLE))
+    """(min_cluster_size, clusters, noise, biggest) over a sample of (id, features): `sample_size` rows, which
+    every task holds and whose square is the number of distances."""
+    sample = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_size)
     out = []
     for size in sizes:
         labels = condensed(*spanning_tree(sample, size), size)

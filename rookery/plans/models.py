@@ -208,12 +208,48 @@ def gmm_sweep(rows: DataFrame, low: int = 2, high: int = 8, *, restarts: int = 3
 
 
 def match_clusters(a: Sequence[Sequence[float]], b: Sequence[Sequence[float]]) -> list[tuple[int, int]]:
-    """The pairing of two runs' centres with the least sum of distances, for a few clusters (8 at most): all orders are tried."""
-    if len(a) != len(b) or len(a) > 8:
-        raise ValueError("as many centres on both sides, 8 at most")
-    cost = np.sqrt(((np.array(a)[:, None] - np.array(b)[None]) ** 2).sum(axis=2))
-    best = min(itertools.permutations(range(len(a))), key=lambda p: (sum(cost[i, j] for i, j in enumerate(p)), p))
-    return list(enumerate(best))
+    """The pairing of two runs' centres with the least sum of distances, for any number of
+    clusters; of unequal numbers some centres of the larger side stay without a partner."""
+    if not len(a) or not len(b):
+        return []
+    cost = np.sqrt(((np.array(a, float)[:, None] - np.array(b, float)[None]) ** 2).sum(axis=2))
+    if len(a) <= len(b):
+        return list(enumerate(assignment(cost).tolist()))
+    return sorted((int(i), j) for j, i in enumerate(assignment(cost.T).tolist()))
+
+
+def assignment(cost: np.ndarray) -> np.ndarray:
+    """For each row of `cost` (no more rows than columns) a column of its own, at the least sum: rows come
+    in one after another, each along the shortest augmenting path under the prices so far, so the time is cubic."""
+    rows, columns = cost.shape
+    owner = np.full(columns, -1)  # of each column
+    row_price, column_price = np.zeros(rows), np.zeros(columns)
+    for new in range(rows):
+        far = np.full(columns, np.inf)  # to each column
+        came = np.full(columns, -1)  # from which column's row
+        done = np.zeros(columns, bool)
+        row, at, so_far = new, -1, 0.0
+        while True:
+            step = so_far + cost[row] - row_price[row] - column_price
+            closer = ~done & (step < far)
+            far[closer], came[closer] = step[closer], at
+            at = int(np.where(done, np.inf, far).argmin())
+            done[at], so_far = True, far[at]
+            if owner[at] < 0:
+                break
+            row = owner[at]
+        seen = np.flatnonzero(done)
+        row_price[new] += so_far
+        held = seen[owner[seen] >= 0]
+        row_price[owner[held]] += so_far - far[held]
+        column_price[seen] += far[seen] - so_far
+        while at >= 0:  # each column along the path takes the row before it
+            before = came[at]
+            owner[at] = new if before < 0 else owner[before]
+            at = before
+    found = np.empty(rows, int)
+    found[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
+    return found
 
 
 def save_model(spark: SparkSession, path: str, columns: Sequence[str], scaler, centres, means: dict[str, float] | None = None) -> None:

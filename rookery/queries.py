@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import accuracy, epoch_ms, expected_score, fallback_color, family, iso_date, last_mover, move_features, ply_count, residual, speed_bucket, status
+from .functions.board import with_board_features
 from .operators import compare, features, rankings, sampling
 from .plans import density, models, neighbours
 from .schema import V2_21
 from .shared import shared_dir
 from .sources import feed, openings_dim, pgn
-from .view import SQL, TRANSCRIPTS_SQL, games, openings, played, table, transcripts
+from .view import LINES, LINES_SQL, SQL, TRANSCRIPTS_SQL, cut_lines, games, openings, played, table, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -152,12 +153,7 @@ m as (select w.cohort white_cohort, b.cohort black_cohort, w.family, w.rel white
 select * from (select white_cohort, black_cohort, row_number() over (partition by white_cohort, black_cohort order by combined desc, family) rank, family, round(white_rel,6)+0e0 white_rel, round(black_rel,6)+0e0 black_rel, round(combined,6)+0e0 combined, white_rel>0 and black_rel>0 both_positive from m) where rank<=6""")
 def q_mutual_openings(spark: SparkSession, d: str) -> DataFrame:
     t = rankings.residual_table(games(spark, d), _members(spark, d), min_games=MIN_GAMES, shrinkage_k=SHRINK)
-    cohorts = t.select("cohort", "color").distinct()
-    # All pairs of cohorts that share a family: there are some 30 cohorts.
-    white, black = (cohorts.where(F.col("color") == c).select(F.col("cohort").alias(f"{c}_cohort")) for c in ("white", "black"))
-    if cohorts.count() > 10_000:
-        raise ValueError("too many cohorts to pair all")
-    return rounded(rankings.mutual_openings(t, white.crossJoin(black)))
+    return rounded(rankings.mutual_openings(t))
 
 
 def _two(sql: str) -> str:
@@ -338,7 +334,7 @@ def q_shortest_per_name(spark: SparkSession, d: str) -> DataFrame:
     """Parts as opening lines; some hold a token that is no move."""
     moves = F.array_join(F.array_repeat(F.lit("Nf3"), (F.col("p_size") % 9 + 1).cast("int")), " ")
     line = F.concat(F.lit("1. "), moves, F.when(F.col("p_partkey") % 10 == 0, " zz").otherwise(""))
-    return openings_dim(table(spark, d, "part").select(F.col("p_brand").alias("eco"), F.col("p_name").alias("name"), line.alias("pgn")))
+    return openings_dim(table(spark, d, "part").select(F.col("p_brand").alias("eco"), F.col("p_name").alias("name"), line.alias("pgn")), replay=False)
 
 
 def _embedded(spark: SparkSession, d: str) -> DataFrame:
@@ -615,6 +611,37 @@ def q_acpl_fold(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select("o_orderkey", "a.white_acpl", "a.white_blunders", "a.white_n_eval", "a.black_acpl", "a.black_blunders", "a.black_n_eval"))
 
 
+@query(f"""with {LINES_SQL}, t as (select o_orderkey, unnest(toks[1:c]) tok, unnest(range(1, c + 1)) ply from cut),
+f as (select o_orderkey, min(ply) filter (where tok like 'O-O%' and ply % 2 = 1) w, min(ply) filter (where tok like 'O-O%' and ply % 2 = 0) b, bool_or(tok like 'O-O-O%') long_,
+  count(*) filter (where regexp_matches(tok, '^[a-z]') and ply <= 20 and ply % 2 = 1) wp, count(*) filter (where regexp_matches(tok, '^[a-z]') and ply <= 20 and ply % 2 = 0) bp from t group by 1)
+select o_orderkey, cast(w as int) white_castle, cast(b as int) black_castle, coalesce(w is not null and long_, false) white_long, coalesce(b is not null and long_, false) black_long, cast(case when off <= c then off end as int) queens_off,
+cast(coalesce(wp, 0) as int) white_pawns, cast(coalesce(bp, 0) as int) black_pawns from cut left join f using (o_orderkey)""")
+def q_board_features(spark: SparkSession, d: str) -> DataFrame:
+    """Every order's game replayed on a board, up to the move that isn't legal."""
+    names = {"white_castle_ply": "white_castle", "black_castle_ply": "black_castle", "white_castle_qside": "white_long", "black_castle_qside": "black_long", "queens_off_ply": "queens_off", "white_early_pawn": "white_pawns", "black_early_pawn": "black_pawns"}
+    return with_board_features(cut_lines(spark, d)).select("o_orderkey", *(F.col(f"mf.{n}").alias(a) for n, a in names.items()))
+
+
+@query(f"""with {LINES_SQL}, l as (select p_name "name", p_brand, p_partkey % 9 + 1 plies from part where p_partkey % 7 <> 0 and p_partkey % 11 <> 0),
+r as (select *, row_number() over (partition by "name" order by plies, p_brand) rn from l) select "name", case when plies % 2 = 1 then 'white' else 'black' end color from r where rn = 1""")
+def q_legal_openings(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as opening lines; some end in a move that no piece can make, some in a capture that isn't there."""
+    lines = F.array(*(F.split(F.lit(text), " ") for text, _ in LINES))
+    moves = F.slice(F.get(lines, (F.col("p_size") % len(LINES)).cast("int")), 1, (F.col("p_partkey") % 9 + 1).cast("int"))
+    wrong = F.when(F.col("p_partkey") % 7 == 0, " Ke5").when(F.col("p_partkey") % 11 == 0, " axb8").otherwise("")
+    return openings_dim(table(spark, d, "part").select(F.col("p_brand").alias("eco"), F.col("p_name").alias("name"), F.concat(F.lit("1. "), F.array_join(moves, " "), wrong).alias("pgn")))
+
+
+@query(f"""with {_V}, a as (select id i, f from v where id < 4), b as (select id - 4 j, f from v where id between 4 and 11), c as (select i, j, list_distance(a.f, b.f) d from a, b),
+p as (select w.j j0, x.j j1, y.j j2, z.j j3, w.d + x.d + y.d + z.d s from c w, c x, c y, c z where w.i = 0 and x.i = 1 and y.i = 2 and z.i = 3 and w.j not in (x.j, y.j, z.j) and x.j not in (y.j, z.j) and y.j <> z.j order by s limit 1)
+select cast(unnest([0, 1, 2, 3]) as int) a_cluster, cast(unnest([j0, j1, j2, j3]) as int) b_cluster from p""")
+def q_matched_centres(spark: SparkSession, d: str) -> DataFrame:
+    """The first four vectors and the eight after them as two runs' centres."""
+    centres = {r["id"]: list(r["features"]) for r in _embedded(spark, d).where("id < 12").collect()}
+    pairs = models.match_clusters([centres[i] for i in range(4)], [centres[i] for i in range(4, 12)])
+    return spark.createDataFrame(pairs, "a_cluster int, b_cluster int")
+
+
 @query("select split_part(p_name,' ',1) w, count(*) n, count(*) filter (where p_size%2=1) odd from part group by 1")
 def q_last_mover(spark: SparkSession, d: str) -> DataFrame:
     """Lines of as many plies as a part's size, White's if odd."""

@@ -121,9 +121,11 @@ def read_leaderboard(answer: DataFrame) -> DataFrame:
 
 def collected(top: DataFrame, first: DataFrame, n: int, fetch: Callable[[DataFrame], DataFrame], *, below: int = 2200, seed: int = 42) -> DataFrame:
     """The two stages of a collection: games (`schema.GAMES`) of the players of a
-    leaderboard (`top`: name), and those that `fetch` gets for `n` of their weaker opponents. A game that both stages have counts once for each player."""
-    more = fetch(diverse_players(first, top, n, below=below, seed=seed))
-    return first.unionByName(more).dropDuplicates(["username", "game_id"])
+    leaderboard (`top`: name), and those that `fetch` gets for `n` of their weaker opponents. A game
+    that both stages have counts once for each player; games without an id all stay."""
+    both = first.unionByName(fetch(diverse_players(first, top, n, below=below, seed=seed)))
+    named = F.col("game_id").isNotNull()
+    return both.where(named).dropDuplicates(["username", "game_id"]).unionByName(both.where(~named))
 
 
 def user_games(fetched: DataFrame, user: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import last_mover, ply_count
+from ..functions.board import legal_lines
 
 
 def read_openings(spark: SparkSession, path: str) -> DataFrame:
@@ -13,8 +14,10 @@ def read_openings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, quote="", schema="eco string, name string, pgn string", mode="DROPMALFORMED")
 
 
-def openings_dim(openings: DataFrame) -> DataFrame:
-    """(name, color): of each name its shortest line, the first of equally short ones in order of code and line; lines with something that isn't a move are left out."""
-    rows = openings.select("name", "eco", "pgn", last_mover("pgn").alias("color"), ply_count("pgn").alias("plies")).where("color is not null")
+def openings_dim(openings: DataFrame, *, replay: bool = True) -> DataFrame:
+    """(name, color): of each name its shortest line, the first of equally short ones in order of
+    code and line. Lines are replayed on a board, and those with a move that isn't legal are left out;
+    without `replay` those with a token that isn't a move, by column expressions alone."""
+    rows = legal_lines(openings.select("name", "eco", "pgn")) if replay else openings.select("name", "eco", "pgn", last_mover("pgn").alias("color"), ply_count("pgn").alias("plies")).where("color is not null")
     first = F.row_number().over(Window.partitionBy("name").orderBy("plies", "eco", "pgn"))
     return rows.withColumn("rn", first).where("rn = 1").select("name", "color")

@@ -100,6 +100,32 @@ folds as (select t.o, count(*) n_moves, min(ply) filter (where tok like 'O-O%' a
 off as (select o, max(gone) queens_off from queens group by o)
 """
 
+#: Games that are legal throughout, with the ply after which no queen is left: castling short, an early and a late
+#: exchange, castling long, and two white queens of which the older one moves on.
+LINES = (
+    ("e4 e5 Nf3 Nc6 Bb5 a6 Ba4 Nf6 O-O Be7 Re1 b5 Bb3 d6 c3 O-O h3 Na5 Bc2 c5 d4 Qc7", None),
+    ("e4 d5 exd5 Qxd5 Nc3 Qe5+ Qe2 Qxe2+ Bxe2 Nc6", 9),
+    ("e4 e5 Nf3 Nc6 Bb5 Nf6 O-O Nxe4 d4 Nd6 Bxc6 dxc6 dxe5 Nf5 Qxd8+ Kxd8 h3", 16),
+    ("d4 d5 Nc3 Nf6 Bf4 Bf5 Qd2 Nc6 O-O-O Qd7 f3 O-O-O e3 h6", None),
+    ("h4 g5 hxg5 h6 gxh6 Nf6 h7 Rg8 h8=Q Nc6 e4 d6 Qf3 Rxh8 Rxh8 Bg4 Qxf6 exf6 Rxf8+ Kxf8 Nc3 Qe8 Nd5 Qxe4+ Be2 Qxe2+ Nxe2 f5", 27),
+)
+
+
+def cut_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(o_orderkey, moves): each order plays one of LINES, with a king's leap that is never legal somewhere in it or at its end."""
+    lines = F.array(*(F.split(F.lit(text), " ") for text, _ in LINES))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.get(lines, (F.col("o_orderkey") % len(LINES)).cast("int")).alias("line"))
+    at = (F.col("o_custkey") % (F.size("line") + 4)).cast("int")
+    moves = F.concat(F.slice("line", 1, at), F.array(F.lit("Ke5")), F.slice("line", at + 1, F.size("line")))
+    return rows.select("o_orderkey", F.array_join(moves, " ").alias("moves"))
+
+
+#: The same games as SQL: cut(o_orderkey, toks, off, c), c legal moves.
+LINES_SQL = f"""
+known as (select * from (values {", ".join(f"({i}, {text.split()}, {'null' if off is None else off})" for i, (text, off) in enumerate(LINES))}) v(line, toks, off)),
+cut as (select o_orderkey, toks, off, least(o_custkey % (len(toks) + 4), len(toks)) c from orders join known on line = o_orderkey % {len(LINES)})
+"""
+
 _WORDS = ", ".join(f"'{w}'" for w in WHITE_WORDS)
 SQL = f"""
 base as (select l.l_orderkey*10+l.l_linenumber game_id, o.o_custkey, l.l_suppkey, l.l_quantity q, l.l_returnflag rf, o.o_orderpriority op, l.l_tax, l.l_discount,

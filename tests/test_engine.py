@@ -1,3 +1,4 @@
+import itertools
 import json
 import os
 
@@ -219,3 +220,52 @@ def test_document_store_and_live_profile(spark, tmp_path):
     games = spark.createDataFrame([("a", f"g{i:03d}", i) for i in range(300)], "username string, game_id string, created_at long")
     assert [compare.latest_games(games, n).count() for n in (5, 100, 1000)] == [20, 100, 200]
     assert compare.latest_games(games, 20).agg({"created_at": "min"}).first()[0] == 280
+
+
+def test_assignment_as_brute_force():
+    rnd = np.random.default_rng(3)
+    for _ in range(200):
+        n, m = sorted(rnd.integers(1, 7, 2).tolist())
+        cost = rnd.integers(0, 9, (n, m)).astype(float) if rnd.random() < 0.5 else rnd.random((n, m))
+        found = models.assignment(cost)
+        assert len(set(found.tolist())) == n
+        assert np.isclose(cost[np.arange(n), found].sum(), min(sum(cost[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n)))
+    a = rnd.normal(size=(200, 5))
+    order = rnd.permutation(200)
+    assert models.match_clusters(a, a[order]) == [(int(i), int(j)) for i, j in enumerate(np.argsort(order))]
+    assert models.match_clusters(a[:3], a[[2, 0]]) == [(0, 1), (2, 0)] and models.match_clusters(a[[2, 0]], a[:3]) == [(0, 2), (1, 0)] and models.match_clusters([], a) == []
+
+
+def test_quantiles_by_ranges(spark):
+    rnd = np.random.default_rng(4)
+    columns = {"few": [float(x) for x in rnd.integers(0, 3, 900)], "many": rnd.normal(size=900).tolist(), "hot": [7.0] * 600 + rnd.random(300).tolist(), "gaps": [None if x < 0.5 else float(x) for x in rnd.random(900)], "none": [None] * 900}
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{c} double" for c in columns))
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {r.feature: r.q for r in compare.quantiles(compare.unpivot(df, [], list(columns)), shares).collect()}
+    assert got.keys() == columns.keys() - {"none"}
+    for name, q in got.items():
+        assert np.allclose(q, np.quantile([x for x in columns[name] if x is not None], shares))
+    told = {r.feature: r for r in compare.describe(df, list(columns)).collect()}
+    assert (told["none"].n, told["none"].nulls, told["none"].q50) == (0, 900, None)
+
+
+def test_no_task_sees_a_features_values(spark, tmp_path):
+    """What is partitioned by feature alone, or not at all, are totals of ranges: of 20,000 values none but a range's go to one task."""
+    spark.range(20_000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y")).write.parquet(str(tmp_path / "v"))
+    df = spark.read.parquet(str(tmp_path / "v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = compare.quantiles(compare.unpivot(df, [], ["x", "y"]), [0.5])
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.feature: r.q for r in found.collect()} == {"x": [9999.5], "y": [3.0]}
+    windows = [line for line in plan.splitlines() if "Window" in line]
+    assert windows and all("part" in line.split("], [")[1] for line in windows), plan
+
+
+def test_mutual_openings_of_all_cohorts(spark):
+    rows = [(c, color, f, 9, float(i * j % 7)) for i, c in enumerate("abc") for color in ("white", "black") for j, f in enumerate("xyz", 2)]
+    t = spark.createDataFrame(rows, "cohort string, color string, family string, n long, resid double")
+    pairs = spark.createDataFrame([(x, y) for x in "abc" for y in "abc"], "white_cohort string, black_cohort string")
+    assert key(map(tuple, rankings.mutual_openings(t).collect())) == key(map(tuple, rankings.mutual_openings(t, pairs).collect()))

@@ -194,3 +194,11 @@ def test_one_pass_in_python_says_what_the_expressions_say(spark):
     sides = [sorted(map(repr, df.where("moves is not null").select(*(F.col(c).alias(c.replace(".", "_")) for c in columns)).collect())) for df in (want, pgn.extracted(rows.where("record is not null")))]
     assert sides[0] == sides[1]
     assert pgn.extracted(rows).count() == len(records)
+
+
+def test_games_without_an_id_all_stay(spark):
+    blank = {f.name: None for f in schema.GAMES}
+    made = lambda *ids: spark.createDataFrame([tuple((blank | {"username": "a", "game_id": i, "opponent_username": "x", "opponent_rating": 1500}).values()) for i in ids], schema.GAMES)
+    top = spark.createDataFrame([("a",)], "name string")
+    both = collected(top, made("1", None, None), 5, lambda names: made("1", "2", None))
+    assert sorted((r.game_id or "") for r in both.collect()) == ["", "", "", "1", "2"]
