@@ -1,14 +1,15 @@
 """Two tokenizers' tokens of the same text, aligned by the bytes where they end.
 
-A worker tokenises, in batches of texts, and gives four arrays a text: token ids and
-the byte where each token ends, for either tokenizer. All else is Spark's functions
-over arrays: `array_intersect` finds the places where tokens of both end, sorting them
-in among all ends shows which tokens these are, and `transform` over them makes groups
-and links. A link's count over the corpus comes from grouping and is joined back.
-
-Words come again and again, so a worker keeps the ids of each new piece of text: a
-piece begins at a space or line feed that follows another kind of character, and no
-token of either vocabulary crosses that place (which is checked as it is loaded).
+A worker tokenises, in batches of texts. Words come again and again, so a text is cut
+into pieces: one begins at a space or line feed that follows another kind of character,
+and no token of either vocabulary crosses that place (which is checked as it is loaded).
+What a batch gives is the ids of its different pieces, the byte where each token ends, and
+for each text which pieces it is made of.
+
+All else is Spark's functions over arrays: `array_intersect` finds the places where tokens
+of both end, sorting them in among all ends shows which tokens these are, `transform` over
+them makes groups and links, of pieces first and then of texts. A link's count over the
+corpus comes from grouping and is joined back.
 """
 
 from __future__ import annotations
@@ -79,13 +80,13 @@ class Pair:
     def _forget(self) -> None:
         self.at: dict[bytes, int] = {}  # a piece's number
         self.words: dict[bytes, bytes] = {}  # ids by A of what pieces are made of: words with their space, and marks
-        self.ids_a, self.ids_b = (np.zeros(0, np.uint16) for _ in range(2))  # of all pieces, one after another
+        self.ids_a, self.ids_b = (np.zeros(0, np.uint32) for _ in range(2))  # of all pieces, one after another
         self.n_a, self.n_b = (np.zeros(0, np.int64) for _ in range(2))
         self.sound = np.zeros(0, bool)  # whether the tokens' bytes are the piece's
 
     def _words_a(self, words: list[bytes]) -> list[bytes]:
         ids, n = _flat([e.ids for e in self.a.encode_batch_fast([w.decode(errors="replace") for w in words], add_special_tokens=False)])
-        data, ends = ids.tobytes(), (2 * np.cumsum(n)).tolist()
+        data, ends = ids.tobytes(), (4 * np.cumsum(n)).tolist()
         return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
     def cut(self, text: bytes) -> list[bytes]:
@@ -109,7 +110,7 @@ class Pair:
         self.words.update(zip(fresh, self._words_a(fresh), strict=True))
         found_a = dict(zip(other, self._words_a(other), strict=True)) | {b" " + p: self.words[root] + self.words[marks] for p, root, marks in made}
         in_order = [found_a[w] for w in pieces]
-        ids_a, n_a = np.frombuffer(b"".join(in_order), "<u2"), np.array([len(x) // 2 for x in in_order], np.int64)
+        ids_a, n_a = np.frombuffer(b"".join(in_order), "<u4"), np.array([len(x) // 4 for x in in_order], np.int64)
         # B puts a blank before what it gets: it stands for the piece's own space, or else it goes.
         asked = [(w[1:] if w[:1] == b" " else w).decode(errors="replace") for w in pieces]
         lists = self.b.encode(asked, num_threads=1)
@@ -118,59 +119,58 @@ class Pair:
                 lists[k] = ids[1:] if ids[:1] == [self.blank] else [0]
             elif not ids:
                 lists[k] = [self.blank]
-        ids_b, n_b = _flat(lists)
-        sizes = np.array([len(w) for w in pieces], np.int64)
-        sound = np.ones(len(new), bool)
-        for ids, n, size, own in ((ids_a, n_a, self.a_size, self.a_bytes), (ids_b, n_b, self.b_size, self.b_bytes)):
-            stops = np.cumsum(size[ids])[np.cumsum(n) - 1]
-            if (stops != np.cumsum(sizes)).any() or b"".join(map(own.__getitem__, ids.tolist())) != b"".join(pieces):
+        self._keep(new, pieces, (ids_a, n_a), _flat(lists))
+
+    def whole(self, texts: list[bytes]) -> None:
+        """The same of texts that can't be cut: each is a piece."""
+        asked = [t.decode(errors="replace") for t in texts]
+        ids_a, n_a = _flat([e.ids for e in self.a.encode_batch_fast([" " + t for t in asked], add_special_tokens=False)])
+        ids_b, n_b = _flat(self.b.encode(asked, num_threads=1))
+        self._keep(texts, [b" " + t for t in texts], (ids_a, n_a), (ids_b, n_b))
+
+    def _keep(self, new: list[bytes], pieces: list[bytes], found_a: tuple[np.ndarray, np.ndarray], found_b: tuple[np.ndarray, np.ndarray]) -> None:
+        sizes, sound = np.array([len(w) for w in pieces], np.int64), np.ones(len(new), bool)
+        for (ids, n), size, own in ((found_a, self.a_size, self.a_bytes), (found_b, self.b_size, self.b_bytes)):
+            so_far = np.concatenate([[0], np.cumsum(size[ids])])
+            if (so_far[np.cumsum(n)] != np.cumsum(sizes)).any() or b"".join(map(own.__getitem__, ids.tolist())) != b"".join(pieces):
                 ends = np.cumsum(n).tolist()
                 sound &= np.array([b"".join([own[i] for i in ids[e - c : e].tolist()]) == w for e, c, w in zip(ends, n.tolist(), pieces, strict=True)], bool)
         self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-        self.ids_a, self.ids_b = np.concatenate([self.ids_a, ids_a]), np.concatenate([self.ids_b, ids_b])
-        self.n_a, self.n_b = np.concatenate([self.n_a, n_a]), np.concatenate([self.n_b, n_b])
+        self.ids_a, self.ids_b = np.concatenate([self.ids_a, found_a[0]]), np.concatenate([self.ids_b, found_b[0]])
+        self.n_a, self.n_b = np.concatenate([self.n_a, found_a[1]]), np.concatenate([self.n_b, found_b[1]])
         self.sound = np.concatenate([self.sound, sound])
 
-    def whole(self, text: bytes) -> tuple[list[int], list[int]]:
-        """Ids of a text that isn't cut."""
-        t = text.decode(errors="replace")
-        a, b = self.a.encode(" " + t, add_special_tokens=False).ids, self.b.encode(t)
-        same = b"".join([self.a_bytes[i] for i in a]) == b" " + text == b"".join([self.b_bytes[i] for i in b])
-        return (a, b) if same else ([], [])
-
-    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts by A, how many each text has, and the same by B; none if it's empty or its bytes aren't the tokens'."""
-        if not self.in_pieces:
-            found = [self.whole(t) if t else ([], []) for t in texts]
-            return *_flat([a for a, _ in found]), *_flat([b for _, b in found])
-        cuts = [self.cut(t) if t else [] for t in texts]
+    def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' pieces, and the text each belongs to; none of a text that's empty or whose bytes aren't the tokens'."""
+        cuts = [(self.cut(t) if self.in_pieces else [t]) if t else [] for t in texts]
         every = list(chain.from_iterable(cuts))
         at = list(map(self.at.get, every))
         if None in at:
             new = {p for p, i in zip(every, at, strict=True) if i is None}
-            if len(self.at) + len(new) > PIECES_KEPT:
+            if len(self.at) + len(new) > (PIECES_KEPT if self.in_pieces else len(new)):
                 self._forget()
                 new = set(every)
-            self.learn(list(new))
+            (self.learn if self.in_pieces else self.whole)(list(new))
             at = list(map(self.at.__getitem__, every))
-        number = np.array(at, np.int64)
-        owner = np.repeat(np.arange(len(texts)), [len(c) for c in cuts])
-        sound = np.bincount(owner[~self.sound[number]], minlength=len(texts)) == 0
-        kept = sound[owner]
-        number, owner = number[kept], owner[kept]
+        number, owner = np.array(at, np.int64), np.repeat(np.arange(len(texts)), [len(c) for c in cuts])
+        kept = (np.bincount(owner[~self.sound[number]], minlength=len(texts)) == 0)[owner]
+        return number[kept], owner[kept]
+
+    def tokens(self, pieces: np.ndarray) -> list[np.ndarray]:
+        """Of the pieces of these numbers, one after another: ids by A and where each ends, the same by B, and where each piece ends."""
         out: list[np.ndarray] = []
-        for ids, n in ((self.ids_a, self.n_a), (self.ids_b, self.n_b)):
-            own = n[number]
-            first = (np.cumsum(n) - n)[number]
-            out.append(ids[np.repeat(first - (np.cumsum(own) - own), own) + np.arange(own.sum())])
-            out.append(np.bincount(owner, own, minlength=len(texts)).astype(np.int64))
-        return tuple(out)  # type: ignore[return-value]
+        for ids, n, size in ((self.ids_a, self.n_a, self.a_size), (self.ids_b, self.n_b, self.b_size)):
+            own, first = n[pieces], (np.cumsum(n) - n)[pieces]
+            found = ids[np.repeat(first - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+            ends = np.cumsum(size[found])
+            out += [found, ends]
+        return [*out, out[1][np.cumsum(self.n_a[pieces]) - 1]]
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of `lists`, and how many each has."""
     n = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter(chain.from_iterable(lists), np.uint16, int(n.sum())), n
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum())), n
 
 
 @lru_cache(maxsize=1)
@@ -179,17 +179,9 @@ def pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def _lists(ids: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
-    """Texts' ids, and the byte where each token ends, as lists."""
-    starts = np.concatenate([[0], np.cumsum(n)])
-    so_far = np.concatenate([[0], np.cumsum(sizes[ids])])
-    ends = so_far[1:] - np.repeat(so_far[starts[:-1]], n)
-    bounds = pa.array(starts, pa.int32())
-    return [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (ids, ends)]
-
-
 def tokenised(docs: DataFrame, a_path: str, b_path: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, a_ids, a_ends, b_ids, b_ends) for each row of `docs`; texts without tokens have empty lists."""
+    """A row for each batch of texts: docs (doc_id, n_a, n_b and pieces: which ones, from 0, the text is made of), and of
+    the batch's different pieces, one after another, a_ids, a_ends, b_ids, b_ends and piece_ends. Texts without tokens have no pieces."""
     kind = docs.select(id_column).schema[0].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,29 +189,37 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, *, id_column: str = "do
         for batch in batches:
             texts = list(values(batch.column(1)))
             for start, stop in by_bytes(texts, RUN_BYTES):
-                a, n_a, b, n_b = use.ids(texts[start:stop])
-                columns = [*_lists(a, n_a, use.a_size), *_lists(b, n_b, use.b_size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), *columns], ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                number, owner = use.numbers(texts[start:stop])
+                different, pieces = np.unique(number, return_inverse=True)
+                count = stop - start
+                n_a, n_b = (np.bincount(owner, n[number], minlength=count).astype(np.int64) for n in (use.n_a, use.n_b))
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=count))])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(pieces, pa.int32()))
+                told = pa.StructArray.from_arrays([batch.column(0).slice(start, count), pa.array(n_a), pa.array(n_b), lists], ["doc_id", "n_a", "n_b", "pieces"])
+                one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, pa.int32())) for x in (told, *use.tokens(different))]
+                yield pa.RecordBatch.from_arrays(one, ["docs", "a_ids", "a_ends", "b_ids", "b_ends", "piece_ends"])
 
-    lists = ", ".join(f"{c} array<int>" for c in ("a_ids", "a_ends", "b_ids", "b_ends"))
-    return docs.select(id_column, text_column).mapInArrow(read, f"doc_id {kind}, {lists}")
+    lists = ", ".join(f"{c} array<int>" for c in ("a_ids", "a_ends", "b_ids", "b_ends", "piece_ends"))
+    return docs.select(id_column, text_column).mapInArrow(read, f"docs array<struct<doc_id: {kind}, n_a: bigint, n_b: bigint, pieces: array<int>>>, {lists}")
 
 
 def _places(merged: str) -> Column:
-    """Of all ends with the common ones sorted in among them: the index in all ends of each common one, which stands there twice."""
+    """Of all ends with some of them sorted in once more: the index of each of those in all ends."""
     at = F.filter(F.sequence(F.lit(0), F.size(merged) - 2), lambda i: F.get(merged, i) == F.get(merged, i + 1))
-    return F.transform(at, lambda p, g: p - g)
+    return F.when(F.size(merged) > 0, F.transform(at, lambda p, g: p - g)).otherwise(F.array().cast("array<int>"))
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """`tokenised` rows with n_a, n_b, n_groups, groups (a string: `a1,a2|b1;a3|b2,b3`) and links
-    (a_link, b_link: ids of the A and the B token that end together)."""
-    some = F.size("a_ids") > 0
+    """Of `tokenised` rows a row for each text: doc_id, n_a, n_b, groups (a string: `a1,a2|b1;a3|b2,b3`)
+    and links (a_link, b_link: ids of the A and the B token that end together).
+
+    Each step uses what the one before made more than once, so Spark doesn't put it into the functions of an element."""
     rows = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    rows = rows.select("doc_id", "a_ids", "b_ids", "common", F.sort_array(F.concat("a_ends", "common")).alias("a_all"), F.sort_array(F.concat("b_ends", "common")).alias("b_all"))
-    # Each step uses what the one before made more than once, so Spark doesn't put it into the functions of an element.
-    rows = rows.select("doc_id", "a_ids", "b_ids", F.when(some, _places("a_all")).alias("a_at"), F.when(some, _places("b_all")).alias("b_at"), F.col("a_ids").cast("array<string>").alias("a_str"), F.col("b_ids").cast("array<string>").alias("b_str"))
-    rows = rows.select("*", *(F.concat(F.array(F.lit(-1)), f"{s}_at").alias(f"{s}_end") for s in "ab"))  # places where groups end, from the one before the first
+    merged = [F.sort_array(F.concat(x, y)).alias(n) for x, y, n in (("a_ends", "common", "a_all"), ("b_ends", "common", "b_all"), ("common", "piece_ends", "g_all"))]
+    rows = rows.select("docs", "a_ids", "b_ids", *merged)
+    rows = rows.select("docs", "a_ids", "b_ids", *(_places(f"{s}_all").alias(f"{s}_at") for s in "abg"), *(F.col(f"{s}_ids").cast("array<string>").alias(f"{s}_str") for s in "ab"))
+    # Places where groups end, and groups where pieces end, from the one before the first.
+    rows = rows.select("*", *(F.concat(F.array(F.lit(-1)), f"{s}_at").alias(f"{s}_end") for s in "abg"))
 
     def group(i: Column, g: Column) -> Column:
         a, b, j = F.get("a_end", g), F.get("b_end", g), F.get("b_at", g)
@@ -227,10 +227,24 @@ def aligned(tokens: DataFrame) -> DataFrame:
         return F.when(i - a + j - b == 2, F.concat(F.get("a_str", i), F.lit("|"), F.get("b_str", j))).otherwise(several)
 
     def linked(ids: str, at: str) -> Column:
-        return F.when(some, F.transform(at, lambda i: F.get(ids, i))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.get(ids, i))
+
+    rows = rows.select("docs", "g_at", "g_end", F.transform("a_at", group).alias("group"), linked("a_ids", "a_at").alias("a"), linked("b_ids", "b_at").alias("b"))
+
+    def own(c: str) -> Column:
+        """`c` of the groups of each piece."""
+        return F.transform("g_at", lambda last, p: F.slice(c, F.get("g_end", p) + 2, last - F.get("g_end", p)))
+
+    rows = rows.select("docs", F.size("group").alias("n"), F.transform(own("group"), lambda x: F.array_join(x, ";")).alias("told"), own("a").alias("a"), own("b").alias("b"))
+
+    def text(d: Column) -> Column:
+        def whole(c: str) -> Column:
+            return F.transform(d["pieces"], lambda p: F.get(c, p))
+
+        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.array_join(whole("told"), ";").alias("groups"), F.flatten(whole("a")).alias("a_link"), F.flatten(whole("b")).alias("b_link"))
 
-    told = F.array_join(F.transform("a_at", group), ";")
-    return rows.select("doc_id", F.size("a_ids").cast("bigint").alias("n_a"), F.size("b_ids").cast("bigint").alias("n_b"), F.when(some, F.size("a_at")).otherwise(0).cast("bigint").alias("n_groups"), F.when(some, told).otherwise("").alias("groups"), linked("a_ids", "a_at").alias("a_link"), linked("b_ids", "b_at").alias("b_link"))
+    same = (F.size("told") == F.size("a")) & (F.size("a") == F.size("b"))  # always
+    return rows.select(F.explode(F.when(same, F.transform("docs", text))).alias("d")).select("d.*")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -255,8 +269,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_column: str = "doc_id
     Counts go to all tasks if there are `pairs` of them at most (they are counted); beyond,
     the most frequent `pairs` do, and links of others are joined by the pair, document by document."""
     made = aligned(tokenised(docs, a_path, b_path, id_column=id_column, text_column=text_column))
-    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
-    rows = stage(made.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "a_link", "b_link"), "aligned")
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    rows = stage(made.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", F.size("a_link").cast("bigint").alias("n_groups"), digest.alias("groups_sha256"), "a_link", "b_link"), "aligned")
     link = F.explode(F.arrays_zip("a_link", "b_link"))
     each = rows.select("row", link.alias("l")).select("row", (F.shiftleft(F.col("l.a_link").cast("bigint"), 32) + F.col("l.b_link")).alias("pair"))
     counts = stage(pair_counts(each), "pair_counts")

@@ -55,14 +55,24 @@ def test_as_brute_force(spark, pairs):
     assert alignment.align(docs.limit(0), A, B).count() == 0
 
 
+def by_text(use, texts):
+    number, owner = use.numbers(texts)
+    out = []
+    for k in range(len(texts)):
+        a, a_ends, b, b_ends, ends = use.tokens(number[owner == k]) if (owner == k).any() else [[]] * 5
+        assert not len(a) or a_ends[-1] == b_ends[-1] == ends[-1] == len(texts[k]) + 1
+        out.append((list(a), list(a_ends), list(b), list(b_ends)))
+    return out
+
+
 def test_pieces_that_are_forgotten_and_whole_texts(monkeypatch):
     rnd = random.Random(4)
     texts = ["".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 40))).encode() for _ in range(300)]
     use = alignment.Pair(A, B)
     assert use.in_pieces
-    told = [x.tolist() for x in use.ids(texts)]
+    told = by_text(use, texts)
     monkeypatch.setattr(alignment, "PIECES_KEPT", 50)
-    again = [use.ids([t]) for t in texts]
-    assert [sum((x[k].tolist() for x in again), []) for k in range(4)] == told
+    assert [by_text(use, [t])[0] for t in texts] == told
     use.in_pieces = False
-    assert [x.tolist() for x in use.ids(texts)] == told
+    use._forget()
+    assert [x for n in range(0, 300, 50) for x in by_text(use, texts[n : n + 50])] == told
