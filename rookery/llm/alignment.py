@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -30,7 +30,7 @@ from .base import by_bytes, stage, values
 from .tokens import _PLAIN
 
 #: Bytes of text that are tokenised together, pieces that a worker remembers, distinct pairs of ids that go to all tasks.
-RUN_BYTES, PIECES_KEPT, PAIRS = 1 << 20, 500_000, 1 << 20
+RUN_BYTES, PIECES_KEPT, PAIRS = 2 << 20, 400_000, 1 << 20
 
 #: White space that another one follows: beyond such places pieces aren't told apart by bytes alone.
 _IRREGULAR = re.compile(rb"(?:[\t-\r\x1c- ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf)[\t-\r\x1c- ]")
@@ -209,6 +209,16 @@ def _places(merged: str) -> Column:
     return F.when(F.size(merged) > 0, F.transform(at, lambda p, g: p - g)).otherwise(F.array().cast("array<int>"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often `body` or a function in it uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _some(c: str | Column, before: Column, last: Column) -> Column:
+    """Elements of `c` after `before`, to `last`. (`slice` would copy all of `c` for each.)"""
+    return F.transform(F.sequence(before + 1, last), lambda i: F.get(c, i))
+
+
 def aligned(tokens: DataFrame) -> DataFrame:
     """Of `tokenised` rows a row for each text: doc_id, n_a, n_b, groups (a string: `a1,a2|b1;a3|b2,b3`)
     and links (a_link, b_link: ids of the A and the B token that end together).
@@ -223,19 +233,18 @@ def aligned(tokens: DataFrame) -> DataFrame:
 
     def group(i: Column, g: Column) -> Column:
         a, b, j = F.get("a_end", g), F.get("b_end", g), F.get("b_at", g)
-        several = F.concat(F.array_join(F.slice("a_str", a + 2, i - a), ","), F.lit("|"), F.array_join(F.slice("b_str", b + 2, j - b), ","))
+        several = F.concat(F.array_join(_some("a_str", a, i), ","), F.lit("|"), F.array_join(_some("b_str", b, j), ","))
         return F.when(i - a + j - b == 2, F.concat(F.get("a_str", i), F.lit("|"), F.get("b_str", j))).otherwise(several)
 
     def linked(ids: str, at: str) -> Column:
         return F.transform(at, lambda i: F.get(ids, i))
 
-    rows = rows.select("docs", "g_at", "g_end", F.transform("a_at", group).alias("group"), linked("a_ids", "a_at").alias("a"), linked("b_ids", "b_at").alias("b"))
-
-    def own(c: str) -> Column:
-        """`c` of the groups of each piece."""
-        return F.transform("g_at", lambda last, p: F.slice(c, F.get("g_end", p) + 2, last - F.get("g_end", p)))
+    def own(each: Column) -> Column:
+        """Of something of each group, in order, what belongs to each piece."""
+        return _let(each, lambda x: F.transform("g_at", lambda last, p: _some(x, F.get("g_end", p), last)))
 
-    rows = rows.select("docs", F.size("group").alias("n"), F.transform(own("group"), lambda x: F.array_join(x, ";")).alias("told"), own("a").alias("a"), own("b").alias("b"))
+    told = F.transform(own(F.transform("a_at", group)), lambda x: F.array_join(x, ";"))
+    rows = rows.select("docs", told.alias("told"), own(linked("a_ids", "a_at")).alias("a"), own(linked("b_ids", "b_at")).alias("b"))
 
     def text(d: Column) -> Column:
         def whole(c: str) -> Column:
