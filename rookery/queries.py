@@ -14,7 +14,7 @@ from .operators import compare, features, rankings, sampling
 from .plans import density, models, neighbours
 from .schema import V2_21
 from .shared import shared_dir
-from .sources import feed, openings_dim, pgn
+from .sources import feed, frames, openings_dim, pgn
 from .view import LINES, LINES_SQL, SQL, TRANSCRIPTS_SQL, cut_lines, games, openings, played, table, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -689,6 +689,28 @@ def q_parsed_features(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select("username", "n_games", "avg_castle_move", "pct_queenside_castle", "avg_queens_off_move", "early_pawn_pushes", "acpl"), 9)
 
 
+@query("""with o as (select *, 700 + o_custkey % 1500 we, 900 + o_orderkey % 1500 be, o_orderkey % 10 k from orders where o_orderkey in (select l_orderkey from lineitem))
+select case k when 0 then 'null' when 1 then 'parse:EncodingError' when 2 then 'parse:CommentError' when 3 then 'parse:TagError' when 4 then 'convert:OverflowError' when 5 then 'filtered' when 6 then 'filtered_speed'
+else case when we between 800 and 3500 and be between 800 and 3500 then 'kept' else 'filtered_rating' end end reason, count(*) n from o group by 1""")
+def q_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts of all orders, most of them damaged in one of seven ways by their number: every record has its reason."""
+    rows = transcripts(spark, d).withColumn("k", F.regexp_extract("record", r"org/g(\d+)", 1).cast("bigint") % 10)
+    r = F.col("record")
+    harm = [F.lit("  "), F.concat(r, F.lit(" \ufffd")), F.concat(r, F.lit(" { and so on")), F.replace(r, F.lit('[Result "'), F.lit("[Result ")), F.regexp_replace(r, r'\[WhiteElo "\d+', '[WhiteElo "99999999999'), F.regexp_replace(r, r'\[White "\w+', '[White "?'), F.regexp_replace(r, r'\[TimeControl "[^"]*', '[TimeControl "15+0')]
+    for k, damaged in enumerate(harm):
+        rows = rows.withColumn("record", F.when(F.col("k") == k, damaged).otherwise(r))
+    return pgn.reject_counts(pgn.judged(pgn.quarantined(rows.select("record"))))
+
+
+@query("""with o as (select * from orders where o_orderkey in (select l_orderkey from lineitem))
+select case o_orderstatus when 'F' then '1-0' when 'O' then '0-1' else '1/2-1/2' end result, count(*) n, cast(sum(700 + o_custkey % 1500) as bigint) white, cast(max(900 + o_orderkey % 1500) as bigint) black from o group by 1""")
+def q_zstd_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts of all orders written as zstd files of many frames, and read back frame by frame."""
+    at = frames.write_frames(transcripts(spark, d), frame_records=100)
+    rows = pgn.parsed(frames.read_frames(spark, at, task_bytes=1 << 16))
+    return rows.groupBy(F.col("Result").alias("result")).agg(F.count("*").alias("n"), F.sum(F.col("WhiteElo").cast("bigint")).alias("white"), F.max(F.col("BlackElo").cast("bigint")).alias("black"))
+
+
 @query(f"with {SQL} select username, color, family, count(*) n, round(sum(sd),6)+0e0 sum_sd from ann where case when family ilike '%defense%' then 'black' else 'white' end = color group by 1,2,3")
 def q_stream_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks kept up by a stream over the games, as files: equal to those of a batch."""

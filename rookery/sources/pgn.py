@@ -19,6 +19,7 @@ from pyspark.sql.types import DataType
 
 from .. import schema
 from ..functions import accuracy, epoch_ms, game_id, speed_bucket, status
+from ..functions.board import board_features_of, replayed
 from ..functions.moves import ACCURACY, FEATURES, accuracy_of, centipawns, features_of
 
 #: Default filters of a dump: speeds, and ratings of both sides.
@@ -106,19 +107,96 @@ def _read(record: str) -> tuple[dict[str, str], list[str], list[int | None]]:
     return tags, [m for m, _ in pairs], [_centipawns(c) if c else None for _, c in pairs]
 
 
-def extracted(records: DataFrame) -> DataFrame:
+class EncodingError(ValueError):
+    """Bytes of a record weren't text."""
+
+
+class TagError(ValueError):
+    """A line before the moves isn't a tag pair."""
+
+
+class CommentError(ValueError):
+    """A comment doesn't end."""
+
+
+_TAG_LINE, _COMMENT = re.compile(_TAG.removeprefix("(?m)") + r"\s*"), re.compile(r"\{[^}]*\}")
+_INT = range(-(2**31), 2**31)
+
+
+def _whole(record: str) -> None:
+    """Raises what is wrong with a record's text."""
+    if "\ufffd" in record:
+        raise EncodingError
+    block, _, body = record.partition("\n\n")
+    for line in block.split("\n"):
+        if line.strip() and not _TAG_LINE.fullmatch(line):
+            raise TagError
+    if "{" in body and "{" in _COMMENT.sub("", body):
+        raise CommentError
+
+
+def _converted(tags: dict[str, str], moves: list[str], evals: list[int | None], board: bool) -> tuple:
+    """A record's columns; on a board moves end before the first that isn't legal."""
+    if board:
+        n, features = replayed(moves)
+        if n < len(moves):
+            moves, evals = moves[:n], evals[:n]
+            features = board_features_of(moves)
+    else:
+        features = features_of(moves)
+    return (*(tags.get(t) for t in _TAGS), moves, evals, accuracy_of(evals), features)
+
+
+_NOTHING = (*(None for _ in _TAGS), [], [], None, None)
+
+
+def _tried(record: str | None, board: bool) -> tuple:
+    """`_converted`, why it can't be done, and then the text."""
+    if record is None or not record.strip():
+        return (*_NOTHING, "null", record)
+    try:
+        _whole(record)
+        read = _read(record)
+    except Exception as e:  # whatever it is: the record goes on, with its reason
+        return (*_NOTHING, f"parse:{type(e).__name__}", record)
+    try:
+        for n in (*read[2], *(int(x) for t in ("WhiteElo", "BlackElo") if re.fullmatch(r"[+-]?\d+", x := read[0].get(t, "")))):
+            if n is not None and n not in _INT:
+                raise OverflowError
+        return (*_converted(*read, board), None, None)
+    except Exception as e:
+        return (*_NOTHING, f"convert:{type(e).__name__}", record)
+
+
+def quarantined(records: DataFrame, *, board: bool = False) -> DataFrame:
+    """`extracted` for damaged dumps: a row for every record, none is lost. `error` says why one
+    can't be read (`parse:...`), doesn't fit its columns (`convert:...`) or is blank (`null`), with its text in
+    `record`; both are null for the others. `judged` takes the error for its reason, `set_aside` gives such records."""
+    return _extracted(records, board, True)
+
+
+def set_aside(judged_games: DataFrame) -> DataFrame:
+    """(reason, record) of the records that `quarantined` couldn't use."""
+    return judged_games.where("error is not null").select(F.col("error").alias("reason"), "record")
+
+
+def extracted(records: DataFrame, *, board: bool = False) -> DataFrame:
     """`parsed`, and `acc` and `mf` (`accuracy` and `move_features`), in one pass of Arrow
-    batches: of a long game's text this takes a fraction of what the expressions do. What comes out is the same."""
-    schema_ = ", ".join(f"{t} string" for t in _TAGS) + f", moves array<string>, evals array<int>, acc {ACCURACY}, mf {FEATURES}"
+    batches: of a long game's text this takes a fraction of what the expressions do. What comes out is the
+    same, unless moves are replayed on a `board`: then a game ends before its first move that isn't legal."""
+    return _extracted(records, board, False)
+
+
+def _extracted(records: DataFrame, board: bool, strict: bool) -> DataFrame:
+    schema_ = ", ".join(f"{t} string" for t in _TAGS) + f", moves array<string>, evals array<int>, acc {ACCURACY}, mf {FEATURES}" + (", error string, record string" if strict else "")
     kinds = to_arrow_schema(DataType.fromDDL(schema_))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
-                games = [_read(r or "") for r in batch.column(0).slice(at, 1024).to_pylist()]
-                columns = [[tags.get(t) for tags, _, _ in games] for t in _TAGS]
-                columns += [[m for _, m, _ in games], [e for _, _, e in games], [accuracy_of(e) for _, _, e in games], [features_of(m) for _, m, _ in games]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+                some = batch.column(0).slice(at, 1024).to_pylist()
+                games = [_tried(r, board) if strict else _converted(*_read(r or ""), board) for r in some]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*games, strict=True), kinds, strict=True)], schema=kinds)
 
     return records.select("record").mapInArrow(read, schema_)
 
@@ -128,7 +206,7 @@ def _player(name: Column) -> Column:
 
 
 def judged(games: DataFrame, *, speeds: Sequence[str] = SPEEDS, min_elo: int = MIN_ELO, max_elo: int = MAX_ELO) -> DataFrame:
-    """`parsed` games with speed, ratings and `reject`: why a game is left out, or null."""
+    """`parsed`, `extracted` or `quarantined` games with speed, ratings and `reject`: why a game is left out, or null."""
     white, black = F.col("WhiteElo").try_cast("int"), F.col("BlackElo").try_cast("int")
     rows = games.withColumn("speed", speed_bucket(F.coalesce("TimeControl", F.lit("")))).withColumn("white_rating", white).withColumn("black_rating", black)
     sound = (
@@ -141,7 +219,8 @@ def judged(games: DataFrame, *, speeds: Sequence[str] = SPEEDS, min_elo: int = M
         & F.col("speed").isNotNull() & (F.size("moves") >= MIN_PLIES)
     )
     rated = F.col("white_rating").between(min_elo, max_elo) & F.col("black_rating").between(min_elo, max_elo)
-    return rows.withColumn("reject", F.when(~sound, "filtered").when(~F.col("speed").isin(*speeds), "filtered_speed").when(~rated, "filtered_rating"))
+    error = F.col("error") if "error" in games.columns else F.lit(None).cast("string")
+    return rows.withColumn("reject", F.when(error.isNotNull(), error).when(~sound, "filtered").when(~F.col("speed").isin(*speeds), "filtered_speed").when(~rated, "filtered_rating"))
 
 
 def reject_counts(judged_games: DataFrame) -> DataFrame:

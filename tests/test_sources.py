@@ -202,3 +202,64 @@ def test_games_without_an_id_all_stay(spark):
     top = spark.createDataFrame([("a",)], "name string")
     both = collected(top, made("1", None, None), 5, lambda names: made("1", "2", None))
     assert sorted((r.game_id or "") for r in both.collect()) == ["", "", "", "1", "2"]
+
+
+def test_frames_by_many_tasks(tmp_path):
+    """Wherever frames and tasks begin, also within a record's first line, each record comes once."""
+    import random
+
+    import zstandard
+
+    from rookery.sources import frames
+
+    rnd = random.Random(1)
+    texts = [f'[Event "game {i}"]\n[White "w{i}"]\n\n1. e4 {{ not\r\n [Event }} ' + "x" * rnd.randint(0, 60) for i in range(40)]
+    whole = ("\n\n".join(texts) + "\n").encode()
+    pack = zstandard.ZstdCompressor(write_checksum=True).compress
+    for trial in range(150):
+        cuts = sorted({0, len(whole), *(rnd.randrange(len(whole)) for _ in range(rnd.randint(0, 60)))})
+        if trial % 3 == 0:  # at first lines, and within them
+            starts = [m + rnd.randint(0, 9) for m in range(len(whole)) if whole.startswith(b"\n[Event ", m)]
+            cuts = sorted({0, len(whole), *(s for s in starts if s < len(whole))})
+        path = tmp_path / f"{trial}.zst"
+        skip = b"\x50\x2a\x4d\x18\x03\x00\x00\x00abc"
+        path.write_bytes(skip + b"".join(pack(whole[a:b]) + skip * (rnd.random() < 0.1) for a, b in zip(cuts, cuts[1:], strict=False)))
+        found = frames.find_frames(str(path))
+        assert len(found) == len(cuts) - 1
+        bounds = sorted({0, len(found), *(rnd.randrange(len(found)) for _ in range(9))}) if trial % 2 else list(range(len(found) + 1))
+        got = [r.decode().rstrip() for a, b in zip(bounds, bounds[1:], strict=False) for r in frames.records_of(frames._Frames(str(path), found, a, b))]
+        assert got == [t.rstrip() for t in texts], trial
+    for bad in (b"plain text", pack(whole)[:-9]):
+        path.write_bytes(bad)
+        with pytest.raises(ValueError):
+            frames.find_frames(str(path))
+
+
+def test_frames_as_rows(spark, dump, tmp_path):
+    import zstandard
+
+    from rookery.sources import frames
+
+    plain = sorted(r.record for r in read_records(spark, str(dump)).collect())
+    at = frames.write_frames(read_records(spark, str(dump)).repartition(2), str(tmp_path / "out"), frame_records=2)
+    rows = frames.read_frames(spark, at, task_bytes=1)
+    assert sorted(r.record for r in rows.collect()) == plain and rows.rdd.getNumPartitions() >= 4
+    one = tmp_path / "one.zst"
+    one.write_bytes(zstandard.ZstdCompressor().compress(dump.read_bytes().replace(b"\n", b"\r\n")))
+    rows = frames.read_frames(spark, str(one))
+    assert sorted(r.record for r in rows.collect()) == plain and rows.rdd.getNumPartitions() == 1
+
+
+def test_damaged_records_are_set_aside(spark):
+    harm = {
+        "null": "  \n", "parse:EncodingError": GAME + "�", "parse:TagError": GAME.replace('[White "', "[White "), "parse:CommentError": GAME.replace(" }", ""),
+        "convert:OverflowError": GAME.replace("-2.5]", "#99999999999]"), "filtered": GAME.replace("1600", "many"),
+    }
+    records = spark.createDataFrame([(t,) for t in [GAME, None, *harm.values()]], "record string")
+    judged = pgn.judged(pgn.quarantined(records))
+    assert {r.reason: r.n for r in reject_counts(judged).collect()} == dict.fromkeys(harm, 1) | {"kept": 1, "null": 2}
+    aside = {(r.reason, r.record) for r in pgn.set_aside(judged).collect()}
+    assert aside == {(k, v) for k, v in harm.items() if k != "filtered"} | {("null", None)}
+    assert games_of(judged).count() == 2
+    legal = pgn.extracted(spark.createDataFrame([(GAME.replace("3. Qh5", "3. Qh7"),)], "record string"), board=True).first()
+    assert legal.moves == ["e4", "e5", "d3", "Nf6"] and len(legal.evals) == 4 and legal.mf.white_early_pawn == 2
