@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import fallback_color, family, residual, shrink
+from ..functions import fallback_color, family, residual, round_binary, shrink
 
 
 def with_owner(games: DataFrame, dim: DataFrame | None = None) -> DataFrame:
@@ -93,7 +93,7 @@ def recommendation_document(games: DataFrame, clustered: DataFrame, feature_colu
     table = residual_table(games, members, min_games=vs_min_games, shrinkage_k=shrinkage_k)
 
     def residuals(color: str) -> Column:
-        return F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("color") == color, F.struct("family", F.round("resid", 4).alias("r"))))))
+        return F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("color") == color, F.struct("family", round_binary("resid", 4).alias("r"))))))
 
     maps = table.groupBy("cohort").agg(F.struct(residuals("white").alias("white"), residuals("black").alias("black")).alias("family_residuals"))
     enough = F.col("n_analyzed_games") >= min_analyzed

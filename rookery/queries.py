@@ -8,13 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import accuracy, epoch_ms, expected_score, fallback_color, family, iso_date, last_mover, move_features, ply_count, residual, speed_bucket, status
+from .functions import accuracy, epoch_ms, expected_score, fallback_color, family, iso_date, last_mover, move_features, ply_count, residual, round_binary, speed_bucket, status
 from .functions.board import with_board_features
 from .operators import compare, features, rankings, sampling
 from .plans import density, models, neighbours
 from .schema import V2_21
 from .shared import shared_dir
 from .sources import feed, frames, openings_dim, pgn
+from .sources.openings import stored_openings, write_openings
 from .view import LINES, LINES_SQL, SQL, TRANSCRIPTS_SQL, cut_lines, games, openings, played, table, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -723,3 +724,40 @@ def q_stream_blocks(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{at}/games")
     blocks.start_blocks(stream, f"{at}/blocks", f"{at}/checkpoint").awaitTermination()
     return rounded(blocks.current_blocks(spark, f"{at}/blocks"))
+
+
+@query(f"with {SQL}, {_FEATURES_SQL} select {_select({})} from agg")
+def q_stream_features(spark: SparkSession, d: str) -> DataFrame:
+    """Players' features kept up by a stream over the games, as files: equal to those of a batch."""
+    from .streaming import players
+
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    games(spark, d).repartition(8).write.parquet(f"{at}/games")
+    stream = spark.readStream.schema(spark.read.parquet(f"{at}/games").schema).option("maxFilesPerTrigger", 4).parquet(f"{at}/games")
+    players.start_features(stream, f"{at}/features", f"{at}/checkpoint", MIN_GAMES).awaitTermination()
+    return rounded(players.current_features(spark, f"{at}/features"), 9)
+
+
+@query("select l_partkey % 20000 k, count(*) n, min(cast(printf('%.4f', (l_partkey % 20000) / 20000e0) as double)) r from lineitem group by 1")
+def q_round_binary(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of which half lie at a five in the fifth place, as far as binary ones can."""
+    k = F.col("l_partkey") % 20000
+    return table(spark, d, "lineitem").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.min(round_binary(k / 20000.0, 4)).alias("r"))
+
+
+@query(f"with {_DOCUMENT_SQL} select id, color, family, cast(printf('%.4f', resid) as double) + 0e0 resid from d_t")
+def q_document_residuals(spark: SparkSession, d: str) -> DataFrame:
+    """The residuals of families in the recommendation document."""
+    clusters = q_recommendation_document(spark, d).select(F.explode("clusters").alias("c")).select("c.id", F.explode(F.array(*(F.struct(F.lit(s).alias("color"), F.col(f"c.family_residuals.{s}").alias("m")) for s in ("white", "black")))).alias("x"))
+    return clusters.select("id", "x.color", F.explode("x.m").alias("family", "resid")).withColumn("resid", F.col("resid") + F.lit(0.0))
+
+
+@query("""with r as (select p_name "name", p_size%9+1 plies, row_number() over (partition by p_name order by p_size%9+1, p_brand) rn from part) select "name", case when plies%2=1 then 'white' else 'black' end color from r where rn=1""")
+def q_stored_openings(spark: SparkSession, d: str) -> DataFrame:
+    """The dimension of part names written, replaced by a later one and read back."""
+    at = f"{shared_dir(spark)}/openings-{uuid.uuid4().hex}"
+    moves = F.slice(F.split(F.lit(LINES[0][0]), " "), 1, (F.col("p_size") % 9 + 1).cast("int"))
+    lines = table(spark, d, "part").select(F.col("p_brand").alias("eco"), F.col("p_name").alias("name"), F.array_join(moves, " ").alias("pgn"))
+    write_openings(openings_dim(lines.where("eco < 'Brand#3'")), at)
+    write_openings(openings_dim(lines), at)
+    return stored_openings(spark, at)

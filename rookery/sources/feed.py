@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from .. import schema
 
@@ -66,6 +66,9 @@ class FeedReader(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _StreamReader(self.options)
+
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
@@ -102,6 +105,46 @@ class _Reader(DataSourceReader):
             time.sleep(float(o.get("pause", 1)))
 
 
+class _StreamReader(DataSourceStreamReader):
+    """A stream of the same rows. Its offset is a place in `users_file`, a name a line, to which names are
+    added at the end: a batch is the users since the one before, and one that fails is asked for again. `tasks`
+    (1) share the rate: each waits that many times `pause` between users. A last line without its end isn't read yet."""
+
+    def __init__(self, options: dict):
+        self.reader, self.path = _Reader(options), options["users_file"].removeprefix("file://")
+        self.tasks = int(options.get("tasks", 1))
+
+    def _users(self) -> list[str]:
+        with open(self.path, encoding="utf-8") as f:
+            return [line.strip() for line in f if line.endswith("\n")]
+
+    def initialOffset(self) -> dict:
+        return {"users": 0}
+
+    def latestOffset(self) -> dict:
+        return {"users": len(self._users())}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        users = self._users()[start["users"] : end["users"]]
+        return [_Users([u for u in users[k :: self.tasks] if u]) for k in range(min(self.tasks, len(users)))]
+
+    def read(self, partition: _Users) -> Iterator[tuple]:
+        shared = {**self.reader.options, "pause": str(float(self.reader.options.get("pause", 1)) * self.tasks)}
+        yield from _Reader(shared).read(partition)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept for a batch that is done."""
+
+    def stop(self) -> None:
+        """Nothing is open between batches."""
+
+
+def feed_stream(spark: SparkSession, users_file: str, url: str, **options: str) -> DataFrame:
+    """Rows (target, line, error) of the users that a file names, as it grows; options as of FeedReader, and `tasks`."""
+    spark.dataSource.register(FeedReader)
+    return spark.readStream.format("games_feed").options(users_file=users_file, url=url, **options).load()
+
+
 def _checked(user: str, line: bytes) -> tuple:
     """A row with the line, or with the error if it isn't JSON."""
     try:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import last_mover, ply_count
 from ..functions.board import legal_lines
+from .published import publish, published
 
 
 def read_openings(spark: SparkSession, path: str) -> DataFrame:
@@ -21,3 +22,12 @@ def openings_dim(openings: DataFrame, *, replay: bool = True) -> DataFrame:
     rows = legal_lines(openings.select("name", "eco", "pgn")) if replay else openings.select("name", "eco", "pgn", last_mover("pgn").alias("color"), ply_count("pgn").alias("plies")).where("color is not null")
     first = F.row_number().over(Window.partitionBy("name").orderBy("plies", "eco", "pgn"))
     return rows.withColumn("rn", first).where("rn = 1").select("name", "color")
+
+
+def write_openings(dim: DataFrame, path: str) -> None:
+    """The dimension at rest: readers see the old one or the new one."""
+    publish(dim.select("name", "color"), path)
+
+
+def stored_openings(spark: SparkSession, path: str) -> DataFrame:
+    return published(spark, path)

@@ -36,9 +36,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.when(F.startswith(text, F.lit("[Event ")) | (text == ""), text).otherwise(F.concat(F.lit("[Event "), text)).alias("record")).where("record <> ''")
 
 
-def write_records(spark: SparkSession, path: str, out: str, files: int = 200) -> None:
-    """Spreads the records of a dump over many files."""
-    read_records(spark, path).repartition(files).write.mode("overwrite").parquet(out)
+def write_records(spark: SparkSession, path: str, out: str, files: int | None = None) -> None:
+    """Spreads the records of a dump over `files` files, or over as many as its bytes fill (spark.sql.adaptive.advisoryPartitionSizeInBytes each)."""
+    records = read_records(spark, path)
+    (records.hint("rebalance") if files is None else records.repartition(files)).write.mode("overwrite").parquet(out)
 
 
 def transcode(spark: SparkSession, path: str, out: str) -> None:

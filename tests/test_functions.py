@@ -79,3 +79,18 @@ def test_dates_and_labels(spark):
     assert row.select(f.iso_date(F.lit(1776260521000)), f.iso_date(F.lit(None).cast("bigint"))).first()[:] == ("2026-04-15", None)
     assert row.select(f.display_result(F.lit(None).cast("string"), F.lit(True)), f.display_result(F.lit("black"), F.lit(False))).first()[:] == ("½", "win")
     assert row.select(f.eco_letter(F.lit("B07")), f.eco_number(F.lit("B07")), f.eco_number(F.lit("Bxx"))).first()[:] == ("B", 7, None)
+
+
+def test_rounding_by_the_binary_value(spark):
+    import random
+
+    from rookery.functions import round_binary
+
+    rnd = random.Random(2)
+    values = [0.00015, 0.00025, -0.00015, 2.675, 0.5, 1.5, 0.0, -0.0, 1e300, float("inf"), float("nan"), 0.12345, 0.99995, 123456.00005, None]
+    values += [rnd.randrange(-10**6, 10**6) / 20000 for _ in range(3000)] + [rnd.uniform(-1, 1) for _ in range(1000)] + [rnd.randrange(1, 1 << 20) / (1 << 12) for _ in range(1000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 2, 4):
+        for r in df.select("x", round_binary("x", digits).alias("r")).collect():
+            want = r.x if r.x is None or r.x != r.x or abs(r.x) == float("inf") else round(r.x, digits)
+            assert r.r == want or (want is not None and want != want and r.r != r.r), (r.x, digits, r.r)

@@ -263,3 +263,57 @@ def test_damaged_records_are_set_aside(spark):
     assert games_of(judged).count() == 2
     legal = pgn.extracted(spark.createDataFrame([(GAME.replace("3. Qh5", "3. Qh7"),)], "record string"), board=True).first()
     assert legal.moves == ["e4", "e5", "d3", "Nf6"] and len(legal.evals) == 4 and legal.mf.white_early_pawn == 2
+
+
+def test_a_table_changes_at_once_or_not_at_all(spark, tmp_path):
+    from rookery.sources import published as p
+
+    at = str(tmp_path / "t")
+    with pytest.raises(ValueError, match="nothing"):
+        p.published(spark, at)
+    p.publish(spark.range(10), at)
+    broken = spark.range(100).select(F.when(F.col("id") == 99, F.raise_error(F.lit("lost")).cast("bigint")).otherwise(F.col("id")).alias("id"))
+    for write in (p.publish, p.add_chunk):
+        with pytest.raises(Exception, match="lost"):
+            write(broken, at)
+        assert sorted(r.id for r in p.published(spark, at).collect()) == list(range(10))
+    for k in range(1, 4):
+        p.add_chunk(spark.range(10 * k, 10 * k + 10), at)
+    assert p.published(spark, at).count() == 40 and len(p._parts(spark, at)) == 4
+    p.compact(spark, at)
+    assert sorted(r.id for r in p.published(spark, at).collect()) == list(range(40)) and len(p._parts(spark, at)) == 1
+    p.publish(spark.range(1000).repartition(50), at, file_bytes=64 << 20)
+    assert len(p.published(spark, at).inputFiles()) == 1
+
+
+def test_a_killed_feed_goes_on(spark, tmp_path):
+    """Users are added as the stream runs; a batch fails midway, and is asked for again: no user is lost or comes twice."""
+    from rookery.sources.feed import feed_stream
+
+    names = tmp_path / "names"
+    for u in "abcdef":
+        (tmp_path / f"{u}.ndjson").write_text("".join(json.dumps({"id": f"{u}{k}"}) + "\n" for k in range(3)))
+    out, failing = {}, [True]
+
+    def put(batch, number):
+        rows = batch.collect()
+        if number == 1 and failing.pop():
+            raise RuntimeError("killed")
+        out[number] = [(r.target, json.loads(r.line)["id"]) for r in rows if r.error is None]
+
+    def run():
+        stream = feed_stream(spark, str(names), f"file://{tmp_path}/{{user}}.ndjson", pause="0", tasks="2")
+        stream.writeStream.foreachBatch(put).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+
+    failing[:] = [False, True]
+    names.write_text("a\nb\n")
+    run()
+    names.write_text("a\nb\nc\nd\n")
+    with pytest.raises(Exception, match="killed"):
+        run()
+    names.write_text("a\nb\nc\nd\ne\nf")  # the last name isn't whole yet
+    run()
+    names.write_text("a\nb\nc\nd\ne\nf\n")
+    run()
+    got = [x for rows in out.values() for x in rows]
+    assert sorted(got) == [(u, f"{u}{k}") for u in "abcdef" for k in range(3)] and sorted(x for x, _ in out[1]) == list("cccddd")
