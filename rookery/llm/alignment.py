@@ -30,7 +30,10 @@ from .base import by_bytes, stage, values
 from .tokens import _PLAIN
 
 #: Bytes of text that are tokenised together, pieces that a worker remembers, distinct pairs of ids that go to all tasks.
-RUN_BYTES, PIECES_KEPT, PAIRS = 2 << 20, 400_000, 1 << 20
+RUN_BYTES, PIECES_KEPT, PAIRS = 1 << 19, 300_000, 1 << 20
+
+#: Words that a tokenizer gets at once: what it says of each takes far more room than its ids.
+AT_ONCE = 4096
 
 #: White space that another one follows: beyond such places pieces aren't told apart by bytes alone.
 _IRREGULAR = re.compile(rb"(?:[\t-\r\x1c- ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf)[\t-\r\x1c- ]")
@@ -85,7 +88,8 @@ class Pair:
         self.sound = np.zeros(0, bool)  # whether the tokens' bytes are the piece's
 
     def _words_a(self, words: list[bytes]) -> list[bytes]:
-        ids, n = _flat([e.ids for e in self.a.encode_batch_fast([w.decode(errors="replace") for w in words], add_special_tokens=False)])
+        asked = [w.decode(errors="replace") for w in words]
+        ids, n = _flat([e.ids for k in range(0, len(asked), AT_ONCE) for e in self.a.encode_batch_fast(asked[k : k + AT_ONCE], add_special_tokens=False)])
         data, ends = ids.tobytes(), (4 * np.cumsum(n)).tolist()
         return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
@@ -113,7 +117,7 @@ class Pair:
         ids_a, n_a = np.frombuffer(b"".join(in_order), "<u4"), np.array([len(x) // 4 for x in in_order], np.int64)
         # B puts a blank before what it gets: it stands for the piece's own space, or else it goes.
         asked = [(w[1:] if w[:1] == b" " else w).decode(errors="replace") for w in pieces]
-        lists = self.b.encode(asked, num_threads=1)
+        lists = [ids for k in range(0, len(asked), AT_ONCE) for ids in self.b.encode(asked[k : k + AT_ONCE], num_threads=1)]
         for k, (w, ids) in enumerate(zip(pieces, lists, strict=True)):
             if w[:1] != b" ":
                 lists[k] = ids[1:] if ids[:1] == [self.blank] else [0]
