@@ -97,6 +97,20 @@ def iso_date(ms: Column | str) -> Column:
     return F.date_format(F.timestamp_millis(col(ms)), "yyyy-MM-dd")
 
 
+#: Units of a size, each 1,024 of the one before.
+UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
+
+
+def byte_label(size: Column | str) -> Column:
+    """A size in the largest unit that leaves 1 or more before the point, to one place: '28.0 GB'."""
+    n, label = col(size).cast("double"), None
+    for k, unit in enumerate(UNITS):
+        told = F.concat(F.format_string("%.1f", round_binary(n / float(1024**k), 1)), F.lit(f" {unit}"))
+        small = (n < float(1024 ** (k + 1))) | F.lit(k + 1 == len(UNITS))
+        label = F.when(small, told) if label is None else label.when(small, told)
+    return F.when(n.isNotNull(), label)
+
+
 def clock_label(initial: Column | str, increment: Column | str) -> Column:
     return F.concat(F.floor(col(initial) / 60).cast("string"), F.lit("+"), col(increment).cast("string"))
 

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import accuracy, epoch_ms, expected_score, fallback_color, family, iso_date, last_mover, move_features, ply_count, residual, round_binary, speed_bucket, status
+from .functions import accuracy, byte_label, clock_label, display_result, epoch_ms, expected_score, fallback_color, family, iso_date, last_mover, move_features, ply_count, residual, round_binary, speed_bucket, status
 from .functions.board import with_board_features
 from .operators import compare, features, rankings, sampling
 from .plans import density, models, neighbours
 from .schema import V2_21
 from .shared import shared_dir
 from .sources import feed, frames, openings_dim, pgn
-from .sources.openings import stored_openings, write_openings
+from .sources.openings import read_openings, stored_openings, write_openings
 from .view import LINES, LINES_SQL, SQL, TRANSCRIPTS_SQL, cut_lines, games, openings, played, table, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -761,3 +762,86 @@ def q_stored_openings(spark: SparkSession, d: str) -> DataFrame:
     write_openings(openings_dim(lines.where("eco < 'Brand#3'")), at)
     write_openings(openings_dim(lines), at)
     return stored_openings(spark, at)
+
+
+@query("""with t as (select o_orderkey % 3 w, o_orderkey % 2 = 0 white, o_orderkey % 1000 secs, o_custkey % 15 inc from orders)
+select case w when 0 then '½' when 1 then case when white then 'win' else 'loss' end else case when white then 'loss' else 'win' end end result, concat(cast(secs // 60 as varchar), '+', cast(inc as varchar)) clock, count(*) n from t group by 1, 2""")
+def q_display_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Results and clocks as a table shows them."""
+    o = table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    winner = F.when(key % 3 == 1, "white").when(key % 3 == 2, "black")
+    return o.groupBy(display_result(winner, key % 2 == 0).alias("result"), clock_label(key % 1000, F.col("o_custkey") % 15).alias("clock")).agg(F.count("*").alias("n"))
+
+
+@query("""with t as (select o_orderkey, o_orderkey * power(37, o_orderkey % 9) n from orders),
+k as (select *, least(5, case when n < 1024 then 0 when n < power(1024, 2) then 1 when n < power(1024, 3) then 2 when n < power(1024, 4) then 3 when n < power(1024, 5) then 4 else 5 end) u from t)
+select o_orderkey, concat(printf('%.1f', n / power(1024, u)), ' ', ['B', 'KB', 'MB', 'GB', 'TB', 'PB'][u + 1]) label from k""")
+def q_byte_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", byte_label(F.col("o_orderkey") * F.pow(F.lit(37), F.col("o_orderkey") % 9)).alias("label"))
+
+
+@query(f"with {_NEAR_SQL} select count(*) k, round(min(avg_rating),9)+0e0 rating_min, round(max(avg_rating),9)+0e0 rating_max, round(avg(avg_rating),9)+0e0 rating_mean from nn")
+def q_neighbour_ratings(spark: SparkSession, d: str) -> DataFrame:
+    """Ratings of the players nearest to the first one."""
+    rows, me, name = _near(spark, d)
+    players = _players(spark, d).select(F.col("username").alias("id"), "avg_rating")
+    return rounded(neighbours.neighbour_ratings(neighbours.nearest(rows, me, _NEAR, name).join(players, "id")), 9)
+
+
+@query("""with c as (select c_custkey % 5 g, avg(c_acctbal) bal, avg(c_nationkey) nat from customer group by 1), s as (select s_suppkey % 5 g, avg(s_acctbal) bal, avg(s_nationkey) nat from supplier group by 1)
+select c.g a_cluster, s.g b_cluster, f feature, round(case f when 'bal' then c.bal else c.nat end,6)+0e0 a, round(case f when 'bal' then s.bal else s.nat end,6)+0e0 b from c join s on s.g = (c.g + 2) % 5, (select unnest(['bal', 'nat']) f)""")
+def q_matched_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of customers beside groups of suppliers, along a pairing."""
+    a = compare.cluster_summary(table(spark, d, "customer").select((F.col("c_custkey") % 5).alias("cluster"), F.col("c_acctbal").alias("bal"), F.col("c_nationkey").alias("nat")), ["bal", "nat"])
+    b = compare.cluster_summary(table(spark, d, "supplier").select((F.col("s_suppkey") % 5).alias("cluster"), F.col("s_acctbal").alias("bal"), F.col("s_nationkey").alias("nat")), ["bal", "nat"])
+    mapping = a.select(F.col("cluster").alias("a_cluster"), ((F.col("cluster") + 2) % 5).alias("b_cluster"))
+    return rounded(compare.matched_summaries(mapping, a, b, ["bal", "nat"]))
+
+
+@query("""with r as (select *, row_number() over (partition by user_id order by ts desc, event_id) rn from events)
+select user_id, count(*) n, min(event_id) low, max(event_id) high from r where rn <= greatest(20, least(200, user_id % 240)) group by 1""")
+def q_latest_games(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's latest events, as many as the user asks for, within bounds."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("username"), F.unix_micros(F.col("ts").cast("timestamp")).alias("created_at"), F.col("event_id").alias("game_id"))
+    return compare.latest_games(e, F.col("username") % 240).groupBy(F.col("username").alias("user_id")).agg(F.count("*").alias("n"), F.min("game_id").alias("low"), F.max("game_id").alias("high"))
+
+
+@query("""with o as (select *, 700 + o_custkey % 1500 we, 900 + o_orderkey % 1500 be, o_orderkey % 7 k, o_orderkey in (select l_orderkey from lineitem) there from orders)
+select case when k in (0, 1, 2, 3) then 'filtered' when k = 4 then 'filtered_speed' when we between 1200 and 1900 and be between 1200 and 1900 then 'kept' else 'filtered_rating' end reason, count(*) n from o where there group by 1""")
+def q_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts that are unrated, of no code, of no clock, too short or too fast by their number; and a narrower band of ratings."""
+    rows = transcripts(spark, d).withColumn("k", F.regexp_extract("record", r"org/g(\d+)", 1).cast("bigint") % 7)
+    r = F.col("record")
+    made = [F.replace(r, F.lit('[ECO "'), F.lit('[Rated "False"]\n[ECO "')), F.replace(r, F.lit('[ECO "B20"]'), F.lit('[ECO ""]')), F.regexp_replace(r, r'\[TimeControl "[^"]*', '[TimeControl "-'), F.regexp_replace(r, r"(?s)\n\n.*", "\n\n1. e4 e5 2. Nf3 1-0"), F.regexp_replace(r, r'\[TimeControl "[^"]*', '[TimeControl "20+1')]
+    for k, other in enumerate(made):
+        rows = rows.withColumn("record", F.when(F.col("k") == k, other).otherwise(r))
+    return pgn.reject_counts(pgn.judged(pgn.extracted(rows.select("record")), min_elo=1200, max_elo=1900))
+
+
+def _headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A header before the rows of a task."""
+    yield pa.RecordBatch.from_arrays([pa.array(["eco\tname\tpgn"])], ["value"])
+    yield from batches
+
+
+@query("""with r as (select p_name "name", p_size%9+1 plies, row_number() over (partition by p_name order by p_size%9+1, p_brand) rn from part) select "name", case when plies%2=1 then 'white' else 'black' end color from r where rn=1""")
+def q_openings_tsv(spark: SparkSession, d: str) -> DataFrame:
+    """Part names as opening lines written as tab-separated text, with lines that lack fields, and read back."""
+    at = f"{shared_dir(spark)}/openings-{uuid.uuid4().hex}"
+    moves = F.array_join(F.slice(F.split(F.lit(LINES[0][0]), " "), 1, (F.col("p_size") % 9 + 1).cast("int")), " ")
+    lines = table(spark, d, "part").select(F.concat_ws("\t", "p_brand", "p_name", moves).alias("value"))
+    short = table(spark, d, "nation").select("n_name")
+    # A header stands on top of each file.
+    spread = lines.unionByName(short.toDF("value")).repartition(4)
+    spread.mapInArrow(_headed, "value string").write.text(at)
+    return openings_dim(read_openings(spark, at))
+
+
+@query("""with m as (select var_pop(l_quantity) a, var_pop(l_tax * 400) c, covar_pop(l_quantity, l_tax * 400) b from lineitem), e as (select (a + c) / 2 mid, sqrt(power((a - c) / 2, 2) + b * b) half from m)
+select unnest([1, 2]) component, round(unnest([(mid + half) / (2 * mid), (mid - half) / (2 * mid)]), 6) + 0e0 share from e""")
+def q_pca_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of two components' variance, against the closed form of a 2x2 matrix."""
+    rows = models.vectors(table(spark, d, "lineitem").withColumn("t", F.col("l_tax") * 400), "l_orderkey", ["l_quantity", "t"])
+    shares = models.pca(rows, 2)[1]
+    return spark.createDataFrame([(k + 1, round(s, 6) + 0.0) for k, s in enumerate(shares)], "component int, share double")

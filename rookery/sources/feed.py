@@ -162,6 +162,15 @@ def read_leaderboard(answer: DataFrame) -> DataFrame:
     return rows.select((F.col("at") + 1).alias("rank"), F.col("u.username").alias("name"), F.map_values("u.perfs")[0]["rating"].alias("rating"), F.col("u.title").alias("title"))
 
 
+def fetch_leaderboard(spark: SparkSession, url: str, speed: str, **options: str) -> DataFrame:
+    """`read_leaderboard` of a service's answer for a speed: `url` has {user} in the speed's place. A
+    service that doesn't answer is an error; options as of FeedReader (retries, pause)."""
+    spark.dataSource.register(FeedReader)
+    told = spark.read.format("games_feed").options(**({"pause": "0"} | options), users=speed, url=url).load()
+    # One row; the error is raised where the answer would be read.
+    return read_leaderboard(told.select(F.when(F.col("error").isNull(), F.col("line")).otherwise(F.raise_error(F.concat(F.lit("no leaderboard: "), "error"))).alias("value")))
+
+
 def collected(top: DataFrame, first: DataFrame, n: int, fetch: Callable[[DataFrame], DataFrame], *, below: int = 2200, seed: int = 42) -> DataFrame:
     """The two stages of a collection: games (`schema.GAMES`) of the players of a
     leaderboard (`top`: name), and those that `fetch` gets for `n` of their weaker opponents. A game

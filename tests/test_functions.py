@@ -94,3 +94,11 @@ def test_rounding_by_the_binary_value(spark):
         for r in df.select("x", round_binary("x", digits).alias("r")).collect():
             want = r.x if r.x is None or r.x != r.x or abs(r.x) == float("inf") else round(r.x, digits)
             assert r.r == want or (want is not None and want != want and r.r != r.r), (r.x, digits, r.r)
+
+
+def test_sizes(spark):
+    from rookery.functions import byte_label
+
+    sizes = {0: "0.0 B", 1023: "1023.0 B", 1024: "1.0 KB", 1280: "1.2 KB", 1792: "1.8 KB", 30 * 1024**3: "30.0 GB", 5 * 1024**6: "5120.0 PB"}
+    df = spark.createDataFrame([(n,) for n in [*sizes, None]], "n long")
+    assert {r.n: r.label for r in df.select("n", byte_label("n").alias("label")).collect()} == sizes | {None: None}

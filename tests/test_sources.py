@@ -317,3 +317,13 @@ def test_a_killed_feed_goes_on(spark, tmp_path):
     run()
     got = [x for rows in out.values() for x in rows]
     assert sorted(got) == [(u, f"{u}{k}") for u in "abcdef" for k in range(3)] and sorted(x for x, _ in out[1]) == list("cccddd")
+
+
+def test_leaderboard_is_fetched(spark, tmp_path):
+    from rookery.sources.feed import fetch_leaderboard
+
+    (tmp_path / "blitz").write_text(json.dumps({"users": [{"username": "Ann", "perfs": {"blitz": {"rating": 2900}}}]}))
+    url = f"file://{tmp_path}/{{user}}"
+    assert [tuple(r) for r in fetch_leaderboard(spark, url, "blitz").collect()] == [(1, "Ann", 2900, None)]
+    with pytest.raises(Exception, match="no leaderboard"):
+        fetch_leaderboard(spark, url, "rapid", retries="0").collect()
