@@ -14,7 +14,7 @@ from .functions.board import with_board_features
 from .operators import compare, features, rankings, sampling
 from .plans import density, models, neighbours
 from .schema import V2_21
-from .shared import shared_dir
+from .shared import shared_dir, stage
 from .sources import feed, frames, openings_dim, pgn
 from .sources.openings import read_openings, stored_openings, write_openings
 from .view import LINES, LINES_SQL, SQL, TRANSCRIPTS_SQL, cut_lines, games, openings, played, table, transcripts
@@ -45,8 +45,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def _players(spark: SparkSession, d: str) -> DataFrame:
-    return features.player_features(games(spark, d), MIN_GAMES)
+def _players(spark: SparkSession, d: str, view: DataFrame | None = None) -> DataFrame:
+    return features.player_features(games(spark, d) if view is None else view, MIN_GAMES)
 
 
 _FEATURES_SQL = f"""
@@ -171,9 +171,9 @@ def q_feature_delta(spark: SparkSession, d: str) -> DataFrame:
     return rounded(compare.feature_delta(a, b, V2_21))
 
 
-def _clustered(spark: SparkSession, d: str) -> DataFrame:
+def _clustered(spark: SparkSession, d: str, view: DataFrame | None = None) -> DataFrame:
     """Players with a cluster by their number."""
-    filled = features.impute(_players(spark, d))
+    filled = features.impute(_players(spark, d, view))
     return filled.withColumn("cluster", (F.regexp_extract("username", r"(\d+)", 1).cast("bigint") % 5).cast("int"))
 
 
@@ -539,7 +539,8 @@ def q_versus_matchups(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_recommendation_document(spark: SparkSession, d: str) -> DataFrame:
-    return rankings.recommendation_document(games(spark, d), _clustered(spark, d), V2_21, dim=openings(spark, d), min_opening_games=MIN_GAMES, vs_min_games=MIN_GAMES, shrinkage_k=SHRINK)
+    view = stage(games(spark, d), "games")  # read for features, rankings and residuals
+    return rankings.recommendation_document(view, _clustered(spark, d, view), V2_21, dim=openings(spark, d), min_opening_games=MIN_GAMES, vs_min_games=MIN_GAMES, shrinkage_k=SHRINK)
 
 
 @query()
@@ -552,10 +553,11 @@ def q_recommend_answer(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_versus(spark: SparkSession, d: str) -> DataFrame:
     """The first and the last player."""
-    players = _clustered(spark, d).withColumn("name", F.concat(F.lit("Cluster "), "cluster")).withColumn("blurb", F.lit(""))
+    view = stage(games(spark, d), "games")
+    players = stage(_clustered(spark, d, view), "players").withColumn("name", F.concat(F.lit("Cluster "), "cluster")).withColumn("blurb", F.lit(""))
     ends = players.agg(F.min("username").alias("lo"), F.max("username").alias("hi"))
     a, b = (players.join(F.broadcast(ends), F.col("username") == F.col(x)).drop("lo", "hi") for x in ("lo", "hi"))
-    t = rankings.residual_table(games(spark, d), players.select("username", F.col("cluster").alias("cohort")), min_games=MIN_GAMES, shrinkage_k=SHRINK)
+    t = rankings.residual_table(view, players.select("username", F.col("cluster").alias("cohort")), min_games=MIN_GAMES, shrinkage_k=SHRINK)
     return compare.versus(a, b, t, V2_21)
 
 
