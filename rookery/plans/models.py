@@ -88,6 +88,15 @@ def lloyd_step(assigned: DataFrame) -> DataFrame:
     return each.groupBy("cluster").agg(F.max("n").alias("size"), F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centre"))
 
 
+def refine(rows: DataFrame, centres: Sequence[Sequence[float]], rounds: int) -> list[list[float]]:
+    """Centres after so many rounds of assigning and averaging from given ones (those of an earlier model, say); a centre that no row is nearest to stays."""
+    now = [list(map(float, c)) for c in centres]
+    for _ in range(rounds):
+        for r in lloyd_step(assign(rows, now)).collect():  # a row a cluster
+            now[r["cluster"]] = list(r["centre"])
+    return now
+
+
 def inertia(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.sum(F.col("dist") * F.col("dist")).alias("inertia"))
 

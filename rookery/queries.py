@@ -396,6 +396,24 @@ def q_lloyd_step(spark: SparkSession, d: str) -> DataFrame:
     return rounded(models.lloyd_step(_assigned(spark, d)).select("cluster", F.posexplode("centre").alias("i", "m"), "size"))
 
 
+def _rounds_sql(rounds: int = 3) -> str:
+    steps = [_V, "c0 as (select id k, f from v where id < 5)"]
+    for r in range(rounds):
+        steps.append(f"a{r} as materialized (select id, arg_min(k, d) k from (select v.id, c.k, list_distance(v.f, c.f) d from v, c{r} c) group by 1)")
+        steps.append(f"c{r + 1} as materialized (select k, list(m order by i) f from (select k, i, avg(f[i+1]) m from (select a.k, v.f, unnest(range(64)) i from a{r} a join v using (id)) group by 1, 2) group by 1)")
+    return f"with {', '.join(steps)} select cast(k as int) \"cluster\", cast(i as int) i, round(f[i+1],6)+0e0 m from (select k, f, unnest(range(64)) i from c{rounds})"
+
+
+@query(_rounds_sql())
+def q_kmeans_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Three rounds of K-Means from the first five vectors."""
+    rows = stage(_embedded(spark, d).select("id", "features"), "vectors")
+    seeds = {r["id"]: list(r["features"]) for r in rows.where("id < 5").collect()}
+    found = models.refine(rows, [seeds[i] for i in sorted(seeds)], 3)
+    one = spark.createDataFrame(list(enumerate(found)), "cluster int, centre array<double>")
+    return rounded(one.select("cluster", F.posexplode("centre").alias("i", "m")))
+
+
 @query(f"with {_ASSIGN} select round(sum(dist*dist),6)+0e0 inertia from a")
 def q_inertia(spark: SparkSession, d: str) -> DataFrame:
     return rounded(models.inertia(_assigned(spark, d)))
