@@ -13,7 +13,7 @@ from .functions import accuracy, byte_label, clock_label, display_result, epoch_
 from .functions.board import with_board_features
 from .operators import compare, features, rankings, sampling
 from .plans import density, models, neighbours
-from .schema import V2_21
+from .schema import GAMES, V2_21
 from .shared import shared_dir, stage
 from .sources import feed, frames, openings_dim, pgn
 from .sources.openings import read_openings, stored_openings, write_openings
@@ -865,3 +865,50 @@ def q_pca_shares(spark: SparkSession, d: str) -> DataFrame:
     rows = models.vectors(table(spark, d, "lineitem").withColumn("t", F.col("l_tax") * 400), "l_orderkey", ["l_quantity", "t"])
     shares = models.pca(rows, 2)[1]
     return spark.createDataFrame([(k + 1, round(s, 6) + 0.0) for k, s in enumerate(shares)], "component int, share double")
+
+
+_MODEL = {"columns": _STYLE, "scaler": [(100.0, 200.0), (12.0, 3.0), (0.3, 0.1)], "centres": [[0.0, 0.0, 0.0], [1.0, -1.0, 0.5], [-1.0, 0.5, 1.0]]}
+_EVERYONE = _FEATURES_SQL.replace(f" having count(*)>={MIN_GAMES}", "")
+
+
+@query(f"""with {SQL}, {_EVERYONE}, s as (select username, [(avg_rating - 100e0) / 200e0, (avg_moves - 12e0) / 3e0, (draw_rate - 0.3e0) / 0.1e0] f from agg),
+c as (select unnest([0, 1, 2]) k, unnest({_MODEL["centres"]}) m), n as (select username, k, list_distance(f, cast(m as double[])) d, row_number() over (partition by username order by list_distance(f, cast(m as double[])), k) rn from s, c)
+select username, cast(k as int) "cluster", round(d, 6) + 0e0 dist from n where rn = 1""")
+def q_live_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Every player placed by a model that was stored and loaded again."""
+    at = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    models.save_model(spark, at, _MODEL["columns"], _MODEL["scaler"], _MODEL["centres"], {f"mean_{c}": 0.5 for c in features.FROM_ALL})
+    return rounded(features.live_profile(games(spark, d), models.load_model(spark, at)).select("username", "cluster", "dist"))
+
+
+def _told(rows: DataFrame, name: Column, opponent: Column, rating: Column, game: Column) -> DataFrame:
+    """Rows of games with these columns, the others null."""
+    known = {"username": name, "opponent_username": opponent, "opponent_rating": rating, "game_id": game}
+    return rows.select(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in GAMES))
+
+
+@query("""with g as (select o_orderkey k, concat('C', o_custkey) u, concat('D', o_custkey % 89) o, o_orderkey % 3000 r, o_custkey % 10 = 0 top from orders),
+names as (select distinct lower(o) n from g where top and r < 2200 and r <> 0)
+select 'first' stage, count(*) games, count(distinct u) players from g where top union all select 'second', count(*), count(distinct n) from names join g on lower(g.o) = n""")
+def q_two_stages(spark: SparkSession, d: str) -> DataFrame:
+    """The games of every tenth customer, then those of all of their weaker opponents."""
+    o = table(spark, d, "orders")
+    custom, rival = F.concat(F.lit("C"), "o_custkey"), F.concat(F.lit("D"), F.col("o_custkey") % 89)
+    game, rating = F.concat(F.lit("g"), "o_orderkey"), F.col("o_orderkey") % 3000
+    first = _told(o.where("o_custkey % 10 = 0"), custom, rival, rating, game)
+    every = _told(o, F.lower(rival), custom, F.lit(1500), game)
+    both = feed.collected(first.select(F.col("username").alias("name")).distinct(), first, 2**31 - 1, lambda names: every.join(names.select(F.col("name").alias("username")), "username").select(first.columns))
+    stage_ = F.when(F.startswith("username", F.lit("C")), "first").otherwise("second")
+    return both.groupBy(stage_.alias("stage")).agg(F.count("*").alias("games"), F.countDistinct("username").alias("players"))
+
+
+@query("select unnest([0, 40, 80]) \"skip\", 40 n, 0 again from (select 1)")
+def q_sampled_games(spark: SparkSession, d: str) -> DataFrame:
+    """Three samples of the kept games, one after another: none is in two of them."""
+    judged = stage(pgn.judged(pgn.extracted(transcripts(spark, d))).where("reject is null"), "judged")
+    out = None
+    for skip in (0, 40, 80):
+        one = pgn.sample_games(judged, 40, skip=skip).select("Site", F.lit(skip).alias("skip"))
+        out = one if out is None else out.unionByName(one)
+    seen = out.groupBy("Site").agg(F.count("*").alias("times"))
+    return out.join(seen, "Site").groupBy("skip").agg(F.count("*").cast("int").alias("n"), F.count_if(F.col("times") > 1).cast("int").alias("again"))
