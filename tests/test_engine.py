@@ -1,6 +1,8 @@
 import itertools
 import json
 import os
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -269,3 +271,20 @@ def test_mutual_openings_of_all_cohorts(spark):
     t = spark.createDataFrame(rows, "cohort string, color string, family string, n long, resid double")
     pairs = spark.createDataFrame([(x, y) for x in "abc" for y in "abc"], "white_cohort string, black_cohort string")
     assert key(map(tuple, rankings.mutual_openings(t).collect())) == key(map(tuple, rankings.mutual_openings(t, pairs).collect()))
+
+
+@pytest.mark.parametrize("gone", ["corpus_pipeline", "rookery.llm", "public_tokenizers"])
+def test_entry_without_what_is_optional(gone):
+    """Whichever is missing, the engine's queries are there, and no other."""
+    code = f"""
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == {gone!r}:
+            raise ModuleNotFoundError(name, name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as entry
+from rookery import queries
+assert entry.queries() == queries.QUERIES and entry.oracle_sql() == queries.ORACLE_SQL
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.abspath(entry.__file__)))
