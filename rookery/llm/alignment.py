@@ -225,7 +225,7 @@ def _some(c: str | Column, before: Column, last: Column) -> Column:
 
 def aligned(tokens: DataFrame) -> DataFrame:
     """Of `tokenised` rows a row for each text: doc_id, n_a, n_b, groups (a string: `a1,a2|b1;a3|b2,b3`)
-    and links (a_link, b_link: ids of the A and the B token that end together).
+    and links (of the A and the B token that end together: A id * 2^32 + B id).
 
     Each step uses what the one before made more than once, so Spark doesn't put it into the functions of an element."""
     rows = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
@@ -240,28 +240,28 @@ def aligned(tokens: DataFrame) -> DataFrame:
         several = F.concat(F.array_join(_some("a_str", a, i), ","), F.lit("|"), F.array_join(_some("b_str", b, j), ","))
         return F.when(i - a + j - b == 2, F.concat(F.get("a_str", i), F.lit("|"), F.get("b_str", j))).otherwise(several)
 
-    def linked(ids: str, at: str) -> Column:
-        return F.transform(at, lambda i: F.get(ids, i))
+    def link(i: Column, g: Column) -> Column:
+        return F.shiftleft(F.get("a_ids", i).cast("bigint"), 32) + F.get("b_ids", F.get("b_at", g))
 
     def own(each: Column) -> Column:
         """Of something of each group, in order, what belongs to each piece."""
         return _let(each, lambda x: F.transform("g_at", lambda last, p: _some(x, F.get("g_end", p), last)))
 
     told = F.transform(own(F.transform("a_at", group)), lambda x: F.array_join(x, ";"))
-    rows = rows.select("docs", told.alias("told"), own(linked("a_ids", "a_at")).alias("a"), own(linked("b_ids", "b_at")).alias("b"))
+    rows = rows.select("docs", told.alias("told"), own(F.transform("a_at", link)).alias("links"))
 
     def text(d: Column) -> Column:
         def whole(c: str) -> Column:
             return F.transform(d["pieces"], lambda p: F.get(c, p))
 
-        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.array_join(whole("told"), ";").alias("groups"), F.flatten(whole("a")).alias("a_link"), F.flatten(whole("b")).alias("b_link"))
+        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.array_join(whole("told"), ";").alias("groups"), F.flatten(whole("links")).alias("links"))
 
-    same = (F.size("told") == F.size("a")) & (F.size("a") == F.size("b"))  # always
+    same = F.size("told") == F.size("links")  # always
     return rows.select(F.explode(F.when(same, F.transform("docs", text))).alias("d")).select("d.*")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
-    """(pair, n, best) of `links` (pair: A id * 2^32 + B id): how often it comes, and whether no other A id comes more often with its B id."""
+    """(pair, n, best) of `links` (pair: as in `aligned`): how often it comes, and whether no other A id comes more often with its B id."""
     counts = links.groupBy("pair").agg(F.count("*").alias("n"))
     b = F.col("pair").bitwiseAND(0xFFFFFFFF)
     most = counts.groupBy(b.alias("b")).agg(F.max("n").alias("most"))
@@ -283,9 +283,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_column: str = "doc_id
     the most frequent `pairs` do, and links of others are joined by the pair, document by document."""
     made = aligned(tokenised(docs, a_path, b_path, id_column=id_column, text_column=text_column))
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
-    rows = stage(made.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", F.size("a_link").cast("bigint").alias("n_groups"), digest.alias("groups_sha256"), "a_link", "b_link"), "aligned")
-    link = F.explode(F.arrays_zip("a_link", "b_link"))
-    each = rows.select("row", link.alias("l")).select("row", (F.shiftleft(F.col("l.a_link").cast("bigint"), 32) + F.col("l.b_link")).alias("pair"))
+    rows = stage(made.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", F.size("links").cast("bigint").alias("n_groups"), digest.alias("groups_sha256"), "links"), "aligned")
+    each = rows.select("row", F.explode("links").alias("pair"))
     counts = stage(pair_counts(each), "pair_counts")
     if counts.count() <= pairs:
         told = each.join(F.broadcast(counts), "pair").select("row", F.col("best").cast("bigint").alias("best"), "n")
