@@ -1,4 +1,6 @@
 import itertools
+import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,43 @@ def test_quality_on_held_out_rows(tables):
     assert accuracy(quality_fm.score_quality(*tables), tables[1], "quality") > 0.95
 
 
+def plain_quality(m, text, n_chars):
+    """A score as its definition says it: features counted plainly, every pair of them."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in re.split(rb"\n", text) if re.search(rb"[^\x20\x09-\x0D]", x)]
+    n, size = max(1, len(words)), max(1, len(text))
+    share = lambda some: sum(len(re.findall(some, text[i : i + 1])) for i in range(len(text))) / size
+    stats = [
+        np.log1p(len(words)), sum(len(w) for w in words) / n, np.log1p(len(set(words))) / np.log1p(n), max((words.count(w) for w in set(words)), default=0) / n,
+        sum(words[i] == words[i - 1] for i in range(1, len(words))) / n, share(rb"[#*$%&|<>!~^=]"), share(rb"[A-Z]"), share(rb"[0-9]"), share(rb"[.,;:?]"), share(rb"[\x80-\xff]"),
+        np.log1p(len(words) / max(1, len(lines))), len(set(lines)) / max(1, len(lines)), np.log1p(max(0, len(text) if n_chars is None else n_chars)),
+    ]
+    x = dict.fromkeys((zlib.crc32(w.lower()) % quality_fm.WORDS for w in words), 0)
+    for w in words:
+        x[zlib.crc32(w.lower()) % quality_fm.WORDS] += 1
+    x = {i: np.log1p(c) for i, c in x.items()}
+    length = max(1e-9, sum(v * v for v in x.values()) ** 0.5)
+    x = {i: v / length for i, v in x.items()}
+    for k, value in enumerate(stats):
+        x[quality_fm.WORDS + k * quality_fm.BINS + sum(value >= b for b in m.bounds[k])] = 0.5
+    raw = m.w0 + sum(m.w[i] * v for i, v in x.items()) + sum(m.v[i] @ m.v[j] * x[i] * x[j] for i, j in itertools.combinations(x, 2))
+    return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+
+
+def test_quality_as_brute_force(spark, tables):
+    docs, labels = tables
+    odd = spark.createDataFrame([(-1, "", 0), (-2, None, None), (-3, "Das ist ÄÖ 12 # it it\n\n it\n", None), (-4, " \n", 2)], "doc_id long, text string, n_chars long")
+    every = docs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars")).unionByName(odd)
+    machine = quality_fm.learn(every, labels)
+    some = every.where("text is null or length(text) < 1500").orderBy(F.xxhash64("doc_id")).limit(60).unionByName(odd)
+    want = {r.doc_id: plain_quality(machine, (r.text or "").encode(), r.n_chars) for r in some.collect()}
+    got = {r.doc_id: (r.score, r.predicted) for r in quality_fm.score_quality(every, labels).where(F.col("doc_id").isin(list(want))).collect()}
+    assert got.keys() == want.keys() and len(want) > 60
+    for i, score in want.items():
+        assert got[i][0] == pytest.approx(score, rel=1e-9) and got[i][1] == (got[i][0] >= quality_fm.CUT), i
+    assert len({p for _, p in got.values()}) == 2
+
+
 def test_toxicity_on_held_out_rows(tables):
     scored = toxicity.score_toxicity(*tables)
     assert accuracy(scored, tables[1], "toxic") > 0.93

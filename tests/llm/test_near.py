@@ -85,6 +85,19 @@ def test_copies_that_repeat_a_passage(spark):
     assert got == want
 
 
+def test_very_long_texts(spark):
+    rnd = np.random.default_rng(12)
+    base = [f"w{k}" for k in rnd.integers(0, 5000, 60_000)]
+    one, two = variants(rnd, base, 2, 0.005)
+    far = " ".join(w if rnd.random() > 0.05 else "other" for w in base)
+    line = "x" * 1_000_000
+    rows = [(1, one), (2, two), (3, far), (4, " ".join(reversed(base))), (5, line), (6, line), (7, line[1:]), (8, "y " * 300_000), (9, "y " * 299_000), (10, "y y y y y")]
+    want = brute(rows)
+    assert want[2] == 1 and want[3] == 3 and want[7] == 7 and want[9] == 8
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 def test_ids_that_are_null_or_repeat(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "q r s t u v"), (9, "q r s t u v"), (2, "a b c d e f"), (7, None)], "doc_id long, text string")
     got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
