@@ -146,6 +146,28 @@ def test_silhouette_of_all_rows(spark):
     assert models.silhouette(large).first()[0] == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=1e-12)
 
 
+def test_silhouette_by_products(spark, monkeypatch):
+    """Distances by one product of matrices, exact for copies and far from the origin; blocks meet rows that are spread over tasks."""
+    rnd = np.random.default_rng(4)
+    y = rnd.normal(size=(4000, 64))
+    y[:9] = y[0]
+    x = y[:64]
+    exact = np.sqrt(sum((x[:, k, None] - y[None, :, k]) ** 2 for k in range(64)))
+    assert (models.between(x, y)[:9, :9] == 0).all() and np.allclose(models.between(x, y), exact, rtol=1e-8, atol=0)
+    assert np.allclose(models.between(x + 1e4, y + 1e4), exact, rtol=1e-7, atol=1e-9)
+    assert models.between(x, y[:0]).shape == (64, 0)
+    codes = np.arange(4000) % 3
+    assert np.allclose(models.cluster_sums(x, y, codes, 3), np.stack([exact[:, codes == c].sum(axis=1) for c in range(3)], axis=1))
+    monkeypatch.setattr(models, "TASK_ROWS", 10)
+    rows = blobs(spark, 40).withColumn("cluster", (F.col("id") % 3).cast("int")).coalesce(1)
+    spark.sparkContext.setJobGroup("spread", "spread")
+    found = models.silhouette(rows, block=100).first()[0]
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(i) for j in tracker.getJobIdsForGroup("spread") for i in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= 12
+    assert found == pytest.approx(models.silhouette(rows).first()[0], abs=1e-12)
+
+
 def test_density(spark):
     rnd = np.random.default_rng(1)
     noise = spark.createDataFrame([(1000 + i, x.tolist()) for i, x in enumerate(rnd.uniform(-30, 30, (20, 3)))], "id long, features array<double>")
