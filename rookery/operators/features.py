@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import eco_letter, eco_number, residual
 from ..functions.board import with_board_features
 from ..plans import models
+from ..shared import stage
 
 #: Plies from which a game is long, and under which it is short.
 LONG, SHORT = 80, 40
@@ -34,10 +35,13 @@ def _share(part: Column, whole: Column) -> Column:
 
 def player_features(games: DataFrame, min_games: int = 20) -> DataFrame:
     """Features of every player with `min_games` games or more, nulls where a
-    player has no such game. One aggregation; nothing is read twice."""
-    g = annotate(games)
-    white, black = F.col("color") == "white", F.col("color") == "black"
-    letter, number = F.col("eco_letter"), F.col("eco_num")
+    player has no such game. One aggregation; nothing is read twice. Games, narrowed to what is needed, go to their
+    players' tasks first: a game is far smaller than the many sums of a player who has met a task a few times only."""
+    told = {"white": F.col("color") == "white", "black": F.col("color") == "black", "draw": F.col("result") == "draw"} | {s: F.col("status") == s for s in ("mate", "outoftime", "resign")}
+    kept = ["user_rating", "score_diff", "n_moves", "opening_eco", "has_eval", "acpl", "n_eval_moves", "blunders", "castle_ply", "castle_qside", "queens_off_ply", "early_pawn"]
+    g = annotate(games).select("username", *(c.alias(n) for n, c in told.items()), *kept).repartition("username")
+    white, black = F.col("white"), F.col("black")
+    letter, number = eco_letter(), eco_number()
     e4, d4 = letter.isin("B", "C"), letter.isin("D", "E")
     met_e4, analysed = black & e4, F.coalesce("has_eval", F.lit(False))
     castled, no_queens = F.col("castle_ply").isNotNull(), F.col("queens_off_ply").isNotNull()
@@ -59,10 +63,10 @@ def player_features(games: DataFrame, min_games: int = 20) -> DataFrame:
         mean("score_diff", white).alias("white_score_residual"),
         mean("score_diff", black).alias("black_score_residual"),
         mean("score_diff", F.col("n_moves") >= LONG).alias("long_game_residual"),
-        rate(F.col("result") == "draw").alias("draw_rate"),
-        rate(F.col("status") == "mate").alias("mate_rate"),
-        rate(F.col("status") == "outoftime").alias("timeout_rate"),
-        rate(F.col("status") == "resign").alias("resign_rate"),
+        rate(F.col("draw")).alias("draw_rate"),
+        rate(F.col("mate")).alias("mate_rate"),
+        rate(F.col("outoftime")).alias("timeout_rate"),
+        rate(F.col("resign")).alias("resign_rate"),
         (F.avg("n_moves") / 2.0).alias("avg_moves"),
         rate(F.col("n_moves") < SHORT).alias("short_game_rate"),
         # A code that is null is a code of its own.
@@ -84,7 +88,9 @@ def player_features(games: DataFrame, min_games: int = 20) -> DataFrame:
 def impute(features: DataFrame, means: DataFrame | None = None) -> DataFrame:
     """Nulls filled: residuals from the player's own, others from the mean over
     players, of `features` or of the stored one-row `means` (for a player who comes later)."""
-    means = features.agg(*(F.avg(c).alias(f"mean_{c}") for c in FROM_ALL)) if means is None else means
+    if means is None:
+        features = stage(features, "features")  # read for the means and for the rows
+        means = imputation_means(features)
     filled = features.crossJoin(F.broadcast(means.limit(1)))  # one row
     out = {c: F.coalesce(c, "score_residual") for c in FROM_OWN} | {c: F.coalesce(c, f"mean_{c}") for c in FROM_ALL}
     return filled.withColumns(out).select(features.columns)
