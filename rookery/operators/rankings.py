@@ -14,7 +14,7 @@ def with_owner(games: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     rows = games.withColumn("family", family())
     if dim is None:
         return rows.withColumn("owner", fallback_color())
-    by_family, by_name = dim.toDF("family", "_by_family"), dim.toDF("opening_name", "_by_name")
+    by_family, by_name = F.broadcast(dim.toDF("family", "_by_family")), F.broadcast(dim.toDF("opening_name", "_by_name"))  # some thousand names; a shuffle by few families would be uneven
     rows = rows.join(by_family, "family", "left").join(by_name, "opening_name", "left")
     return rows.withColumn("owner", F.coalesce("_by_family", "_by_name", fallback_color())).drop("_by_family", "_by_name")
 
@@ -24,7 +24,7 @@ def family_blocks(games: DataFrame, members: DataFrame | None = None, dim: DataF
     from. Only games in openings of the player's own choice, with ratings on both sides."""
     rows = games if members is None else games.join(members.select("username").distinct(), "username", "left_semi")
     rows = with_owner(rows.where("opening_name is not null and opening_eco is not null"), dim).where("color = owner")
-    rows = rows.withColumn("sd", residual()).where("sd is not null")
+    rows = rows.select("username", "color", "family", residual().alias("sd")).where("sd is not null").repartition("username")
     return rows.groupBy("username", "color", "family").agg(F.count("*").alias("n"), F.sum("sd").alias("sum_sd"))
 
 
@@ -39,9 +39,10 @@ def _ranked(pooled: DataFrame, keys: list[str], min_games: int, top_n: int | Non
 
 def rank_openings(games: DataFrame, members: DataFrame, *, dim: DataFrame | None = None, min_games: int = 1000, top_n: int = 5, shrinkage_k: float = 30_000, owned: bool = True) -> DataFrame:
     """(cohort, color, rank, name, n, score_residual) for members (username, cohort): games are read once for all cohorts."""
-    rows = games.where("opening_name is not null and opening_eco is not null").join(members.select("username", "cohort").distinct(), "username")
+    rows = games.where("opening_name is not null and opening_eco is not null")
     rows = with_owner(rows, dim).where("color = owner") if owned else rows.withColumn("family", family())
-    pooled = rows.withColumn("sd", residual()).groupBy("cohort", "color", "family").agg(F.count("*").alias("n"), F.avg("sd").alias("raw"))
+    rows = rows.select("username", "color", "family", residual().alias("sd"))  # no more goes to the members
+    pooled = rows.join(members.select("username", "cohort").distinct(), "username").groupBy("cohort", "color", "family").agg(F.count("*").alias("n"), F.avg("sd").alias("raw"))
     return _ranked(pooled, ["cohort"], min_games, top_n, shrinkage_k)
 
 
@@ -54,8 +55,8 @@ def pool_blocks(blocks: DataFrame, members: DataFrame, *, min_games: int = 100,
 
 def residual_table(games: DataFrame, members: DataFrame, *, min_games: int = 800, shrinkage_k: float = 30_000) -> DataFrame:
     """(cohort, color, family, n, resid) of all families, whoever chose them."""
-    rows = games.where("opening_name is not null").join(members.select("username", "cohort").distinct(), "username")
-    pooled = rows.withColumn("family", family()).withColumn("sd", residual()).groupBy("cohort", "color", "family").agg(F.count("*").alias("n"), F.avg("sd").alias("raw"))
+    rows = games.where("opening_name is not null").select("username", "color", family().alias("family"), residual().alias("sd"))
+    pooled = rows.join(members.select("username", "cohort").distinct(), "username").groupBy("cohort", "color", "family").agg(F.count("*").alias("n"), F.avg("sd").alias("raw"))
     return pooled.where(F.col("n") >= min_games).select("cohort", "color", "family", "n", shrink(F.col("n"), F.col("raw"), shrinkage_k).alias("resid"))
 
 
