@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -102,28 +103,37 @@ _TO = re.compile(r"([a-h][1-8])(?:=[QRBN])?[+#]?[!?]*$")
 _FROM = re.compile(r"^Q([a-h]?[1-8]?)x?[a-h][1-8]")
 
 
+@lru_cache(1 << 16)
+def _told(move: str) -> tuple[bool, bool, tuple[bool, bool, str, str] | None]:
+    """Whether a move castles, and moves a pawn; and what it may do to queens (takes, by a queen, to, from). Games have few different moves, so they are read once."""
+    queen, takes = move.startswith("Q"), "x" in move
+    does = None
+    if queen or takes or "=Q" in move:
+        does = (takes, queen, t[1] if (t := _TO.search(move)) else "", t[1] if queen and (t := _FROM.search(move)) else "")
+    return move.startswith("O-O"), move[:1].islower() and move[:1].isascii(), does
+
+
 def features_of(moves: Sequence[str]) -> dict:
     """`move_features` of one game."""
     out: dict = {}
+    told = list(map(_told, moves))
     for parity, side in enumerate(("white", "black")):
-        castle = next((i for i in range(parity, len(moves), 2) if moves[i].startswith("O-O")), None)
+        castle = next((i for i in range(parity, len(told), 2) if told[i][0]), None)
         out[f"{side}_castle_ply"] = None if castle is None else castle + 1
         out[f"{side}_castle_qside"] = castle is not None and moves[castle].startswith("O-O-O")
-        out[f"{side}_early_pawn"] = sum(m[:1].islower() and m[:1].isascii() for m in moves[parity:EARLY:2])
+        out[f"{side}_early_pawn"] = [pawn for _, pawn, _ in told[parity:EARLY:2]].count(True)
     queens, off = (["d1"], ["d8"]), None
-    for ply, m in enumerate(moves, 1):
-        own, other = queens if ply % 2 else queens[::-1]
-        queen, takes, new = m.startswith("Q"), "x" in m, "=Q" in m
-        if not (queen or takes or new):
+    for ply, (_, _, does) in enumerate(told, 1):
+        if does is None:
             continue
-        to = t[1] if (t := _TO.search(m)) else ""
-        if takes:
+        own, other = queens if ply % 2 else queens[::-1]
+        takes, queen, to, origin = does
+        if takes and to in other:
             other[:] = [q for q in other if q != to]
         if queen:
-            origin = t[1] if (t := _FROM.search(m)) else ""
             named = [q for q in own if origin in q]
             own[:] = [*(q for q in own if not named or q != named[-1]), to]
-        elif new:
+        elif "=Q" in moves[ply - 1]:
             own.append(to)
         if off is None and not own and not other:
             off = ply

@@ -10,6 +10,7 @@ import io
 import math
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,9 +82,12 @@ _TAG_RE, _MOVE_RE, _BRACKETS, _LEADING, _ESCAPED = re.compile(_TAG), re.compile(
 
 def _centipawns(comment: str) -> int | None:
     """`centipawns` of one comment."""
-    if not (found := _EVAL.search(comment)):
-        return None
-    raw = found[1]
+    return _worth(found[1]) if (found := _EVAL.search(comment)) else None
+
+
+@lru_cache(1 << 16)
+def _worth(raw: str) -> int | None:
+    """Centipawns of an evaluation as it is written."""
     try:
         if not raw.startswith("#"):
             return int(math.copysign(math.floor(abs(float(raw) * 100) + 0.5), float(raw)))
@@ -97,8 +101,8 @@ def _read(record: str) -> tuple[dict[str, str], list[str], list[int | None]]:
     """Tags (the first of each name), moves and evaluations of a record."""
     block, _, body = record.partition("\n\n")
     tags: dict[str, str] = {}
-    for name, value in _TAG_RE.findall(block):
-        tags.setdefault(name, _ESCAPED.sub(r"\1", value) if "\\" in value else value)
+    for name, value in reversed(_TAG_RE.findall(block)):
+        tags[name] = _ESCAPED.sub(r"\1", value) if "\\" in value else value
     body = body.partition("\n\n")[0]
     for _ in range(2):
         body = _BRACKETS.sub(" ", body) if "(" in body else body

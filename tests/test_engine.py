@@ -168,6 +168,26 @@ def test_silhouette_by_products(spark, monkeypatch):
     assert found == pytest.approx(models.silhouette(rows).first()[0], abs=1e-12)
 
 
+def test_games_go_to_players_as_narrow_rows(spark):
+    """Features are summed where a player's games are; names of openings and ratings don't go to members."""
+    view = queries.games(spark, SF)
+    plan = features.player_features(view, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("RepartitionByExpression") and "opening_name" not in plan.split("RepartitionByExpression")[0]
+    members = view.select("username", F.lit(1).alias("cohort")).distinct()
+    for df in (rankings.rank_openings(view, members, min_games=1), rankings.residual_table(view, members, min_games=1)):
+        above = df._jdf.queryExecution().optimizedPlan().toString().split("Join Inner, (username")[0]
+        assert "opponent_rating" not in above and "family" in above
+
+
+def test_each_different_move_is_read_once():
+    from rookery.functions import moves
+
+    moves._told.cache_clear()
+    game = ["e4", "d5", "exd5", "Qxd5", "Nc3", "Qd8"] * 50
+    told = moves.features_of(game)
+    assert moves._told.cache_info().misses == 6 and told["white_early_pawn"] == 7 and told["queens_off_ply"] is None
+
+
 def test_density(spark):
     rnd = np.random.default_rng(1)
     noise = spark.createDataFrame([(1000 + i, x.tolist()) for i, x in enumerate(rnd.uniform(-30, 30, (20, 3)))], "id long, features array<double>")
