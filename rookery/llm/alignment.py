@@ -3,13 +3,13 @@
 A worker tokenises, in batches of texts. Words come again and again, so a text is cut
 into pieces: one begins at a space or line feed that follows another kind of character,
 and no token of either vocabulary crosses that place (which is checked as it is loaded).
-What a batch gives is the ids of its different pieces, the byte where each token ends, and
-for each text which pieces it is made of.
+Nor does one lead from a word's letters to the marks after it, so a piece of both is put
+together from the two. Both tokens end where a piece does: a piece is tokenised and aligned
+once (numpy and Arrow, many at a time), and its groups and links are those of every text
+that has it. A worker remembers the pieces that come most often.
 
-All else is Spark's functions over arrays: `array_intersect` finds the places where tokens
-of both end, sorting them in among all ends shows which tokens these are, `transform` over
-them makes groups and links, of pieces first and then of texts. A link's count over the
-corpus comes from grouping and is joined back.
+A row for each text leaves it, with its groups and links. The rest is Spark's: a link's
+count over the corpus comes from grouping and is joined back.
 """
 
 from __future__ import annotations
@@ -17,23 +17,26 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import by_bytes, stage, values
 from .tokens import _PLAIN
 
 #: Bytes of text that are tokenised together, pieces that a worker remembers, distinct pairs of ids that go to all tasks.
-RUN_BYTES, PIECES_KEPT, PAIRS = 1 << 19, 300_000, 1 << 20
+RUN_BYTES, PIECES_KEPT, PAIRS = 1 << 20, 300_000, 1 << 20
 
 #: Words that a tokenizer gets at once: what it says of each takes far more room than its ids.
 AT_ONCE = 4096
+#: Tokens of each vocabulary that a worker remembers, for each of PIECES_KEPT.
+TOKENS_A_PIECE = 8
 
 #: White space that another one follows: beyond such places pieces aren't told apart by bytes alone.
 _IRREGULAR = re.compile(rb"(?:[\t-\r\x1c- ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf)[\t-\r\x1c- ]")
@@ -43,6 +46,9 @@ _ORDINARY = bytes(sorted(set(range(256)) - {*b"\t\v\f\r\x1c\x1d\x1e\x1f", 0xC2,
 #: A place where a piece begins.
 _BORDER = re.compile(r"(?<=[^\s\u180e\u200b\ufeff])(?=[ \n])")
 _BLANK = "▁"
+#: Marks that follow a word's letters, as in _PLAIN, and a letter that one of them follows.
+_MARKS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+_MARKED = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[" + re.escape(_MARKS) + rb"]")
 
 
 def byte_values() -> dict[str, int]:
@@ -71,27 +77,53 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.blank = self.b.piece_to_id(_BLANK)
+        self.blank, lead = self.b.piece_to_id(_BLANK), self.b.piece_to_id(_BLANK + "a")
         with open(a_path) as f:
             step = json.load(f)["pre_tokenizer"]
         words = step["type"] == "ByteLevel" and step["use_regex"] and not step["add_prefix_space"]
         crossed = any(re.search(rf"[^ \n{_BLANK}][ \n{_BLANK}]", p) for p in pieces)
         begun = any(p.startswith((_BLANK + "\n", "\n")) for p in pieces)
         self.in_pieces = words and not crossed and not begun and self.blank > 0
+        told = [i for i in range(len(pieces)) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        self.marks_apart = self.b.encode("a") == [lead] and not any(_MARKED.search(self.b_bytes[i]) for i in told)
         self._forget()
 
     def _forget(self) -> None:
         self.at: dict[bytes, int] = {}  # a piece's number
-        self.words: dict[bytes, bytes] = {}  # ids by A of what pieces are made of: words with their space, and marks
+        self.marks: dict[bytes, int] = {}  # that of marks that follow letters
+        self.keys: list[bytes | None] = []  # of all numbers, in order; marks have none
         self.ids_a, self.ids_b = (np.zeros(0, np.uint32) for _ in range(2))  # of all pieces, one after another
-        self.n_a, self.n_b = (np.zeros(0, np.int64) for _ in range(2))
+        self.links = np.zeros(0, np.int64)  # likewise: A id * 2^32 + B id of tokens that end together
+        self.n_a, self.n_b, self.n_links, self.uses = (np.zeros(0, np.int64) for _ in range(4))
+        self.groups = pa.array([], pa.string())  # a piece's groups, as in `aligned`
         self.sound = np.zeros(0, bool)  # whether the tokens' bytes are the piece's
 
-    def _words_a(self, words: list[bytes]) -> list[bytes]:
+    def _forget_rare(self) -> None:
+        """Keeps the half that came most often."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: PIECES_KEPT // 2])
+        kept = kept[[self.keys[i] is not None for i in kept.tolist()]]
+        parts = [_of(kept, *x) for x in ((self.ids_a, self.n_a), (self.ids_b, self.n_b), (self.links, self.n_links))]
+        each = [x[kept] for x in (self.n_a, self.n_b, self.n_links, self.uses // 2, self.sound)]
+        groups, keys = self.groups.take(pa.array(kept)), [self.keys[i] for i in kept.tolist()]
+        self._forget()
+        if max(map(len, parts)) <= TOKENS_A_PIECE // 2 * PIECES_KEPT:
+            (self.ids_a, self.ids_b, self.links), (self.n_a, self.n_b, self.n_links, self.uses, self.sound) = parts, each
+            self.groups, self.keys, self.at = groups, keys, {k: i for i, k in enumerate(keys)}
+
+    def _encode_a(self, words: list[bytes], joined: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each with its space, and how many each has. `joined`: many as one text, as no token crosses from word to word."""
         asked = [w.decode(errors="replace") for w in words]
-        ids, n = _flat([e.ids for k in range(0, len(asked), AT_ONCE) for e in self.a.encode_batch_fast(asked[k : k + AT_ONCE], add_special_tokens=False)])
-        data, ends = ids.tobytes(), (4 * np.cumsum(n)).tolist()
-        return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        runs = [asked[k : k + AT_ONCE] for k in range(0, len(asked), AT_ONCE)]
+        ids, n = _flat([e.ids for r in runs for e in self.a.encode_batch_fast(["".join(r)] if joined else r, add_special_tokens=False)])
+        if joined:
+            ends, wanted = np.cumsum(self.a_size[ids]), np.cumsum([len(w) for w in words])
+            if not len(ends) or ends[-1] != wanted[-1]:  # a vocabulary that leaves something out
+                return self._encode_a(words, False)
+            n = np.diff(np.searchsorted(ends, wanted) + 1, prepend=0)
+        return ids, n
+
+    def _encode_b(self, words: list[str]) -> list[list[int]]:
+        return [ids for k in range(0, len(words), AT_ONCE) for ids in self.b.encode(words[k : k + AT_ONCE], num_threads=1)]
 
     def cut(self, text: bytes) -> list[bytes]:
         """The pieces of space + text, without the space that most of them begin with."""
@@ -102,46 +134,80 @@ class Pair:
         return [p[1:] if p[:1] == b" " and p[1:2] not in _SPACES else p for p in whole]
 
     def learn(self, new: list[bytes]) -> None:
-        """Both tokenizers' ids of new pieces."""
+        """Both tokenizers' ids of new pieces, aligned."""
+        words: dict[bytes, None] = {}  # for its order
+        other, marked, roots, ends = [], [], [], []
+        for p in new:
+            root = p.rstrip(_MARKS)
+            if not self.marks_apart or not (root.isalpha() or _PLAIN.fullmatch(root)):
+                other.append(p)
+                continue
+            words[root] = None
+            if len(root) < len(p):
+                marked.append(p)
+                roots.append(root)
+                ends.append(p[len(root) :])
+        fresh = [w for w in words if w not in self.at]
+        if fresh:
+            self._keep(fresh, [b" " + w for w in fresh], self._encode_a([b" " + w for w in fresh], True), _flat(self._encode_b([w.decode() for w in fresh])))
+        marks = [m for m in dict.fromkeys(ends) if m not in self.marks]
+        if marks:
+            self.marks.update(zip(marks, range(len(self.keys), len(self.keys) + len(marks)), strict=True))
+            after = [ids[1:] for ids in self._encode_b(["a" + m.decode() for m in marks])]
+            self._keep([None] * len(marks), marks, self._encode_a(marks, False), _flat(after))
+        if marked:
+            self._join(marked, np.array([list(map(self.at.__getitem__, roots)), list(map(self.marks.__getitem__, ends))], np.int64).T)
+        if other:
+            self._learn_other(other)
+
+    def _learn_other(self, new: list[bytes]) -> None:
         pieces = [p if p and p[:1] in _SPACES else b" " + p for p in new]
-        made, other = [], []
-        for p, whole in zip(new, pieces, strict=True):
-            if m := _PLAIN.fullmatch(p):
-                made.append((p, b" " + m[1], m[2]))
-            else:
-                other.append(whole)
-        fresh = list({w for _, *two in made for w in two}.difference(self.words))
-        self.words.update(zip(fresh, self._words_a(fresh), strict=True))
-        found_a = dict(zip(other, self._words_a(other), strict=True)) | {b" " + p: self.words[root] + self.words[marks] for p, root, marks in made}
-        in_order = [found_a[w] for w in pieces]
-        ids_a, n_a = np.frombuffer(b"".join(in_order), "<u4"), np.array([len(x) // 4 for x in in_order], np.int64)
         # B puts a blank before what it gets: it stands for the piece's own space, or else it goes.
-        asked = [(w[1:] if w[:1] == b" " else w).decode(errors="replace") for w in pieces]
-        lists = [ids for k in range(0, len(asked), AT_ONCE) for ids in self.b.encode(asked[k : k + AT_ONCE], num_threads=1)]
+        lists = self._encode_b([(w[1:] if w[:1] == b" " else w).decode(errors="replace") for w in pieces])
         for k, (w, ids) in enumerate(zip(pieces, lists, strict=True)):
             if w[:1] != b" ":
                 lists[k] = ids[1:] if ids[:1] == [self.blank] else [0]
             elif not ids:
                 lists[k] = [self.blank]
-        self._keep(new, pieces, (ids_a, n_a), _flat(lists))
+        self._keep(new, pieces, self._encode_a(pieces, False), _flat(lists))
 
     def whole(self, texts: list[bytes]) -> None:
         """The same of texts that can't be cut: each is a piece."""
-        asked = [t.decode(errors="replace") for t in texts]
-        ids_a, n_a = _flat([e.ids for e in self.a.encode_batch_fast([" " + t for t in asked], add_special_tokens=False)])
-        ids_b, n_b = _flat(self.b.encode(asked, num_threads=1))
-        self._keep(texts, [b" " + t for t in texts], (ids_a, n_a), (ids_b, n_b))
+        pieces = [b" " + t for t in texts]
+        self._keep(texts, pieces, self._encode_a(pieces, False), _flat(self._encode_b([t.decode(errors="replace") for t in texts])))
 
-    def _keep(self, new: list[bytes], pieces: list[bytes], found_a: tuple[np.ndarray, np.ndarray], found_b: tuple[np.ndarray, np.ndarray]) -> None:
-        sizes, sound = np.array([len(w) for w in pieces], np.int64), np.ones(len(new), bool)
+    def _keep(self, keys: list[bytes | None], pieces: list[bytes], found_a: tuple[np.ndarray, np.ndarray], found_b: tuple[np.ndarray, np.ndarray]) -> None:
+        """Aligns pieces whose ids were found, and remembers them."""
+        sizes, sound = np.array([len(w) for w in pieces], np.int64), np.ones(len(pieces), bool)
         for (ids, n), size, own in ((found_a, self.a_size, self.a_bytes), (found_b, self.b_size, self.b_bytes)):
             so_far = np.concatenate([[0], np.cumsum(size[ids])])
             if (so_far[np.cumsum(n)] != np.cumsum(sizes)).any() or b"".join(map(own.__getitem__, ids.tolist())) != b"".join(pieces):
                 ends = np.cumsum(n).tolist()
                 sound &= np.array([b"".join([own[i] for i in ids[e - c : e].tolist()]) == w for e, c, w in zip(ends, n.tolist(), pieces, strict=True)], bool)
-        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-        self.ids_a, self.ids_b = np.concatenate([self.ids_a, found_a[0]]), np.concatenate([self.ids_b, found_b[0]])
-        self.n_a, self.n_b = np.concatenate([self.n_a, found_a[1]]), np.concatenate([self.n_b, found_b[1]])
+        good = np.flatnonzero(sound)
+        (a, n_a), (b, n_b) = ((_of(good, ids, n), n[good]) for ids, n in (found_a, found_b))
+        links, n_links, groups = np.zeros(0, np.int64), np.zeros(len(pieces), np.int64), [""] * len(pieces)
+        if len(good):
+            common, at_a, at_b = np.intersect1d(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), assume_unique=True, return_indices=True)
+            links = (a[at_a].astype(np.int64) << 32) | b[at_b]
+            n_links[good] = np.diff(np.searchsorted(common, np.cumsum(sizes[good]), "right"), prepend=0)
+            sides = [_joined(pa.array(ids).cast(pa.string()), at + 1, ",") for ids, at in ((a, at_a), (b, at_b))]
+            groups = _joined(pc.binary_join_element_wise(*sides, "|"), np.cumsum(n_links), ";")
+        self._add(keys, found_a, found_b, (links, n_links), groups, sound)
+
+    def _join(self, keys: list[bytes], halves: np.ndarray) -> None:
+        """Remembers pieces that are made of two known ones each."""
+        both = halves.ravel()
+        found = [(_of(both, *x), x[1][halves].sum(1)) for x in ((self.ids_a, self.n_a), (self.ids_b, self.n_b), (self.links, self.n_links))]
+        self._add(keys, *found, pc.binary_join_element_wise(*(self.groups.take(pa.array(x)) for x in halves.T), ";"), self.sound[halves].all(1))
+
+    def _add(self, keys: list[bytes | None], a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], links: tuple[np.ndarray, np.ndarray], groups: pa.Array | list[str], sound: np.ndarray) -> None:
+        self.at.update((k, i) for i, k in enumerate(keys, len(self.keys)) if k is not None)
+        self.keys += keys
+        self.ids_a, self.ids_b, self.links = (np.concatenate([x, y]) for x, y in ((self.ids_a, a[0]), (self.ids_b, b[0]), (self.links, links[0])))
+        self.n_a, self.n_b, self.n_links = (np.concatenate([x, y]) for x, y in ((self.n_a, a[1]), (self.n_b, b[1]), (self.n_links, links[1])))
+        self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int64)])
+        self.groups = pa.concat_arrays([self.groups, groups if isinstance(groups, pa.Array) else pa.array(groups, pa.string())])
         self.sound = np.concatenate([self.sound, sound])
 
     def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,14 +215,20 @@ class Pair:
         cuts = [(self.cut(t) if self.in_pieces else [t]) if t else [] for t in texts]
         every = list(chain.from_iterable(cuts))
         at = list(map(self.at.get, every))
-        if None in at:
-            new = {p for p, i in zip(every, at, strict=True) if i is None}
-            if len(self.at) + len(new) > (PIECES_KEPT if self.in_pieces else len(new)):
+        missing = [k for k, i in enumerate(at) if i is None]
+        if missing:
+            new = {every[k] for k in missing}
+            if not self.in_pieces:
                 self._forget()
-                new = set(every)
+                new, missing = set(every), range(len(every))
+            elif len(self.keys) + len(new) > PIECES_KEPT or max(map(len, (self.ids_a, self.ids_b))) > TOKENS_A_PIECE * PIECES_KEPT:
+                self._forget_rare()
+                new, missing = set(every).difference(self.at), range(len(every))
             (self.learn if self.in_pieces else self.whole)(list(new))
-            at = list(map(self.at.__getitem__, every))
+            for k in missing:
+                at[k] = self.at[every[k]]
         number, owner = np.array(at, np.int64), np.repeat(np.arange(len(texts)), [len(c) for c in cuts])
+        self.uses += np.bincount(number, minlength=len(self.uses))
         kept = (np.bincount(owner[~self.sound[number]], minlength=len(texts)) == 0)[owner]
         return number[kept], owner[kept]
 
@@ -164,10 +236,8 @@ class Pair:
         """Of the pieces of these numbers, one after another: ids by A and where each ends, the same by B, and where each piece ends."""
         out: list[np.ndarray] = []
         for ids, n, size in ((self.ids_a, self.n_a, self.a_size), (self.ids_b, self.n_b, self.b_size)):
-            own, first = n[pieces], (np.cumsum(n) - n)[pieces]
-            found = ids[np.repeat(first - (np.cumsum(own) - own), own) + np.arange(own.sum())]
-            ends = np.cumsum(size[found])
-            out += [found, ends]
+            found = _of(pieces, ids, n)
+            out += [found, np.cumsum(size[found])]
         return [*out, out[1][np.cumsum(self.n_a[pieces]) - 1]]
 
 
@@ -177,15 +247,26 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum())), n
 
 
+def _of(which: np.ndarray, values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The values of these owners, one after another, of `values` of which each owner has `n`."""
+    own, first = n[which], (np.cumsum(n) - n)[which]
+    return values[np.repeat(first - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+
+
+def _joined(texts: pa.Array, ends: np.ndarray, mark: str) -> pa.Array:
+    """Texts in a row, joined up to each of `ends`."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), texts), mark)
+
+
 @lru_cache(maxsize=1)
 def pair(a_path: str, b_path: str) -> Pair:
     """One for each worker process."""
     return Pair(a_path, b_path)
 
 
-def tokenised(docs: DataFrame, a_path: str, b_path: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row for each batch of texts: docs (doc_id, n_a, n_b and pieces: which ones, from 0, the text is made of), and of
-    the batch's different pieces, one after another, a_ids, a_ends, b_ids, b_ends and piece_ends. Texts without tokens have no pieces."""
+def aligned(docs: DataFrame, a_path: str, b_path: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """A row for each text: doc_id, n_a, n_b, groups (a string: `a1,a2|b1;a3|b2,b3`) and links (of the A
+    and the B token that end together: A id * 2^32 + B id). Texts without tokens have none of these."""
     kind = docs.select(id_column).schema[0].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,70 +275,14 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, *, id_column: str = "do
             texts = list(values(batch.column(1)))
             for start, stop in by_bytes(texts, RUN_BYTES):
                 number, owner = use.numbers(texts[start:stop])
-                different, pieces = np.unique(number, return_inverse=True)
                 count = stop - start
-                n_a, n_b = (np.bincount(owner, n[number], minlength=count).astype(np.int64) for n in (use.n_a, use.n_b))
-                bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=count))])
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(pieces, pa.int32()))
-                told = pa.StructArray.from_arrays([batch.column(0).slice(start, count), pa.array(n_a), pa.array(n_b), lists], ["doc_id", "n_a", "n_b", "pieces"])
-                one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, pa.int32())) for x in (told, *use.tokens(different))]
-                yield pa.RecordBatch.from_arrays(one, ["docs", "a_ids", "a_ends", "b_ids", "b_ends", "piece_ends"])
-
-    lists = ", ".join(f"{c} array<int>" for c in ("a_ids", "a_ends", "b_ids", "b_ends", "piece_ends"))
-    return docs.select(id_column, text_column).mapInArrow(read, f"docs array<struct<doc_id: {kind}, n_a: bigint, n_b: bigint, pieces: array<int>>>, {lists}")
-
-
-def _places(merged: str) -> Column:
-    """Of all ends with some of them sorted in once more: the index of each of those in all ends."""
-    at = F.filter(F.sequence(F.lit(0), F.size(merged) - 2), lambda i: F.get(merged, i) == F.get(merged, i + 1))
-    return F.when(F.size(merged) > 0, F.transform(at, lambda p, g: p - g)).otherwise(F.array().cast("array<int>"))
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is worked out once, however often `body` or a function in it uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _some(c: str | Column, before: Column, last: Column) -> Column:
-    """Elements of `c` after `before`, to `last`. (`slice` would copy all of `c` for each.)"""
-    return F.transform(F.sequence(before + 1, last), lambda i: F.get(c, i))
-
-
-def aligned(tokens: DataFrame) -> DataFrame:
-    """Of `tokenised` rows a row for each text: doc_id, n_a, n_b, groups (a string: `a1,a2|b1;a3|b2,b3`)
-    and links (of the A and the B token that end together: A id * 2^32 + B id).
-
-    Each step uses what the one before made more than once, so Spark doesn't put it into the functions of an element."""
-    rows = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    merged = [F.sort_array(F.concat(x, y)).alias(n) for x, y, n in (("a_ends", "common", "a_all"), ("b_ends", "common", "b_all"), ("common", "piece_ends", "g_all"))]
-    rows = rows.select("docs", "a_ids", "b_ids", *merged)
-    rows = rows.select("docs", "a_ids", "b_ids", *(_places(f"{s}_all").alias(f"{s}_at") for s in "abg"), *(F.col(f"{s}_ids").cast("array<string>").alias(f"{s}_str") for s in "ab"))
-    # Places where groups end, and groups where pieces end, from the one before the first.
-    rows = rows.select("*", *(F.concat(F.array(F.lit(-1)), f"{s}_at").alias(f"{s}_end") for s in "abg"))
-
-    def group(i: Column, g: Column) -> Column:
-        a, b, j = F.get("a_end", g), F.get("b_end", g), F.get("b_at", g)
-        several = F.concat(F.array_join(_some("a_str", a, i), ","), F.lit("|"), F.array_join(_some("b_str", b, j), ","))
-        return F.when(i - a + j - b == 2, F.concat(F.get("a_str", i), F.lit("|"), F.get("b_str", j))).otherwise(several)
-
-    def link(i: Column, g: Column) -> Column:
-        return F.shiftleft(F.get("a_ids", i).cast("bigint"), 32) + F.get("b_ids", F.get("b_at", g))
-
-    def own(each: Column) -> Column:
-        """Of something of each group, in order, what belongs to each piece."""
-        return _let(each, lambda x: F.transform("g_at", lambda last, p: _some(x, F.get("g_end", p), last)))
-
-    told = F.transform(own(F.transform("a_at", group)), lambda x: F.array_join(x, ";"))
-    rows = rows.select("docs", told.alias("told"), own(F.transform("a_at", link)).alias("links"))
-
-    def text(d: Column) -> Column:
-        def whole(c: str) -> Column:
-            return F.transform(d["pieces"], lambda p: F.get(c, p))
-
-        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.array_join(whole("told"), ";").alias("groups"), F.flatten(whole("links")).alias("links"))
+                n_a, n_b, n_links = (np.bincount(owner, n[number], minlength=count).astype(np.int64) for n in (use.n_a, use.n_b, use.n_links))
+                groups = _joined(use.groups.take(pa.array(number)), np.cumsum(np.bincount(owner, minlength=count)), ";")
+                links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_links)]), pa.int32()), pa.array(_of(number, use.links, use.n_links)))
+                columns = [batch.column(0).slice(start, count), pa.array(n_a), pa.array(n_b), groups, links]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "groups", "links"])
 
-    same = F.size("told") == F.size("links")  # always
-    return rows.select(F.explode(F.when(same, F.transform("docs", text))).alias("d")).select("d.*")
+    return docs.select(id_column, text_column).mapInArrow(read, f"doc_id {kind}, n_a bigint, n_b bigint, groups string, links array<bigint>")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -281,7 +306,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_column: str = "doc_id
 
     Counts go to all tasks if there are `pairs` of them at most (they are counted); beyond,
     the most frequent `pairs` do, and links of others are joined by the pair, document by document."""
-    made = aligned(tokenised(docs, a_path, b_path, id_column=id_column, text_column=text_column))
+    made = aligned(docs, a_path, b_path, id_column=id_column, text_column=text_column)
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
     rows = stage(made.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", F.size("links").cast("bigint").alias("n_groups"), digest.alias("groups_sha256"), "links"), "aligned")
     each = rows.select("row", F.explode("links").alias("pair"))

@@ -76,3 +76,65 @@ def test_pieces_that_are_forgotten_and_whole_texts(monkeypatch):
     use.in_pieces = False
     use._forget()
     assert [x for n in range(0, 300, 50) for x in by_text(use, texts[n : n + 50])] == told
+
+
+def told(use, texts):
+    """Of each text, as in `brute`: tokens by both, groups, links and the groups' hash."""
+    number, owner = use.numbers([t.encode() for t in texts])
+    out = []
+    for k in range(len(texts)):
+        own = number[owner == k]
+        groups, n = ";".join(use.groups.take(own).to_pylist()), use.n_links[own].sum()
+        out.append((use.n_a[own].sum(), use.n_b[own].sum(), n, n, hashlib.sha256(groups.encode()).hexdigest() if len(own) else ""))
+    return out
+
+
+def test_words_and_their_marks_are_tokenised_once(monkeypatch):
+    rnd = random.Random(5)
+    letters, marks = "abcdefgthinéÉßæøÀ", "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+    words = ["".join(rnd.choices(letters, k=rnd.randint(1, 12))) for _ in range(60)]
+    texts = [" ".join(rnd.choice(words) + "".join(rnd.choices(marks, k=rnd.randint(0, 3))) for _ in range(20)) for _ in range(80)]
+    use = alignment.Pair(A, B)
+    assert use.marks_apart
+    asked = collections.Counter()
+    encode = use._encode_b
+    monkeypatch.setattr(use, "_encode_b", lambda some: asked.update(some) or encode(some))
+    got = [x for n in range(0, 80, 20) for x in told(use, texts[n : n + 20])]
+    assert got == [(*r[1:5], r[7]) for r in brute(enumerate(texts))]
+    assert set(asked.values()) == {1} and set(words) >= {w for w in asked if w[-1] not in marks}
+    monkeypatch.setattr(use, "marks_apart", False)
+    use._forget()
+    assert told(use, texts) == got
+
+
+def test_pieces_that_come_often_stay(monkeypatch):
+    monkeypatch.setattr(alignment, "PIECES_KEPT", 50)
+    use = alignment.Pair(A, B)
+    asked = collections.Counter()
+    learn = use.learn
+    monkeypatch.setattr(use, "learn", lambda new: asked.update(new) or learn(new))
+    rare = ["".join(chr(97 + int(d)) for d in str(n)) for n in range(1000, 1400)]
+    texts = ["the word the word, " + " ".join(rare[n : n + 10]) for n in range(0, 400, 10)]
+    got = [x for t in texts for x in told(use, [t])]
+    assert got == [(*r[1:5], r[7]) for r in brute(enumerate(texts))]
+    assert asked[b"the"] == asked[b"word"] == asked[b"word,"] == 1
+    assert len(use.keys) <= 50
+
+
+def test_a_vocabulary_that_leaves_bytes_out(monkeypatch):
+    use = alignment.Pair(A, B)
+    encode = use.a.encode_batch_fast
+
+    class Left:
+        """Says of what has a q but the first token."""
+
+        def encode_batch_fast(self, some, **how):
+            class Told:
+                def __init__(self, text, ids):
+                    self.ids = ids[:1] if "q" in text else ids
+
+            return [Told(t, e.ids) for t, e in zip(some, encode(some, **how), strict=True)]
+
+    monkeypatch.setattr(use, "a", Left())
+    number, owner = use.numbers([b"plain words", b"quince trees", b"more"])
+    assert sorted(set(owner.tolist())) == [0, 2]
