@@ -168,6 +168,72 @@ def test_silhouette_by_products(spark, monkeypatch):
     assert found == pytest.approx(models.silhouette(rows).first()[0], abs=1e-12)
 
 
+def test_sums_of_pairs_both_ways(monkeypatch):
+    """Each distance is worked out once for both rows, over pieces of either side; copies are 0 apart."""
+    monkeypatch.setattr(models, "SIDES", (16, 24))
+    rnd = np.random.default_rng(5)
+    a, b = rnd.normal(size=(50, 6)) + 1e4, rnd.normal(size=(70, 6)) + 1e4
+    b[:9] = a[3]
+    shares = rnd.integers(0, 4, size=(50, 3)).astype(float), rnd.integers(0, 4, size=(70, 5)).astype(float)
+    exact = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    there, back = models.pair_sums(a, b, *shares)
+    assert np.allclose(there, exact @ shares[1], rtol=1e-9) and np.allclose(back, exact.T @ shares[0], rtol=1e-9)
+    assert models.pair_sums(a[3:4], b[:9], None, np.ones((9, 1)))[0][0, 0] == 0 and models.pair_sums(a[:0], b, None, shares[1])[0].shape == (0, 5)
+
+
+def test_silhouettes_of_several_columns(spark):
+    """Of the same distances, in blocks and with copies met as one, as by brute force; a row of no cluster counts 0."""
+    rnd = np.random.default_rng(6)
+    x = rnd.integers(0, 3, size=(60, 2)).astype(float)
+    labels = [[None if i == 7 else i % 3 for i in range(60)], ["alone" if i == 11 else f"c{i % 2}" for i in range(60)]]
+    rows = spark.createDataFrame([(i, x[i].tolist(), labels[0][i], labels[1][i]) for i in range(60)], "id long, features array<double>, u int, v string")
+
+    def plain(own):
+        far, out = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), []
+        for i, c in enumerate(own):
+            of = {k: [far[i, j] for j in range(60) if own[j] == k and (j != i)] for k in set(own) - {None}}
+            if c is None or not of[c]:
+                out.append(0.0)
+                continue
+            p, q = np.mean(of[c]), min(np.mean(v) for k, v in of.items() if k != c)
+            out.append((q - p) / max(p, q) if max(p, q) else 0.0)
+        return np.mean(out)
+
+    for block in (models.BLOCK, 7):
+        assert tuple(models.silhouettes(rows, ["u", "v"], block=block).first()) == pytest.approx([plain(own) for own in labels], abs=1e-12)
+    assert models.silhouettes(rows.where("id < 0"), ["u"]).first().u is None
+
+
+def test_runs_of_kmeans_share_their_rounds(spark, monkeypatch):
+    """All runs of a sweep pass over the rows together, from tasks of all cores, and end where MLlib's do."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rnd = np.random.default_rng(7)
+    rows = spark.createDataFrame([(i, (rnd.normal(size=3) + 4 * (i % 3)).tolist()) for i in range(200)], "id long, features array<double>").coalesce(1)
+    monkeypatch.setattr(models, "TASK_ROWS", 10)
+    data = models.spread(rows).persist()
+    vectors = data.select(array_to_vector("features").alias("features"))
+    mine, longest = models.fit_runs(data, [2, 3], restarts=2), 0
+    for k, centres in zip([2, 3], mine, strict=True):
+        runs = [KMeans(k=k, seed=models.SEED + r, maxIter=models.MAX_ITER, tol=models.TOLERANCE).fit(vectors) for r in range(2)]
+        best = min(runs, key=lambda m: m.summary.trainingCost)
+        assert np.allclose(centres, np.array(best.clusterCenters()), atol=1e-9)
+        longest = max(longest, *(m.summary.numIter for m in runs))
+    data.unpersist()
+    rounds = []
+    monkeypatch.setattr(models, "_round", lambda data, runs, plain=models._round: rounds.append(len(runs)) or plain(data, runs))
+    spark.sparkContext.setJobGroup("sweep", "sweep")
+    sweep = models.k_sweep(rows, 2, 4, restarts=2).collect()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(i) for j in tracker.getJobIdsForGroup("sweep") for i in tracker.getJobInfo(j).stageIds]
+    assert rounds[0] == 6 and longest <= len(rounds) <= models.MAX_ITER and rounds == sorted(rounds, reverse=True)
+    assert max(s.numTasks for s in stages if s) >= 15
+    assert [r.k for r in sweep] == [2, 3, 4] and sweep[0].inertia > sweep[1].inertia > sweep[2].inertia
+    told = models.assign(rows, models.fit_kmeans(rows, 4, restarts=2))
+    assert sweep[2].silhouette == pytest.approx(models.silhouette(told).first()[0], abs=1e-12) and sweep[2].inertia == pytest.approx(models.inertia(told).first()[0])
+
+
 def test_games_go_to_players_as_narrow_rows(spark):
     """Features are summed where a player's games are; names of openings and ratings don't go to members."""
     view = queries.games(spark, SF)
